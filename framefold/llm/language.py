@@ -133,7 +133,7 @@ def predict(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id") ->
     return docs.select(id_column, "text").mapInArrow(run, f"`{id_column}` {kind}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, labelled: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame, labelled: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of docs, unchanged, whose language is known with a posterior of at least `least`."""
     spark = docs.sparkSession
     names, priors, matrix = train(labelled)

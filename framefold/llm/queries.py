@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framefold.llm import language, licenses
-from framefold.llm.common import held_out, table
+from framefold.llm import language, licenses, tokens
+from framefold.llm.common import blocks, held_out, table
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +21,17 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, blocks(spark))
+
+
+def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_files": op4_token_files,
+    "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op6_language_id": op6_language_id,
     "op8_license_scan": op8_license_scan,
 }
