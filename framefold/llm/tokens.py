@@ -16,6 +16,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +24,22 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framefold.llm.common import scratch_path, slices
+from framefold.llm.common import materialize, scratch_path, slices
 
 #: White space of the tokenizers' patterns (Unicode White_Space).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A space and what follows it up to white space; or white space not taken so. No byte-level rule looks across these pieces.
 BYTE_PIECES = regex.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Runs without white space; the word tokenizer drops white space.
-WORD_PIECES = regex.compile(f"[^{SPACE}]+")
+#: White space outside ASCII.
+ODD_SPACE = regex.compile(f"[{SPACE.split(' ', 1)[1]}]")
+#: Pieces that are one word.
+PLAIN = regex.compile(" ?[A-Za-z]+")
 #: Fixed rule of the byte-level vocabulary: contractions, letters, numbers, other signs, white space. Used on ASCII.
 BYTE_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Pieces that a worker remembers.
-REMEMBERED = 250_000
+#: By byte: 0 outside ASCII, 1 letter, 2 digit, 3 other sign, 4 white space.
+CLASS = np.array([0 if i > 127 else 4 if i == 32 or 9 <= i <= 13 else 1 if chr(i).isalpha() else 2 if chr(i).isdigit() else 3 for i in range(256)], dtype=np.int8)
+#: Words that a worker remembers; the bytes of text that it encodes together.
+REMEMBERED, SLICE = 400_000, 8 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -44,9 +49,36 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+class Store:
+    """What a worker remembers: pieces that came more than once in a slice. Forgets all when there are over REMEMBERED."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.ids, self.counts = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+
+    def encode(self, encoder: TrieEncoder | LibraryEncoder, pieces: list[str], often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A row of ids, and where in it each piece's begin and how many it has."""
+        known = self.known
+        at = np.fromiter((known.get(p, -1) for p in pieces), dtype=np.int64, count=len(pieces))
+        new = np.flatnonzero(at < 0)
+        ids, counts = encoder.encode_pieces([pieces[k] for k in new.tolist()])
+        all_ids, all_counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        at[new] = len(self.counts) + np.arange(len(new))
+        first = np.cumsum(all_counts) - all_counts
+        if len(known) > REMEMBERED:
+            known.clear()
+            self.ids, self.counts = self.ids[:0], self.counts[:0]
+        keep = often[new]
+        known.update(zip([pieces[k] for k in new[keep].tolist()], range(len(self.counts), len(self.counts) + int(keep.sum())), strict=True))
+        self.ids, self.counts = np.concatenate([self.ids, ids[np.repeat(keep, counts)]]), np.concatenate([self.counts, counts[keep]])
+        return all_ids, first[at], all_counts[at]
+
+
 class TrieEncoder:
     """Byte-pair encoding of words by last-token states over a trie, from a tokenizers JSON file."""
 
+    FOLD = None
+
     def __init__(self, path: str):
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -61,7 +93,15 @@ class TrieEncoder:
         self.bytes_of = {i: t for t, i in self.vocabulary.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
-        self.longest = max(map(len, self.vocabulary))
+        #: By the last three bytes of a prefix: the length of the longest token that ends so.
+        self.reach: dict[bytes, int] = {}
+        for token in self.vocabulary:
+            for end in {token[-3:], token}:
+                self.reach[end] = max(self.reach.get(end, 2), len(token))
+        for token, length in list(self.reach.items()):
+            self.reach[token] = max(length, 2)
+        self.sizes = {i: len(t) for i, t in self.bytes_of.items()}
+        self.store = Store()
         self.stable: dict[tuple[int, int], bool] = {}
         lengths = np.zeros(max(self.bytes_of) + 1, dtype=np.int64)
         for i, t in self.bytes_of.items():
@@ -105,12 +145,14 @@ class TrieEncoder:
         out: dict[bytes, list[int]] = {}
         last: list[int] = [-1]
         before = b""
-        vocabulary, longest, stable = self.vocabulary, self.longest, self.stable
+        vocabulary, reach, stable, sizes = self.vocabulary, self.reach, self.stable, self.sizes
         for word in sorted(words):
-            shared = len(os.path.commonprefix((before, word)))
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
+                shared += 1
             del last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for begin in range(max(0, end - longest), end):
+                for begin in range(max(0, end - reach.get(word[max(0, end - 3) : end], 2)), end):
                     token = vocabulary.get(word[begin:end])
                     if token is None:
                         continue
@@ -126,19 +168,30 @@ class TrieEncoder:
             ids, at = [], len(word)
             while at:
                 ids.append(last[at])
-                at -= len(self.bytes_of[last[at]])
-            out[word] = ids[::-1]
+                at -= sizes[last[at]]
+            ids.reverse()
+            out[word] = ids
             before = word
         return out
 
-    def encode_pieces(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        """Each piece's ids as little-endian unsigned 32-bit integers. The library cuts pieces that aren't ASCII, as Unicode's classes differ by version."""
-        split = {p: [w.encode() for w in (BYTE_WORDS.findall(p) if p.isascii() else (p[a:b] for _, (a, b) in self.library.pre_tokenize_str(p)))] for p in pieces}
-        known = self.encode_words({w for words in split.values() for w in words})
-        return {p: np.array([i for w in words for i in known[w]], dtype="<u4").tobytes() for p, words in split.items()}
-
-    def cut(self, text: str) -> list[str]:
-        return BYTE_PIECES.findall(text)
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All pieces' ids in a row, and how many each has. The library cuts pieces that aren't ASCII, as Unicode's classes differ by version."""
+        split = [(p.encode(),) if PLAIN.fullmatch(p) else [w.encode() for w in (BYTE_WORDS.findall(p) if p.isascii() else (p[a:b] for _, (a, b) in self.library.pre_tokenize_str(p)))] for p in pieces]
+        known = self.encode_words({w for words in split for w in words})
+        found = [known[words[0]] if len(words) == 1 else [i for w in words for i in known[w]] for words in split]
+        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(counts.sum())), counts
+
+    def encode_text(self, text: str) -> np.ndarray:
+        """One text's ids, by its special tokens and pieces; for texts that `encode_all` can't cut by bytes."""
+        found = [np.zeros(0, dtype=np.uint32)]
+        for special, part in self.parts(text):
+            pieces = [] if special else BYTE_PIECES.findall(part)
+            found.append(np.array([self.special[part]], dtype=np.uint32) if special else self.encode_pieces(pieces)[0])
+        return np.concatenate(found)
+
+    def is_odd(self, text: str) -> bool:
+        return bool(ODD_SPACE.search(text)) or bool(self.special_pattern and self.special_pattern.search(text))
 
     def parts(self, text: str) -> list[tuple[bool, str]]:
         """The text cut at special tokens: (is special, text)."""
@@ -158,29 +211,13 @@ class TrieEncoder:
         return self.letters[at].tobytes().decode("utf-8", "replace")
 
 
-class PieceCache:
-    """Encodes texts by their distinct pieces; forgets all pieces when there are too many."""
-
-    def __init__(self, encoder):
-        self.encoder, self.known = encoder, {}
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        cut = [[(special, p) for special, t in self.encoder.parts(text) for p in ([t] if special else (self.encoder.cut(t),))] for text in texts]
-        known = self.known
-        missing = {p for parts in cut for special, pieces in parts if not special for p in pieces if p not in known}
-        if len(known) + len(missing) > REMEMBERED:
-            known.clear()
-            missing = {p for parts in cut for special, pieces in parts if not special for p in pieces}
-        known.update(self.encoder.encode_pieces(missing))
-        get = known.__getitem__
-        return [b"".join(np.array([self.encoder.special[p]], dtype="<u4").tobytes() if special else b"".join(map(get, p)) for special, p in parts) for parts in cut]
-
-
 class LibraryEncoder:
     """Pieces through the tokenizers library, for tokenizers that drop white space and never look across it."""
 
-    special: dict[str, int] = {}
+    #: The vocabulary is lower case; ASCII may be folded beforehand.
+    FOLD = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
+    #: Stands between pieces; a sign of its own with one id.
+    MARK = "\x01"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -189,25 +226,83 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-
-    def encode_pieces(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        pieces = list(pieces)
-        return {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True)}
-
-    def cut(self, text: str) -> list[str]:
-        return WORD_PIECES.findall(text)
-
-    def parts(self, text: str) -> list[tuple[bool, str]]:
-        return [(False, text)]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special_pattern = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.store = Store()
+        (self.mark,) = self.encode_text(self.MARK).tolist()
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All pieces' ids in a row, and how many each has; pieces are encoded in long strings with marks between."""
+        between = f" {self.MARK} "
+        texts = [between.join("" if self.MARK in p else p for p in pieces[k : k + 1000]) + between for k in range(0, len(pieces), 1000)]
+        ids = np.concatenate([np.zeros(0, dtype=np.uint32), *(np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))])
+        marks = np.flatnonzero(ids == self.mark)
+        counts = np.diff(marks, prepend=-1) - 1
+        if len(marks) != len(pieces):
+            raise AssertionError("a mark merged with a piece")
+        ids = ids[ids != self.mark]
+        own = [k for k, p in enumerate(pieces) if self.MARK in p]
+        if own:
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for k in own:
+                parts[k] = self.encode_text(pieces[k])
+            ids, counts = np.concatenate(parts), np.array([len(x) for x in parts])
+        return ids, counts
+
+    def encode_text(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def is_odd(self, text: str) -> bool:
+        return bool(ODD_SPACE.search(text)) or bool(self.special_pattern and self.special_pattern.search(text))
+
+
+def cut(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where pieces start in UTF-8 bytes whose only white space is ASCII: the BYTE_PIECES rule for all texts at once.
+
+    Pieces are cut further between ASCII letters, digits and other signs, where words end in either vocabulary's rule;
+    but not after an apostrophe, which may begin a contraction. starts: where texts of at least one byte start.
+    """
+    kind = CLASS[data]
+    blank = kind == 4
+    after = np.concatenate(([False], blank[:-1]))
+    after[starts] = False
+    begin = blank & ~after
+    begin[starts] = True
+    words = np.flatnonzero(~blank & after)
+    begin[words - 1] = True
+    begin[words[data[words - 1] != 32]] = True
+    a, b = kind[:-1], kind[1:]
+    begin[1:] |= (a != b) & (a > 0) & (b > 0) & (a < 4) & (b < 4) & ~((data[:-1] == 39) & (b == 1))
+    return np.flatnonzero(begin)
+
+
+def encode_all(encoder: TrieEncoder | LibraryEncoder, texts: list[str]) -> list[np.ndarray]:
+    """Each text's ids. Distinct pieces are encoded once; texts with other white space or special tokens go one by one."""
+    odd = {k: encoder.encode_text(t) for k, t in enumerate(texts) if encoder.is_odd(t)}
+    encoded = [b"" if k in odd else t.encode().translate(encoder.FOLD) for k, t in enumerate(texts)]
+    ends = np.cumsum(np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)))
+    begins = np.concatenate(([0], ends[:-1]))
+    data = np.frombuffer(b"".join(encoded), dtype=np.uint8)
+    if not len(data):
+        return [odd.get(k, np.zeros(0, dtype=np.uint32)) for k in range(len(texts))]
+    at = cut(data, begins[begins < ends])
+    pieces = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+    which = pieces.indices.to_numpy()
+    ids, first, counts = encoder.store.encode(encoder, pieces.dictionary.to_pylist(), np.bincount(which) > 1)
+    each = counts[which]
+    to = np.cumsum(each)
+    flat = ids[np.repeat(first[which] - (to - each), each) + np.arange(int(to[-1]))]
+    border = np.concatenate(([0], to))[np.searchsorted(at, np.append(begins, len(data)))]
+    return [odd[k] if k in odd else flat[a:b] for k, (a, b) in enumerate(zip(border, border[1:], strict=False))]
 
 
 #: By kind and path: what this worker process has loaded.
-LOADED: dict[tuple[type, str], PieceCache] = {}
+LOADED: dict[tuple[type, str], TrieEncoder | LibraryEncoder] = {}
 
 
-def loaded(kind: type, path: str) -> PieceCache:
+def loaded(kind: type, path: str) -> TrieEncoder | LibraryEncoder:
     if (kind, path) not in LOADED:
-        LOADED[kind, path] = PieceCache(kind(path))
+        LOADED[kind, path] = kind(path)
     return LOADED[kind, path]
 
 
@@ -215,13 +310,13 @@ def encode_and_decode(docs: DataFrame, path: str, id_column: str = "doc_id") ->
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row, by a byte-level vocabulary file on every machine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = loaded(TrieEncoder, path)
+        encoder = loaded(TrieEncoder, path)
         for batch in batches:
-            for part in slices(batch, "text"):
-                encoded = cache.encode_all([t or "" for t in part.column("text").to_pylist()])
-                decoded = [cache.encoder.decode(np.frombuffer(x, dtype="<u4")) for x in encoded]
+            for part in slices(batch, "text", SLICE):
+                encoded = [x.astype("<u4", copy=False) for x in encode_all(encoder, [t or "" for t in part.column("text").to_pylist()])]
+                decoded = [encoder.decode(x) for x in encoded]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) // 4 for x in encoded], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in encoded]), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded])],
+                    [part.column(0), pa.array([len(x) for x in encoded], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in encoded]), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded])],
                     [id_column, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
@@ -231,15 +326,16 @@ def encode_and_decode(docs: DataFrame, path: str, id_column: str = "doc_id") ->
 
 def encode_ids(docs: DataFrame, path: str, end_id: int, id_column: str = "doc_id") -> DataFrame:
     """(id, ids array<int>) of every row by a word vocabulary, each with the end id appended; keeps the rows' order."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = loaded(LibraryEncoder, path)
+        encoder = loaded(LibraryEncoder, path)
         for batch in batches:
-            for part in slices(batch, "text"):
-                encoded = [x + end for x in cache.encode_all([t or "" for t in part.column("text").to_pylist()])]
-                ends = np.cumsum([0, *(len(x) // 4 for x in encoded)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(encoded), dtype="<i4")))
+            for part in slices(batch, "text", SLICE):
+                encoded = encode_all(encoder, [t or "" for t in part.column("text").to_pylist()])
+                ends = np.cumsum([0, *(len(x) + 1 for x in encoded)]).astype(np.int32)
+                flat = np.concatenate([y for x in encoded for y in (x, end)]).view(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], [id_column, "ids"])
 
     kind = docs.schema[id_column].dataType.simpleString()
@@ -282,6 +378,7 @@ def token_offsets(spark: SparkSession, path: str, id_column: str = "doc_id") ->
     number = F.regexp_extract(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"part-(\d+)", 1).cast("int")
     rows = source.select(id_column, "ids", number.alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("place"))
     rows = rows.mapInArrow(digest, f"`{id_column}` {kind}, n_tokens long, ids_crc32 long, file int, place struct<block:long,row:long>")
+    rows = materialize(rows, "token-counts")
     within = Window.partitionBy("file").orderBy(F.col(id_column).asc_nulls_first(), "place")
     rows = rows.withColumn("sum_to", F.sum("n_tokens").over(within))
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("in_file"))
