@@ -66,3 +66,26 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterator
         held += n
     if begin < len(sizes):
         yield batch.slice(begin)
+
+
+#: Up to so many keys are chosen to be dealt evenly; more are even enough by themselves.
+CHOSEN_KEYS = 4096
+
+
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """n ints, the k-th of which hash partitioning into n partitions sends to the k-th."""
+    if n > CHOSEN_KEYS:
+        return list(range(n))
+    tried = 16 * n + 64
+    while True:
+        key = F.col("id").cast("int")
+        rows = spark.range(tried).groupBy(F.pmod(F.hash(key), F.lit(n)).alias("part")).agg(F.min(key).alias("key")).collect()
+        if len(rows) == n:
+            return [r["key"] for r in sorted(rows, key=lambda r: r["part"])]
+        tried *= 2
+
+
+def dealt_key(hashed: Column, keys: list[int]) -> Column:
+    """The key, of `even_keys`, that a long hash is dealt to."""
+    at = F.pmod(hashed, F.lit(len(keys))).cast("int")
+    return at if len(keys) > CHOSEN_KEYS else F.element_at(F.array(*map(F.lit, keys)), at + 1)

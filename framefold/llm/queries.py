@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framefold.llm import language, licenses, simhash, tokens
+from framefold.llm import language, licenses, lm, packing, simhash, tokens
 from framefold.llm.common import blocks, held_out, table
 
 
@@ -22,6 +22,14 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_copies(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -36,10 +44,12 @@ def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_lm_score": op3_lm_score,
     "op4_token_files": op4_token_files,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_license_scan": op8_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
