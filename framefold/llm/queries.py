@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framefold.llm import language, licenses, lm, packing, repeats, simhash, tokens, topk
+from framefold.llm import images, language, licenses, lm, packing, repeats, simhash, tokens, topk
 from framefold.llm.common import blocks, held_out, table
 
 
@@ -26,6 +26,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.find_repeats(table(spark, sf_dir, "documents"))
 
 
+def op2_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.image_copies(images.rendered(table(spark, sf_dir, "embeddings")))
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_image_copies": op2_image_copies,
     "op3_lm_score": op3_lm_score,
     "op4_token_files": op4_token_files,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
