@@ -1,10 +1,660 @@
-"""Queries over the test tables for the engine's operators."""
+"""Queries over the test tables for the engine's operators, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from framefold.functions import rules
+from framefold.operators import aggregates as A
+from framefold.operators import frames as V
+from framefold.operators import joins as J
+from framefold.operators import windows as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+FRAMES = """
+    frames AS (
+        SELECT user_id AS stream_id, CAST(row_number() OVER w - 1 AS BIGINT) AS seq, epoch_us(ts) / 1e6 AS ts,
+            CASE WHEN event_type IN ('click', 'view') THEN 'in_game' WHEN event_type = 'purchase' THEN 'paused'
+                WHEN event_type = 'signup' THEN 'level_select' ELSE 'unknown' END AS state,
+            CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS conf,
+            CAST(floor(coalesce(value, 0)) AS BIGINT) AS raw_score,
+            CAST(sum(floor(coalesce(value, 0))) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS score,
+            CAST(sum(CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS lines,
+            CASE WHEN event_id % 11 <> 0 THEN (['T', 'J', 'Z', 'O', 'S', 'L', 'I'])[CAST(event_id % 7 + 1 AS INTEGER)] END AS piece
+        FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+    )"""
+GAMES = """
+    games AS (
+        SELECT o_orderkey AS game_id, round(o_totalprice, 2) AS score, CAST(o_orderdate AS DATE) AS day, c_name AS player, n_name AS station, o_orderstatus AS status
+        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+    )"""
+CLEARS = """
+    clears AS (
+        SELECT l_orderkey AS game_id, CAST((l_linenumber - 1) % 4 + 1 AS BIGINT) AS size, l_partkey % 20 AS level, l_quantity AS quantity, l_extendedprice AS price FROM lineitem
+    )"""
+
+
+def query(name: str, sql: str | None, *views: str) -> Callable:
+    """Register a query under a name, with its SQL over the named views."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if sql is not None:
+            text = sql.strip()
+            if views:
+                head = "WITH " + ", ".join(v.strip() for v in views)
+                text = f"{head}, {text[5:]}" if text.startswith("WITH ") else f"{head} {text}"
+            ORACLE_SQL[name] = text
+        return f
+
+    return add
+
+
+@query(
+    "replay_stats",
+    """
+    WITH play AS (SELECT *, coalesce(ts - lag(ts) OVER w, 0) AS d FROM frames WHERE state = 'in_game' WINDOW w AS (PARTITION BY stream_id ORDER BY seq)),
+    clock AS (SELECT stream_id, round(sum(CASE WHEN d > 0 THEN least(d, 1800) ELSE 0 END), 3) AS active_seconds, max(score) AS score FROM play GROUP BY 1),
+    known AS (SELECT *, lag(piece) OVER (PARTITION BY stream_id ORDER BY seq) AS spawned FROM frames WHERE piece IS NOT NULL),
+    sp AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY seq) AS n FROM known WHERE spawned IS NOT NULL AND piece <> spawned),
+    dr AS (SELECT *, n - coalesce(max(CASE WHEN spawned = 'I' THEN n END) OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS drought FROM sp),
+    pieces AS (SELECT stream_id, count(*) AS pieces, max(drought) AS max_drought FROM dr GROUP BY 1)
+    SELECT stream_id, score, active_seconds, coalesce(pieces, 0) AS pieces, coalesce(max_drought, 0) AS max_drought,
+        round(CASE WHEN active_seconds > 0 THEN coalesce(pieces, 0) / active_seconds END, 6) AS pps,
+        round(CASE WHEN active_seconds > 0 THEN score * 60 / active_seconds END, 4) AS score_per_min
+    FROM clock LEFT JOIN pieces USING (stream_id)
+    """,
+    FRAMES,
+)
+def replay_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = V.frames(spark, sf_dir)
+    clock = W.active_clock(frames, 1800.0).groupBy("stream_id").agg(F.round(F.sum("step"), 3).alias("active_seconds"), F.max("score").alias("score"))
+    pieces = W.droughts(W.spawns(frames)).groupBy("stream_id").agg(F.count("*").alias("pieces"), F.max("drought").alias("max_drought"))
+    out = clock.join(pieces, "stream_id", "left").fillna(0, ["pieces", "max_drought"])
+    played = F.col("active_seconds") > 0
+    return out.select("stream_id", "score", "active_seconds", "pieces", "max_drought", F.round(F.when(played, F.col("pieces") / F.col("active_seconds")), 6).alias("pps"), F.round(F.when(played, F.col("score") * 60 / F.col("active_seconds")), 4).alias("score_per_min"))
+
+
+VOTE_SQL = """
+    WITH ballots AS (
+        SELECT f.stream_id, f.seq, b.{value} AS v, {weight} AS w, b.seq AS pos FROM frames f JOIN frames b ON b.stream_id = f.stream_id AND b.seq BETWEEN f.seq - 4 AND f.seq
+        WHERE b.{value} IS NOT NULL AND b.{value} <> 'unknown'
+    ),
+    sums AS (SELECT stream_id, seq, v, sum(w) AS s, count(*) AS n, min(pos) AS first_at, max(pos) AS last_at FROM ballots GROUP BY 1, 2, 3),
+    best AS (SELECT *, row_number() OVER (PARTITION BY stream_id, seq ORDER BY round(s, 9) DESC, {tie}) AS r FROM sums)
+"""
+
+
+@query(
+    "w1_state_vote",
+    VOTE_SQL.format(value="state", weight="b.conf", tie="first_at")
+    + """
+    SELECT f.stream_id, f.seq, round(s / n, 6) AS vote_confidence,
+        coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY f.stream_id ORDER BY f.seq ROWS UNBOUNDED PRECEDING), 'unknown') AS fused_state
+    FROM frames f LEFT JOIN best b ON b.stream_id = f.stream_id AND b.seq = f.seq AND r = 1
+    """,
+    FRAMES,
+)
+def w1_state_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = V.frames(spark, sf_dir)
+    return W.vote_state(frames).select("stream_id", "seq", F.round("vote_confidence", 6).alias("vote_confidence"), "fused_state")
+
+
+@query(
+    "a7_cell_vote",
+    VOTE_SQL.format(value="piece", weight="CASE WHEN b.conf >= 0.5 THEN 1.0 ELSE 0.4 END", tie="last_at DESC")
+    + " SELECT f.stream_id, f.seq, v AS cell FROM frames f LEFT JOIN best b ON b.stream_id = f.stream_id AND b.seq = f.seq AND r = 1",
+    FRAMES,
+)
+def a7_cell_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.cell_vote(V.frames(spark, sf_dir), "piece").select("stream_id", "seq", "cell")
+
+
+@query(
+    "w4_hold_decay",
+    """
+    WITH marked AS (SELECT *, CASE WHEN conf >= 0.4 THEN seq END AS fresh FROM frames),
+    held AS (SELECT *, last_value(fresh IGNORE NULLS) OVER w AS at FROM marked WINDOW w AS (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING))
+    SELECT h.stream_id, h.seq, round(f.conf * pow(0.9, h.seq - h.at), 6) AS held_confidence, CASE WHEN f.conf * pow(0.9, h.seq - h.at) >= 0.4 THEN f.raw_score END AS held
+    FROM held h LEFT JOIN frames f ON f.stream_id = h.stream_id AND f.seq = h.at
+    """,
+    FRAMES,
+)
+def w4_hold_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.hold_with_decay(V.frames(spark, sf_dir), "raw_score").select("stream_id", "seq", F.round("held_confidence", 6).alias("held_confidence"), "held")
+
+
+@query("w5_running_max", "SELECT stream_id, seq, max(raw_score) OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS most FROM frames", FRAMES)
+def w5_running_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.running_max(V.frames(spark, sf_dir), "raw_score").select("stream_id", "seq", "most")
+
+
+@query(
+    "w10_active_clock",
+    """
+    WITH play AS (SELECT *, ts - lag(ts) OVER (PARTITION BY stream_id ORDER BY seq) AS d FROM frames WHERE state = 'in_game')
+    SELECT stream_id, seq, round(sum(CASE WHEN d > 0 THEN least(d, 1800) ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 3) AS active_seconds FROM play
+    """,
+    FRAMES,
+)
+def w10_active_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.active_clock(V.frames(spark, sf_dir), 1800.0).select("stream_id", "seq", F.round("active_seconds", 3).alias("active_seconds"))
+
+
+DROUGHTS = """
+    known AS (SELECT *, lag(piece) OVER (PARTITION BY stream_id ORDER BY seq) AS spawned FROM frames WHERE piece IS NOT NULL),
+    sp AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY seq) AS n FROM known WHERE spawned IS NOT NULL AND piece <> spawned),
+    dr AS (SELECT *, n - coalesce(max(CASE WHEN spawned = 'I' THEN n END) OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS drought FROM sp)
+"""
+
+
+@query("w13_drought", "SELECT stream_id, seq, spawned, n, drought FROM dr", FRAMES, DROUGHTS)
+def w13_drought(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.droughts(W.spawns(V.frames(spark, sf_dir))).select("stream_id", "seq", "spawned", "n", "drought")
+
+
+@query(
+    "w15_ended_droughts",
+    """
+    WITH e AS (SELECT *, CASE WHEN spawned = 'I' THEN coalesce(lag(drought) OVER (PARTITION BY stream_id ORDER BY seq), 0) END AS ended FROM dr)
+    SELECT stream_id, max_by(ended, n) FILTER (ended IS NOT NULL) AS last_ended, CAST(count(*) FILTER (ended >= 5) AS BIGINT) AS ended_flagged, max(drought) AS max_drought FROM e GROUP BY 1
+    """,
+    FRAMES,
+    DROUGHTS,
+)
+def w15_ended_droughts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.ended_droughts(W.spawns(V.frames(spark, sf_dir)), flag=5)
+
+
+@query(
+    "w16_trt_trend",
+    """
+    SELECT game_id, size, level, quantity, price, CAST(sum(size) OVER w AS BIGINT) AS total_lines, round(sum(CASE WHEN size = 4 THEN 4 ELSE 0 END) OVER w / sum(size) OVER w, 6) AS rate
+    FROM clears WINDOW w AS (PARTITION BY game_id ORDER BY quantity, price, size, level ROWS UNBOUNDED PRECEDING)
+    """,
+    CLEARS,
+)
+def w16_trt_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = A.trt_trend(V.clears(spark, sf_dir), ["quantity", "price", "size", "level"])
+    return out.withColumn("rate", F.round("rate", 6))
+
+
+RUNS = """
+    marked AS (SELECT *, CASE WHEN lag(seq) OVER w IS NULL OR state IS DISTINCT FROM lag(state) OVER w THEN 1 ELSE 0 END AS c FROM frames WINDOW w AS (PARTITION BY stream_id ORDER BY seq)),
+    numbered AS (SELECT *, sum(c) OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+    runs AS (SELECT stream_id, CAST(run AS BIGINT) AS run, min(seq) AS start_seq, max(seq) AS end_seq, any_value(state) AS value, count(*) AS n FROM numbered GROUP BY 1, 2)
+"""
+
+
+@query("w28_runs", "SELECT stream_id, run, start_seq, end_seq, value, n FROM runs", FRAMES, RUNS)
+def w28_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.runs(V.frames(spark, sf_dir), "state").select("stream_id", "run", "start_seq", "end_seq", "value", "n")
+
+
+@query("w29_longest_runs", "SELECT stream_id, start_seq, end_seq, n FROM runs WHERE value = 'unknown' ORDER BY n DESC, stream_id, start_seq LIMIT 20", FRAMES, RUNS)
+def w29_longest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.runs(V.frames(spark, sf_dir), "state").where("value = 'unknown'").orderBy(F.desc("n"), "stream_id", "start_seq").limit(20).select("stream_id", "start_seq", "end_seq", "n")
+
+
+@query(
+    "w19_settle",
+    """
+    WITH known AS (SELECT stream_id, seq, piece, CASE WHEN piece IS DISTINCT FROM lag(piece) OVER w THEN 1 ELSE 0 END AS c FROM frames WHERE piece IS NOT NULL WINDOW w AS (PARTITION BY stream_id ORDER BY seq)),
+    numbered AS (SELECT *, sum(c) OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM known),
+    firm AS (SELECT stream_id, seq, CASE WHEN row_number() OVER (PARTITION BY stream_id, run ORDER BY seq) >= 2 THEN piece END AS firm FROM numbered)
+    SELECT f.stream_id, f.seq, last_value(firm IGNORE NULLS) OVER (PARTITION BY f.stream_id ORDER BY f.seq ROWS UNBOUNDED PRECEDING) AS settled FROM frames f LEFT JOIN firm g ON f.stream_id = g.stream_id AND f.seq = g.seq
+    """,
+    FRAMES,
+)
+def w19_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.settle(V.frames(spark, sf_dir), "piece", 2).select("stream_id", "seq", "settled")
+
+
+@query(
+    "w21_schmitt",
+    """
+    SELECT stream_id, seq, coalesce(last_value(CASE WHEN conf > 0.8 THEN TRUE WHEN conf <= 0.4 THEN FALSE END IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING), FALSE) AS high FROM frames
+    """,
+    FRAMES,
+)
+def w21_schmitt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.schmitt(V.frames(spark, sf_dir), "conf", 0.8, 0.4).select("stream_id", "seq", "high")
+
+
+@query(
+    "w26_streak",
+    """
+    WITH p AS (SELECT *, sum(CASE WHEN state = 'in_game' THEN 0 ELSE 1 END) OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS part FROM frames),
+    s AS (SELECT stream_id, seq, CAST(sum(CASE WHEN state = 'in_game' THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id, part ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS streak FROM p)
+    SELECT stream_id, seq, streak, streak >= 4 AS confirmed FROM s
+    """,
+    FRAMES,
+)
+def w26_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.streak(V.frames(spark, sf_dir), F.col("state") == "in_game", 4).select("stream_id", "seq", "streak", "confirmed")
+
+
+@query(
+    "w30_first_last",
+    """
+    SELECT stream_id, min_by(piece, seq) FILTER (piece IS NOT NULL) AS first_value, max_by(piece, seq) FILTER (piece IS NOT NULL AND state = 'in_game') AS last_value FROM frames GROUP BY 1
+    """,
+    FRAMES,
+)
+def w30_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.first_last(V.frames(spark, sf_dir), "piece")
+
+
+@query(
+    "w31_session_end",
+    """
+    WITH s AS (SELECT *, lag(state) OVER w AS before_state, last_value(CASE WHEN state = 'in_game' THEN score END IGNORE NULLS) OVER r AS end_score, last_value(CASE WHEN state = 'in_game' THEN seq END IGNORE NULLS) OVER r AS end_seq
+        FROM frames WINDOW w AS (PARTITION BY stream_id ORDER BY seq), r AS (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING))
+    SELECT stream_id, seq, before_state, end_score, end_seq FROM s WHERE before_state IN ('in_game', 'paused') AND state = 'level_select'
+    """,
+    FRAMES,
+)
+def w31_session_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.session_ends(V.frames(spark, sf_dir)).select("stream_id", "seq", "before_state", "end_score", "end_seq")
+
+
+@query(
+    "w33_stack_commit",
+    """
+    WITH s AS (SELECT *, CASE WHEN state = 'in_game' AND piece IS NOT NULL AND lag(piece) OVER w <> piece THEN lag(raw_score) OVER w END AS taken FROM frames WINDOW w AS (PARTITION BY stream_id ORDER BY seq))
+    SELECT stream_id, seq, last_value(taken IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS stack FROM s
+    """,
+    FRAMES,
+)
+def w33_stack_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.stack_commit(V.frames(spark, sf_dir), "raw_score").select("stream_id", "seq", "stack")
+
+
+@query(
+    "s6_source_gaps",
+    """
+    WITH g AS (SELECT stream_id, seq, ts - lag(ts) OVER (PARTITION BY stream_id ORDER BY seq) AS gap FROM frames)
+    SELECT stream_id, seq, CAST(CASE WHEN gap IS NULL OR gap * 0.01 < 1.5 THEN 0 ELSE greatest(round(gap * 0.01) - 1, 0) END AS BIGINT) AS missing FROM g
+    """,
+    FRAMES,
+)
+def s6_source_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.source_gaps(V.frames(spark, sf_dir), 0.01).select("stream_id", "seq", "missing")
+
+
+@query(
+    "k14_changes",
+    """
+    WITH c AS (SELECT *, lag(state || coalesce(piece, '-')) OVER w AS b, lag(seq) OVER w AS p FROM frames WINDOW w AS (PARTITION BY stream_id ORDER BY seq))
+    SELECT stream_id, seq, CAST(row_number() OVER (PARTITION BY stream_id ORDER BY seq) - 1 AS BIGINT) AS out_seq FROM c WHERE p IS NULL OR (state || coalesce(piece, '-')) IS DISTINCT FROM b
+    """,
+    FRAMES,
+)
+def k14_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.changes(V.frames(spark, sf_dir), F.concat("state", F.coalesce("piece", F.lit("-")))).select("stream_id", "seq", "out_seq")
+
+
+@query(
+    "a16_signal_lost",
+    """
+    WITH s AS (SELECT stream_id, state, greatest(least(coalesce(ts - lag(ts) OVER (PARTITION BY stream_id ORDER BY seq), 0), 900), 0) AS d FROM frames)
+    SELECT stream_id, round(sum(CASE WHEN state = 'unknown' THEN d ELSE 0 END), 3) AS lost_seconds FROM s GROUP BY 1
+    """,
+    FRAMES,
+)
+def a16_signal_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.signal_lost(V.frames(spark, sf_dir), cap=900.0).withColumn("lost_seconds", F.round("lost_seconds", 3))
+
+
+@query(
+    "w11_attribution",
+    """
+    WITH k AS (SELECT stream_id, seq, lines - lag(lines) OVER w AS d_lines, score - lag(score) OVER w AS d_score FROM frames WHERE state = 'in_game' WINDOW w AS (PARTITION BY stream_id ORDER BY seq)),
+    d AS (SELECT *, d_score % 19 AS level FROM k WHERE d_lines > 0 AND d_lines <= 8),
+    parts(n, p, b) AS (WITH RECURSIVE r(n, p, b, m) AS (SELECT 0, CAST([] AS INTEGER[]), 0, 4 UNION ALL
+        SELECT n + s, list_append(p, s), b + ([40, 100, 300, 1200])[s], s FROM r, (SELECT unnest([1, 2, 3, 4]) AS s) WHERE s <= m AND n + s <= 8) SELECT n, p, b FROM r WHERE n > 0),
+    fit AS (SELECT d.*, p, d_score - b * (level + 1) AS res FROM d JOIN parts ON n = d_lines),
+    good AS (SELECT *, row_number() OVER (PARTITION BY stream_id, seq ORDER BY res, p) AS r, count(*) FILTER (TRUE) OVER (PARTITION BY stream_id, seq, res) AS same FROM fit WHERE res >= 0 AND res <= 150 * len(p)),
+    best AS (SELECT * FROM good WHERE r = 1 AND same = 1)
+    SELECT d.stream_id, d.seq, d.d_lines, d.d_score, b.p IS NOT NULL AS attributed,
+        array_to_string(coalesce(b.p, list_concat(list_transform(range(CAST(d.d_lines // 4 AS BIGINT)), lambda x: 4), CASE WHEN d.d_lines % 4 > 0 THEN [CAST(d.d_lines % 4 AS INTEGER)] ELSE [] END)), '+') AS parts
+    FROM d LEFT JOIN best b ON d.stream_id = b.stream_id AND d.seq = b.seq
+    """,
+    FRAMES,
+)
+def w11_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deltas = W.line_deltas(V.frames(spark, sf_dir)).where("counts").withColumn("level_now", F.col("d_score") % 19)
+    out = J.attribute(deltas, "d_lines", "d_score", "level_now")
+    return out.select("stream_id", "seq", "d_lines", "d_score", "attributed", F.array_join(F.col("parts").cast("array<string>"), "+").alias("parts"))
+
+
+@query(
+    "a8_clear_stats",
+    """
+    WITH s AS (SELECT game_id, count(*) FILTER (size = 1) AS singles, count(*) FILTER (size = 2) AS doubles, count(*) FILTER (size = 3) AS triples, count(*) FILTER (size = 4) AS tetrises, CAST(sum(size) AS BIGINT) AS lines,
+        CAST(coalesce(sum(40 * (level + 1)) FILTER (size = 1), 0) AS BIGINT) AS points_1, CAST(coalesce(sum(100 * (level + 1)) FILTER (size = 2), 0) AS BIGINT) AS points_2,
+        CAST(coalesce(sum(300 * (level + 1)) FILTER (size = 3), 0) AS BIGINT) AS points_3, CAST(coalesce(sum(1200 * (level + 1)) FILTER (size = 4), 0) AS BIGINT) AS points_4,
+        sum(([40, 100, 300, 1200])[size]) AS base, CAST(floor(sum(price)) AS BIGINT) AS score FROM clears GROUP BY 1)
+    SELECT * EXCLUDE (base, score), round(4.0 * tetrises / lines, 6) AS tetris_rate, lines - 4 * tetrises AS burn, round(base / lines, 6) AS efficiency FROM s
+    """,
+    CLEARS,
+)
+def a8_clear_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.clear_stats(V.clears(spark, sf_dir)).withColumn("tetris_rate", F.round("tetris_rate", 6)).withColumn("efficiency", F.round("efficiency", 6))
+
+
+@query(
+    "a10_points_drops",
+    """
+    WITH p AS (SELECT game_id, CAST(sum(([40, 100, 300, 1200])[size] * (level + 1)) AS BIGINT) AS points FROM clears GROUP BY 1)
+    SELECT p.game_id, points, CAST(floor(score) AS BIGINT) AS score, greatest(CAST(floor(score) AS BIGINT) - points, 0) AS drops FROM p JOIN games USING (game_id)
+    """,
+    CLEARS,
+    GAMES,
+)
+def a10_points_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = V.games(spark, sf_dir).select("game_id", F.floor("score").cast("long").alias("score"))
+    out = A.with_drops(A.clear_stats(V.clears(spark, sf_dir)).join(scores, "game_id"), "score")
+    return out.select("game_id", sum(F.col(f"points_{k}") for k in (1, 2, 3, 4)).alias("points"), "score", F.col("drops").cast("long").alias("drops"))
+
+
+@query("a1_percentiles", "SELECT l_returnflag AS flag, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(stddev_pop(l_quantity), 6) AS std FROM lineitem GROUP BY 1")
+def a1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = lambda q, n: F.round(F.percentile("l_extendedprice", F.lit(q)), 4).alias(n)
+    return V.read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(p(0.1, "p10"), p(0.5, "median"), p(0.95, "p95"), F.round(F.stddev_pop("l_quantity"), 6).alias("std"))
+
+
+@query(
+    "a3_nearest_rank",
+    "WITH l AS (SELECT stream_id, list(conf ORDER BY conf) AS v FROM frames GROUP BY 1) SELECT stream_id, v[CAST(round((len(v) - 1) * 0.95) AS BIGINT) + 1] AS p95, v[CAST(floor((len(v) - 1) * 0.95) AS BIGINT) + 1] AS p95_low FROM l",
+    FRAMES,
+)
+def a3_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = V.frames(spark, sf_dir).groupBy("stream_id").agg(F.collect_list("conf").alias("v"))
+    return held.select("stream_id", A.nearest_rank(F.col("v"), 0.95).alias("p95"), A.nearest_rank(F.col("v"), 0.95, truncate=True).alias("p95_low"))
+
+
+@query(
+    "a5_argsort",
+    "SELECT vec_id, array_to_string(list_transform(list_sort(list_transform(range(64), lambda i: {'v': embedding[i + 1], 'i': i})), lambda p: p.i), ',') AS places FROM embeddings",
+)
+def a5_argsort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.read(spark, sf_dir, "embeddings").select("vec_id", F.array_join(A.argsort(F.col("embedding")).cast("array<string>"), ",").alias("places"))
+
+
+@query(
+    "a12_pace",
+    """
+    WITH g AS (SELECT game_id, CAST(sum(size) AS BIGINT) AS lines, max(level) AS level, sum(([40, 100, 300, 1200])[size] * (level + 1)) AS score, sum(([40, 100, 300, 1200])[size]) / sum(size) AS per_line FROM clears GROUP BY 1),
+    f AS (SELECT *, greatest(230 - lines, 0) AS remaining, least(10 - lines % 10, greatest(230 - lines, 0)) AS head FROM g)
+    SELECT game_id, CAST(floor(score + head * per_line * (level + 1) + coalesce(list_sum(list_transform(range(1, CAST(ceil((remaining - head) / 10) AS BIGINT) + 1), lambda k: least(10, remaining - head - 10 * (k - 1)) * per_line * (level + k + 1))), 0) + 0.5) AS BIGINT) AS pace FROM f
+    """,
+    CLEARS,
+)
+def a12_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = rules.clear_base_score(F.col("size"))
+    g = V.clears(spark, sf_dir).groupBy("game_id").agg(F.sum("size").alias("lines"), F.max("level").alias("level"), F.sum(base * (F.col("level") + 1)).alias("score"), (F.sum(base) / F.sum("size")).alias("per_line"))
+    return g.select("game_id", A.project_pace(F.col("score"), F.col("lines"), F.col("level"), F.col("per_line")).alias("pace"))
+
+
+@query(
+    "a13_variation",
+    "WITH c AS (SELECT game_id, count(*) FILTER (size = 1) AS a, count(*) FILTER (size = 2) AS b, count(*) FILTER (size = 3) AS c, count(*) FILTER (size = 4) AS d FROM clears GROUP BY 1) SELECT game_id, round(list_stddev_pop([a, b, c, d]) / list_avg([a, b, c, d]), 6) AS cv FROM c",
+    CLEARS,
+)
+def a13_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = A.clear_stats(V.clears(spark, sf_dir))
+    return s.select("game_id", F.round(A.coefficient_of_variation(F.array("singles", "doubles", "triples", "tetrises").cast("array<double>")), 6).alias("cv"))
+
+
+@query(
+    "a14_board_metrics",
+    """
+    WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0.05 THEN 1 ELSE 0 END) AS b FROM embeddings),
+    h AS (SELECT *, list_transform(range(8), lambda c: coalesce(list_max(list_transform(list_filter(range(8), lambda r: b[r * 8 + c + 1] = 1), lambda r: 8 - r)), 0)) AS h FROM b)
+    SELECT vec_id, CAST(list_max(h) AS BIGINT) AS max_height, list_sum(h) / 8 AS mean_height, CAST(list_sum(h) - list_sum(b) AS BIGINT) AS holes, CAST(len(list_filter(range(8), lambda r: list_sum(b[r * 8 + 1:r * 8 + 8]) = 8)) AS BIGINT) AS full_rows,
+        len(list_filter(range(1, 9), lambda c: least(CASE WHEN c = 1 THEN 1000 ELSE h[c - 1] END, CASE WHEN c = 8 THEN 1000 ELSE h[c + 1] END) - h[c] >= 3)) >= 2 AS double_well
+    FROM h
+    """,
+)
+def a14_board_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boards = V.read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.when(x > 0.05, 1).otherwise(0)).alias("board"))
+    out = A.board_metrics(boards, "board", 8, 8)
+    return out.select("vec_id", F.col("max_height").cast("long").alias("max_height"), F.col("mean_height").cast("double").alias("mean_height"), F.col("holes").cast("long").alias("holes"), F.col("full_rows").cast("long").alias("full_rows"), "double_well")
+
+
+@query(
+    "a17_agreement",
+    """
+    WITH p AS (SELECT a.piece AS ap, b.piece AS bp, a.state AS as_, b.state AS bs FROM frames a JOIN frames b ON a.stream_id = b.stream_id - 1 AND a.seq = b.seq)
+    SELECT 'piece' AS field, count(*) FILTER (ap IS NOT NULL AND bp IS NOT NULL) AS scored, count(*) FILTER (ap = bp) AS agree, count(*) FILTER ((ap IS NULL) <> (bp IS NULL)) AS one_side, round(count(*) FILTER (ap = bp) / greatest(count(*) FILTER (ap IS NOT NULL AND bp IS NOT NULL), 1), 6) AS rate FROM p
+    UNION ALL SELECT 'state', count(*), count(*) FILTER (as_ = bs), 0, round(count(*) FILTER (as_ = bs) / greatest(count(*), 1), 6) FROM p
+    """,
+    FRAMES,
+)
+def a17_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = V.frames(spark, sf_dir)
+    b = a.withColumn("stream_id", F.col("stream_id") - 1)
+    paired = J.pair_runs(a, b.withColumn("o", F.col("seq")), ["stream_id", "seq"], "o", ["piece", "state"])
+    return A.agreement(paired, ["piece", "state"]).withColumn("rate", F.round("rate", 6))
+
+
+@query(
+    "a18_confusion",
+    """
+    WITH c AS (SELECT quality AS label, CAST(n_chars > 1500 AS INTEGER) AS predicted, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2)
+    SELECT label, predicted, n, round(n / sum(n) OVER (PARTITION BY label), 6) AS share FROM c
+    """,
+)
+def a18_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = V.read(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 1500).cast("int").alias("predicted"))
+    rows = docs.join(V.read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return A.confusion(rows, "quality", "predicted").withColumn("share", F.round("share", 6))
+
+
+@query(
+    "a19_label_stats",
+    """
+    SELECT label, count(*) AS n, round(avg(embedding[1]), 6) AS mean_score, min(embedding[1]) AS min_score FROM embeddings GROUP BY 1
+    """,
+)
+def a19_label_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.element_at("embedding", 1)
+    return V.read(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(first), 6).alias("mean_score"), F.min(first).alias("min_score"))
+
+
+TEMPLATES = """
+    flat AS (SELECT vec_id, label, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+    tmpl AS (SELECT label AS t, i, avg(x) AS m FROM flat GROUP BY 1, 2),
+    scored AS (SELECT f.vec_id, f.label, t, round((corr(x, m) + 1) / 2, 9) AS score FROM flat f JOIN tmpl USING (i) GROUP BY 1, 2, 3)
+"""
+
+
+@query(
+    "j6_template_match",
+    """
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, t DESC) AS r, lead(score) OVER (PARTITION BY vec_id ORDER BY score DESC, t DESC) AS other FROM scored)
+    SELECT vec_id, label, t AS best, round(score, 6) AS score, round(coalesce(score - other, score), 6) AS margin FROM r WHERE r = 1
+    """,
+    TEMPLATES,
+)
+def j6_template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = V.glyphs(spark, sf_dir)
+    out = J.best_template(g, J.templates_of(g))
+    return out.select("vec_id", "label", "best", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"))
+
+
+@query(
+    "j2_match_within",
+    """
+    WITH p AS (SELECT a.stream_id, a.seq, a.piece AS av, b.piece AS bv FROM frames a JOIN frames b ON a.stream_id = b.stream_id - 1 AND a.seq = b.seq)
+    SELECT p.stream_id, p.seq, bool_or(p.av IS NOT DISTINCT FROM q.bv) AS near FROM p JOIN p q ON p.stream_id = q.stream_id AND q.seq BETWEEN p.seq - 3 AND p.seq + 3 GROUP BY 1, 2
+    """,
+    FRAMES,
+)
+def j2_match_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = V.frames(spark, sf_dir)
+    b = a.withColumn("stream_id", F.col("stream_id") - 1).withColumn("o", F.col("seq"))
+    paired = J.pair_runs(a, b, ["stream_id", "seq"], "o", ["piece"])
+    return J.matches_within(paired, "piece", 3, "stream_id", "seq").select("stream_id", "seq", "near")
+
+
+@query(
+    "j4_segments",
+    """
+    WITH b AS (SELECT min(floor(ts / 86400)) * 86400 AS t0 FROM frames),
+    s AS (SELECT row_number() OVER (ORDER BY d) AS segment, t0 + d * 259200.0 AS start_s, t0 + d * 259200.0 + 172800.0 AS end_s, 3600.0 AS margin_s FROM b, range(10) r(d))
+    SELECT stream_id, seq, segment, segment IS NOT NULL AND ts >= start_s + margin_s AND ts < end_s - margin_s AS scored FROM frames LEFT JOIN s ON ts >= start_s AND ts < end_s
+    """,
+    FRAMES,
+)
+def j4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = V.frames(spark, sf_dir)
+    begin = frames.agg((F.min(F.floor(F.col("ts") / 86400)) * 86400).alias("t0"))
+    d = F.explode(F.sequence(F.lit(0), F.lit(9)))
+    segments = begin.select("t0", d.alias("d")).select((F.col("d") + 1).cast("long").alias("segment"), (F.col("t0") + F.col("d") * 259200.0).alias("start_s"), (F.col("t0") + F.col("d") * 259200.0 + 172800.0).alias("end_s"), F.lit(3600.0).alias("margin_s"))
+    return J.in_segments(frames, segments, "ts", 86400.0).select("stream_id", "seq", "segment", "scored")
+
+
+@query(
+    "p8_player_as_of",
+    """
+    WITH cards AS (SELECT stream_id, ts, piece AS card FROM frames WHERE state = 'paused' AND piece IS NOT NULL), starts AS (SELECT stream_id, seq, ts FROM frames WHERE state = 'in_game'),
+    j AS (SELECT s.stream_id, s.seq, s.ts, c.card, c.ts AS t, row_number() OVER (PARTITION BY s.stream_id, s.seq ORDER BY c.ts DESC, c.card DESC) AS r FROM starts s LEFT JOIN cards c ON c.stream_id = s.stream_id AND c.ts <= s.ts)
+    SELECT stream_id, seq, CASE WHEN ts - t <= 86400 THEN card END AS card FROM j WHERE r = 1
+    """,
+    FRAMES,
+)
+def p8_player_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = V.frames(spark, sf_dir)
+    cards = frames.where("state = 'paused' AND piece IS NOT NULL").select("stream_id", "ts", F.col("piece").alias("card"))
+    return J.as_of(frames.where("state = 'in_game'").select("stream_id", "ts", "seq"), cards, "stream_id", "ts", "card", 86400.0).select("stream_id", "seq", "card")
+
+
+@query("j11_slugs", "SELECT page_id, substring(trim(regexp_replace(url, '[^A-Za-z0-9]+', '_', 'g'), '_'), 1, 64) AS slug FROM pages")
+def j11_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.read(spark, sf_dir, "pages").select("page_id", rules.slug(F.col("url")).alias("slug"))
+
+
+@query("t1_leaderboard", "SELECT game_id, score, player, station FROM games WHERE status = 'F' ORDER BY score DESC, game_id LIMIT 50", GAMES)
+def t1_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.leaderboard(V.games(spark, sf_dir).where("status = 'F'"), 50, "game_id").select("game_id", "score", "player", "station")
+
+
+@query("t1_station_leaders", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY station, day ORDER BY score DESC, game_id) AS place FROM games) SELECT station, day, place, game_id, score FROM r WHERE place <= 3", GAMES)
+def t1_station_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.leaderboard(V.games(spark, sf_dir), 3, "game_id", ["station", "day"]).select("station", "day", F.col("place").cast("long").alias("place"), "game_id", "score")
+
+
+@query(
+    "a21_telemetry",
+    """
+    WITH g AS (SELECT CAST(floor(ts / 3600) * 3600 AS BIGINT) AS window_start, count(*) AS n, list(conf ORDER BY conf) AS v FROM frames GROUP BY 1)
+    SELECT window_start, n, round(n / 3600, 4) AS rate, round(v[CAST(round((len(v) - 1) * 0.5) AS BIGINT) + 1], 2) AS p50, round(v[CAST(round((len(v) - 1) * 0.95) AS BIGINT) + 1], 2) AS p95 FROM g
+    """,
+    FRAMES,
+)
+def a21_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.telemetry(V.frames(spark, sf_dir).select("ts", F.col("conf").alias("x")), 3600)
+
+
+@query(
+    "a21_counter_deltas",
+    "WITH d AS (SELECT stream_id, seq, raw_score, lag(raw_score) OVER (PARTITION BY stream_id ORDER BY seq) AS b FROM frames) SELECT stream_id, seq, CASE WHEN b IS NULL THEN 0 WHEN raw_score < b THEN raw_score ELSE raw_score - b END AS delta FROM d",
+    FRAMES,
+)
+def a21_counter_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.counter_deltas(V.frames(spark, sf_dir), "raw_score").select("stream_id", "seq", "delta")
+
+
+@query(
+    "a22_busy",
+    "WITH d AS (SELECT stream_id, seq, (score + lines) - lag(score + lines) OVER w AS t, lines - lag(lines) OVER w AS i FROM frames WINDOW w AS (PARTITION BY stream_id ORDER BY seq)) SELECT stream_id, seq, round(CASE WHEN t > 0 THEN 100 * (t - i) / t END, 6) AS busy FROM d",
+    FRAMES,
+)
+def a22_busy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = V.frames(spark, sf_dir).withColumn("total", F.col("score") + F.col("lines")).withColumn("idle", F.col("lines"))
+    return A.busy_percent(samples).select("stream_id", "seq", F.round("busy", 6).alias("busy"))
+
+
+@query(
+    "a24_otsu",
+    """
+    WITH c AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS v, count(*) AS n FROM events GROUP BY 1, 2),
+    s AS (SELECT user_id, v, sum(n) OVER w AS low, sum(n * v) OVER w AS mo, sum(n) OVER (PARTITION BY user_id) AS tot, sum(n * v) OVER (PARTITION BY user_id) AS am FROM c WINDOW w AS (PARTITION BY user_id ORDER BY v ROWS UNBOUNDED PRECEDING)),
+    b AS (SELECT user_id, v, round(coalesce(low / tot * (1 - low / tot) * pow(mo / low - (am - mo) / nullif(tot - low, 0), 2), 0), 6) AS b FROM s)
+    SELECT user_id, CASE WHEN max(b) > 0 THEN arg_max(v, (b, -v)) ELSE 0 END AS threshold FROM b GROUP BY 1
+    """,
+)
+def a24_otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = V.read(spark, sf_dir, "events").select("user_id", F.get_json_object("props", "$.k").cast("int").alias("v"))
+    return A.otsu(pixels, "user_id", "v")
+
+
+@query("a28_overall_confidence", "SELECT stream_id, seq, round(0.30 * conf + 0.15 * conf * conf + 0.15 * conf + 0.10 * (1 - conf) + 0.30 * conf, 6) AS overall FROM frames", FRAMES)
+def a28_overall_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conf")
+    return V.frames(spark, sf_dir).select("stream_id", "seq", F.round(A.overall_confidence(c, c * c, c, 1 - c, c), 6).alias("overall"))
+
+
+@query(
+    "k12_retention",
+    "WITH h AS (SELECT o_orderkey AS name, sum(floor(o_totalprice)) OVER (ORDER BY o_orderdate DESC, o_orderkey DESC ROWS UNBOUNDED PRECEDING) AS held FROM orders) SELECT name, CAST(held AS BIGINT) AS held, held <= 100000000 AS keep FROM h",
+)
+def k12_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = V.read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"), F.col("o_orderdate").alias("made_at"), F.col("o_orderkey").alias("name"), F.floor("o_totalprice").alias("bytes"))
+    return J.retained(files, 100_000_000).select("name", F.col("held").cast("long").alias("held"), "keep")
+
+
+@query(
+    "f1_level_rules",
+    """
+    WITH x AS (SELECT DISTINCT l_partkey % 30 AS s, l_suppkey % 300 AS n FROM lineitem),
+    t AS (SELECT *, least(10 * s + 10, greatest(100, 10 * s - 50)) AS th FROM x),
+    e AS (SELECT *, CASE WHEN n < th THEN s ELSE s + 1 + (n - th) // 10 END AS lv FROM t)
+    SELECT s, n, th AS threshold, lv AS expected, coalesce((SELECT max(k) FROM range(0, 60) r(k) WHERE k <= lv AND CASE WHEN n < least(10 * k + 10, greatest(100, 10 * k - 50)) THEN k ELSE k + 1 + (n - least(10 * k + 10, greatest(100, 10 * k - 50))) // 10 END = lv), lv) AS inferred FROM e
+    """,
+)
+def f1_level_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = V.read(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 30).alias("s"), (F.col("l_suppkey") % 300).alias("n")).distinct()
+    x = x.withColumn("threshold", rules.first_level_threshold(F.col("s"))).withColumn("expected", rules.expected_level(F.col("s"), F.col("n")).cast("long"))
+    return x.withColumn("inferred", rules.infer_start_level(F.col("expected"), F.col("n")).cast("long"))
+
+
+@query(
+    "f6_base_sums",
+    """
+    WITH RECURSIVE r(n, b) AS (SELECT 0, 0 UNION SELECT n + s, b + ([40, 100, 300, 1200])[s] FROM r, (SELECT unnest([1, 2, 3, 4]) AS s) WHERE n + s <= 16)
+    SELECT CAST(n AS BIGINT) AS lines, array_to_string(list(b ORDER BY b), ',') AS sums FROM (SELECT DISTINCT n, b FROM r) GROUP BY 1
+    """,
+)
+def f6_base_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(17).select(F.col("id").alias("lines"), F.array_join(rules.base_sums_expr(F.col("id")).cast("array<string>"), ",").alias("sums"))
+
+
+@query(
+    "w25_ema",
+    """
+    WITH RECURSIVE e(stream_id, seq, m) AS (SELECT stream_id, seq, conf FROM frames WHERE seq = 0 UNION ALL SELECT f.stream_id, f.seq, e.m + 0.3 * (f.conf - e.m) FROM e JOIN frames f ON f.stream_id = e.stream_id AND f.seq = e.seq + 1)
+    SELECT stream_id, round(arg_max(m, seq), 6) AS ema FROM e GROUP BY 1
+    """.replace("WITH RECURSIVE", "WITH"),
+    "RECURSIVE " + FRAMES.strip(),
+)
+def w25_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = V.frames(spark, sf_dir).groupBy("stream_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "conf"))), lambda s: s["conf"]).alias("v"))
+    return held.select("stream_id", F.round(A.ema(F.col("v"), 0.3), 6).alias("ema"))
+
+
+@query(
+    "conversation_runs",
+    "WITH m AS (SELECT *, CASE WHEN role IS DISTINCT FROM lag(role) OVER w THEN 1 ELSE 0 END AS c FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)), r AS (SELECT conv_id, role, sum(c) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS run FROM m) SELECT conv_id, CAST(run AS BIGINT) AS run, any_value(role) AS role, count(*) AS n FROM r GROUP BY 1, 2",
+)
+def conversation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    turns = V.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), (F.row_number().over(w) - 1).alias("seq"), F.lit(0.0).alias("ts"), "role")
+    return W.runs(turns, "role").select(F.col("stream_id").alias("conv_id"), "run", F.col("value").alias("role"), "n")
