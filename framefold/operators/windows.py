@@ -29,11 +29,11 @@ def last_known(value: Column, window: Window | None = None) -> Column:
 def weighted_vote(value: Column, weight: Column, rows: int, newest_wins: bool = False) -> tuple[Column, Column]:
     """The value with the greatest weight sum among the last rows, and the mean weight of its votes.
 
-    Nulls don't vote. Ties go to the value first seen in the window, or to the newest.
+    Nulls don't vote. Ties, to nine digits, go to the value first seen in the window, or to the newest.
     """
     ballots = F.collect_list(F.when(value.isNotNull(), F.struct(value.alias("v"), weight.alias("w")))).over(ordered().rowsBetween(1 - rows, 0))
     cast = F.reverse(ballots) if newest_wins else ballots
-    scored = F.transform(F.array_distinct(F.transform(cast, lambda b: b["v"])), lambda v: F.struct(F.aggregate(F.filter(cast, lambda b: b["v"] == v), F.lit(0.0), lambda s, b: s + b["w"]).alias("sum"), F.size(F.filter(cast, lambda b: b["v"] == v)).alias("n"), v.alias("v")))
+    scored = F.transform(F.array_distinct(F.transform(cast, lambda b: b["v"])), lambda v: F.struct(F.round(F.aggregate(F.filter(cast, lambda b: b["v"] == v), F.lit(0.0), lambda s, b: s + b["w"]), 9).alias("sum"), F.size(F.filter(cast, lambda b: b["v"] == v)).alias("n"), v.alias("v")))
     best = F.array_max(F.transform(scored, lambda s: s["sum"]))
     winner = F.element_at(F.filter(scored, lambda s: s["sum"] == best), 1)
     return F.when(F.size(scored) > 0, winner["v"]), F.when(F.size(scored) > 0, winner["sum"] / winner["n"])

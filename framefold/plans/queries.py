@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from framefold.functions import rules
 from framefold.operators import aggregates as A
+from framefold.operators import folds as L
 from framefold.operators import frames as V
 from framefold.operators import joins as J
 from framefold.operators import windows as W
+from framefold.sources import recordings as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -658,3 +660,167 @@ def conversation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     turns = V.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), (F.row_number().over(w) - 1).alias("seq"), F.lit(0.0).alias("ts"), "role")
     return W.runs(turns, "role").select(F.col("stream_id").alias("conv_id"), "run", F.col("value").alias("role"), "n")
+
+
+# Folds and recordings
+
+
+def play_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with a level, and the noisy score as the reading."""
+    return V.frames(spark, sf_dir).select("stream_id", "seq", "ts", "state", "conf", F.col("raw_score").alias("score"), "lines", F.floor(F.col("lines") / 10).alias("level"), "piece")
+
+
+@query("w2_game_fold", None)
+def w2_game_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.run_batch(play_frames(spark, sf_dir), L.GAME)
+
+
+@query(
+    "w9_plausible_score",
+    """
+    r(stream_id, seq, held, cand, n, reason, severity) AS (
+        SELECT stream_id, seq, raw_score, CAST(NULL AS BIGINT), 0, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM frames WHERE seq = 0
+        UNION ALL
+        SELECT x.stream_id, x.seq, CASE WHEN x.ok OR x.k >= 6 THEN x.v ELSE x.held END, CASE WHEN x.ok OR x.k >= 6 THEN NULL ELSE x.v END, CASE WHEN x.ok OR x.k >= 6 THEN 0 ELSE x.k END,
+            CASE WHEN x.ok THEN NULL WHEN x.v < x.held THEN 'monotonic' ELSE 'score_jump' END, CASE WHEN x.ok THEN NULL WHEN x.k >= 6 THEN 'correct' ELSE 'reject' END
+        FROM (SELECT f.stream_id, f.seq, f.raw_score // 40 AS v, r.held, f.raw_score // 40 BETWEEN r.held AND r.held + 5 AS ok, CASE WHEN f.raw_score // 40 = r.cand THEN r.n + 1 ELSE 1 END AS k FROM r JOIN frames f ON f.stream_id = r.stream_id AND f.seq = r.seq + 1) x
+    )
+    SELECT stream_id, seq, CASE WHEN seq = 0 THEN held // 40 ELSE held END AS value, reason, severity FROM r
+    """.replace("SELECT stream_id, seq, raw_score, CAST", "SELECT stream_id, seq, raw_score // 40, CAST").replace("CASE WHEN seq = 0 THEN held // 40 ELSE held END", "held").replace("r(stream_id", "WITH r(stream_id", 1),
+    "RECURSIVE " + FRAMES.strip(),
+)
+def w9_plausible_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = V.frames(spark, sf_dir).withColumn("score", F.floor(F.col("raw_score") / 40))
+    return L.run_batch(frames.select("stream_id", "seq", "score"), L.guard_fold("score", 5, "score_jump"))
+
+
+@query(
+    "k14_publish",
+    """
+    WITH r(stream_id, seq, k, t, n, sent) AS (
+        SELECT stream_id, seq, state, ts, CAST(0 AS BIGINT), TRUE FROM frames WHERE seq = 0
+        UNION ALL
+        SELECT f.stream_id, f.seq, CASE WHEN p THEN f.state ELSE k END, CASE WHEN p THEN f.ts ELSE t END, CASE WHEN p THEN n + 1 ELSE n END, p
+        FROM (SELECT r.*, g.seq AS next_seq, g.state <> r.k AND g.ts - r.t >= 20000 - 0.004 AS p FROM r JOIN frames g ON g.stream_id = r.stream_id AND g.seq = r.seq + 1) q JOIN frames f ON f.stream_id = q.stream_id AND f.seq = q.next_seq
+    )
+    SELECT stream_id, seq, n AS out_seq FROM r WHERE sent
+    """,
+    "RECURSIVE " + FRAMES.strip(),
+)
+def k14_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.run_batch(V.frames(spark, sf_dir).select("stream_id", "seq", "ts", "state"), L.publish_fold(20000.0, ("state",)))
+
+
+@query(
+    "w17_timeline",
+    """
+    WITH r(stream_id, seq, t, kept) AS (
+        SELECT stream_id, seq, ts, TRUE FROM frames WHERE seq = 0
+        UNION ALL
+        SELECT f.stream_id, f.seq, CASE WHEN f.ts - r.t >= 20000 THEN f.ts ELSE r.t END, f.ts - r.t >= 20000 FROM r JOIN frames f ON f.stream_id = r.stream_id AND f.seq = r.seq + 1
+    )
+    SELECT r.stream_id, r.seq, round(f.ts, 3) AS ts, CAST(f.raw_score AS DOUBLE) AS height FROM r JOIN frames f ON f.stream_id = r.stream_id AND f.seq = r.seq WHERE kept
+    """,
+    "RECURSIVE " + FRAMES.strip(),
+)
+def w17_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = V.frames(spark, sf_dir).select("stream_id", "seq", "ts", "raw_score")
+    return L.run_batch(frames, L.timeline_fold("raw_score", 20000.0)).withColumn("ts", F.round("ts", 3))
+
+
+def slow_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as twelve frames of a sixtieth of a second, so that values settle."""
+    frames = play_frames(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    return frames.withColumn("seq", F.col("seq") * 12 + F.col("k")).withColumn("ts", F.col("seq") / 60).drop("k")
+
+
+@query("w20_cheats", None)
+def w20_cheats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rising = V.frames(spark, sf_dir).select("stream_id", "seq", F.col("score").alias("total"))
+    frames = slow_frames(spark, sf_dir).withColumn("event_seq", F.floor(F.col("seq") / 12))
+    joined = frames.join(rising.withColumnRenamed("seq", "event_seq"), ["stream_id", "event_seq"]).withColumn("score", F.col("total") * 60)
+    return L.run_batch(joined.select("stream_id", "seq", "ts", "state", "score", "lines", "level"), L.CHEAT)
+
+
+@query("session_games", None)
+def session_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.run_batch(play_frames(spark, sf_dir).select("stream_id", "seq", "ts", "state", "score", "lines", "level"), L.session_fold(3, 2, 7200.0))
+
+
+@query("w27_base_latch", None)
+def w27_base_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.when(F.col("conf") > 0.05, F.when(F.col("conf") > 0.4, "dec").otherwise("hex"))
+    return L.run_batch(V.frames(spark, sf_dir).select("stream_id", "seq", base.alias("base")), L.latch_fold(3))
+
+
+@query("w23_curtain", None)
+def w23_curtain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.run_batch(V.frames(spark, sf_dir).select("stream_id", "seq", (F.col("lines") % 5).alias("full_rows")), L.curtain_fold())
+
+
+@query("w22_animation", None)
+def w22_animation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.run_batch(V.frames(spark, sf_dir).select("stream_id", "seq", (F.col("conf") * 100).alias("luma")), L.animation_fold())
+
+
+@query(
+    "s8_recordings",
+    """
+    SELECT stream_id, idx, ctime_ms, lines, level, score, preview, counts_0, cells FROM (
+        SELECT stream_id, seq AS idx, seq * 17 AS ctime_ms, CAST(least(lines, 4094) AS INTEGER) AS lines, CAST(least(lines // 10, 255) AS INTEGER) AS level, least(raw_score, 16777214) AS score, piece AS preview,
+            CAST(least(lines * 9, 1022) AS INTEGER) AS counts_0, CAST((seq % 4) * 200 AS BIGINT) AS cells FROM frames)
+    """,
+    FRAMES,
+)
+def s8_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seq = F.col("seq")
+    records = V.frames(spark, sf_dir).select(
+        "stream_id", (seq * 17).alias("ctime_ms"), F.lit(1).alias("game_type"), F.lit(0).alias("player_num"), (F.col("stream_id") % 65535 + 1).cast("int").alias("gameid"), F.col("lines"), F.floor(F.col("lines") / 10).alias("level"),
+        F.col("raw_score").alias("score"), F.lit(None).cast("int").alias("instant_das"), F.col("piece").alias("preview"), F.lit(None).cast("int").alias("cur_piece_das"), F.lit(None).cast("string").alias("cur_piece"),
+        F.array_repeat((F.col("lines") * 9).cast("int"), 7).alias("counts"), F.array_repeat((seq % 4).cast("int"), 200).alias("field"),
+    )
+    out = R.decoded_games(R.encoded_games(records, "stream_id"), "stream_id")
+    return out.select("stream_id", "idx", "ctime_ms", "lines", "level", "score", "preview", F.col("counts")[0].alias("counts_0"), F.aggregate("field", F.lit(0), lambda s, x: s + x).cast("long").alias("cells"))
+
+
+@query("a20_trimmed_templates", None)
+def a20_trimmed_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.trimmed_templates(V.glyphs(spark, sf_dir), 0.0)
+
+
+@query(
+    "a15_validation",
+    """
+    WITH c AS (SELECT game_id, count(*) AS frames, CAST(sum(size) AS BIGINT) AS lines, max(level) AS end_level, CAST(sum(([40, 100, 300, 1200])[size] * (level + 1)) AS BIGINT) AS points FROM clears GROUP BY 1),
+    g AS (SELECT c.*, CAST(floor(score) AS BIGINT) AS score FROM c JOIN games USING (game_id)),
+    f AS (SELECT game_id, list_filter([CASE WHEN game_id % 7 = 0 THEN 'error:partial_game' END,
+        CASE WHEN end_level <> (CASE WHEN lines < 10 * 0 + 10 THEN 0 ELSE 1 + (lines - 10) // 10 END) AND game_id % 2 = 0 THEN 'warning:level_mismatch' END,
+        CASE WHEN score < 999999 AND (score - points < -1000 OR score - points > 40 * frames + 1000) THEN 'error:score_reconcile' END,
+        CASE WHEN game_id % 10 >= 3 THEN 'error:low_confidence' END, CASE WHEN game_id % 10 BETWEEN 1 AND 2 THEN 'warning:low_confidence' END], lambda x: x IS NOT NULL) AS issues FROM g)
+    SELECT game_id, array_to_string(issues, ',') AS issues, len(list_filter(issues, lambda x: starts_with(x, 'error'))) = 0 AS valid FROM f
+    """,
+    CLEARS,
+    GAMES,
+)
+def a15_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = rules.clear_base_score(F.col("size"))
+    stats = V.clears(spark, sf_dir).groupBy("game_id").agg(F.count("*").alias("frames"), F.sum("size").alias("lines"), F.max("level").alias("end_level"), F.sum(base * (F.col("level") + 1)).alias("points"))
+    summary = stats.join(V.games(spark, sf_dir).select("game_id", F.floor("score").alias("score")), "game_id").select(
+        "*", F.col("lines").alias("cleared"), F.when(F.col("game_id") % 2 == 0, F.lit(0)).alias("start_level"), F.col("frames").alias("pieces"), (F.col("game_id") % 10 / 10).alias("low_share"),
+        F.lit(0.0).alias("lost_seconds"), F.lit(0).alias("corrections"), (F.col("game_id") % 7 == 0).alias("partial"),
+    )
+    return A.validation(summary).select("game_id", F.array_join("issues", ",").alias("issues"), "valid")
+
+
+@query(
+    "j10_seek",
+    """
+    SELECT t.stream_id, t.at_ms, coalesce(max(f.seq) FILTER (f.seq * 17 <= t.at_ms), 0) AS idx FROM (SELECT DISTINCT stream_id, lines * 100 - 50 AS at_ms FROM frames) t JOIN frames f ON f.stream_id = t.stream_id GROUP BY 1, 2
+    """,
+    FRAMES,
+)
+def j10_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = V.frames(spark, sf_dir)
+    records = frames.select("stream_id", F.col("seq").alias("idx"), (F.col("seq") * 17).alias("ctime_ms"))
+    times = frames.select("stream_id", (F.col("lines") * 100 - 50).alias("at_ms")).distinct()
+    return R.replay_seek(records, times, "stream_id")
