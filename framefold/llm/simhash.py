@@ -1,10 +1,10 @@
 """SimHash near-copies: a byte-position inverted index with count filtering.
 
 A document's 64-bit fingerprint is the majority of its shingles' hash bits. Two fingerprints that differ in at most four
-bits differ in at most four of eight bytes, so they share four positional bytes at least. Equal fingerprints are one
-class from the start, so copies are never paired. The index posts each distinct fingerprint under each choice of four
-positions with their bytes; a pair's shared positional bytes are tallied, pairs short of four are dropped, and the rest
-are verified by their differing bits. Within a posting list only a spanning forest of the links is emitted, which keeps
+bits (five, for near duplicates by content) differ in at most as many of eight bytes, so they share the rest for certain. Equal fingerprints are one
+class from the start, so copies are never paired. The index posts each distinct fingerprint under each choice of so many
+positions with their bytes; a pair's shared positional bytes are tallied, pairs short of the sure number are dropped, and
+the rest are verified by their differing bits. Within a posting list only a spanning forest of the links is emitted, which keeps
 the classes whole without all pairs. A posting list of over `DIRECT` members is cut again, on further tasks, by the
 nibbles of the bytes left over; what remains in such a list differs in 16 bits at most and is looked up by flipped bits.
 
@@ -29,8 +29,8 @@ from framefold.llm.components import connected_components
 
 SEED = 42
 SHINGLE = 4
-#: Differing bits of a link, and the positional bytes that a link shares for certain.
-MOST_BITS, LEAST_BYTES = 4, 4
+#: Differing bits of a link.
+MOST_BITS = 4
 #: Members of a posting list that are compared directly; longer lists are cut again.
 DIRECT = 4096
 #: A-Z becomes a-z, and white space of the contract (tab to carriage return) becomes a space.
@@ -83,41 +83,43 @@ def unit_mask(choice: tuple[int, ...], width: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-#: The choices of four of eight bytes.
-CHOICES = list(combinations(range(8), LEAST_BYTES))
+def choices(bits: int) -> list[tuple[int, ...]]:
+    """The choices of as many of the eight bytes as a link of so many differing bits shares for certain."""
+    return list(combinations(range(8), 8 - bits))
 
 
-def byte_postings(fp: Column) -> Column:
-    """The index entries of a fingerprint: (choice, units) for each choice of four of its eight bytes."""
-    return F.array(*(F.struct(F.lit(n).alias("choice"), fp.bitwiseAND(F.lit(unit_mask(c, 8))).alias("units")) for n, c in enumerate(CHOICES)))
+def byte_postings(fp: Column, bits: int) -> Column:
+    """The index entries of a fingerprint: (choice, units) for each choice of its bytes."""
+    return F.array(*(F.struct(F.lit(n).alias("choice"), fp.bitwiseAND(F.lit(unit_mask(c, 8))).alias("units")) for n, c in enumerate(choices(bits))))
 
 
-def nibble_postings(fps: np.ndarray, choice: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(fp, choice, units) of members of one long list: four of the eight nibbles left over, with the bytes shared already."""
-    nibbles = [k for byte in range(8) if byte not in CHOICES[choice] for k in (2 * byte, 2 * byte + 1)]
-    shared = unit_mask(CHOICES[choice], 8)
-    keys = [fps & np.int64(np.array(shared | unit_mask(tuple(c), 4), dtype=np.int64)) for c in combinations(nibbles, LEAST_BYTES)]
-    order = np.arange(len(keys), dtype=np.int32) + np.int32(len(CHOICES) * (choice + 1))
+def nibble_postings(fps: np.ndarray, choice: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fp, choice, units) of members of one long list: nibbles of the bytes left over that a link shares for certain, with the bytes shared already."""
+    every = choices(bits)
+    nibbles = [k for byte in range(8) if byte not in every[choice] for k in (2 * byte, 2 * byte + 1)]
+    shared = unit_mask(every[choice], 8)
+    keys = [fps & np.int64(shared | unit_mask(c, 4)) for c in combinations(nibbles, len(nibbles) - bits)]
+    order = np.arange(len(keys), dtype=np.int32) + np.int32(1000 * (choice + 1))
     return np.tile(fps, len(keys)), np.repeat(order, len(fps)), np.concatenate(keys)
 
 
-def linked(differ: np.ndarray) -> np.ndarray:
+def linked(differ: np.ndarray, bits: int) -> np.ndarray:
     """By a pair's differing bits: whether the tally of shared positional bytes suffices and the bits are few."""
     tally = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-    return (tally >= LEAST_BYTES) & (np.bitwise_count(differ.view(np.uint64)) <= MOST_BITS)
+    return (tally >= 8 - bits) & (np.bitwise_count(differ.view(np.uint64)) <= bits)
 
 
-def forest(fps: np.ndarray) -> list[tuple[int, int]]:
+def forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct fingerprints, as positions: breadth first, each pair tallied and verified."""
     if len(fps) > DIRECT:
-        return flipped_forest(fps)
+        return flipped_forest(fps, bits)
     rest, queue, pairs = np.arange(1, len(fps)), [0], []
     while len(rest):
         if not queue:
             queue, rest = [int(rest[0])], rest[1:]
             continue
         at = queue.pop()
-        near = linked(fps[rest] ^ fps[at])
+        near = linked(fps[rest] ^ fps[at], bits)
         found = rest[near].tolist()
         pairs += [(at, k) for k in found]
         queue += found
@@ -125,7 +127,7 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
     return pairs
 
 
-def flipped_forest(fps: np.ndarray) -> list[tuple[int, int]]:
+def flipped_forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
     """`forest` for a long list whose members differ in few bits: neighbours are looked up by flipped bits, so work grows with the list."""
     order = np.argsort(fps)
     ordered = fps[order]
@@ -140,7 +142,7 @@ def flipped_forest(fps: np.ndarray) -> list[tuple[int, int]]:
             x = int(parent[x])
         return x
 
-    for size in range(1, MOST_BITS + 1):
+    for size in range(1, most + 1):
         for chosen in combinations(bits, size):
             want = (ordered.view(np.uint64) ^ np.uint64(sum(chosen))).view(np.int64)
             at = np.minimum(np.searchsorted(ordered, want), len(ordered) - 1)
@@ -153,7 +155,7 @@ def flipped_forest(fps: np.ndarray) -> list[tuple[int, int]]:
     return pairs
 
 
-def link_lists(batches: Iterator[pa.RecordBatch], final: bool) -> Iterator[pa.RecordBatch]:
+def link_lists(batches: Iterator[pa.RecordBatch], final: bool, bits: int = MOST_BITS) -> Iterator[pa.RecordBatch]:
     """Links within posting lists, which come as (fp, choice, units) sorted by list: (a, b, null).
 
     Unless `final`, members of lists of over DIRECT members go out as (fp, null, choice), to be cut again; of such a
@@ -183,7 +185,7 @@ def link_lists(batches: Iterator[pa.RecordBatch], final: bool) -> Iterator[pa.Re
             yield members(fps[: sizes[0]], int(choice[0]))
         pairs = begins[skip:closed][sizes[skip:closed] == 2]
         differ = fps[pairs] ^ fps[pairs + 1]
-        near = pairs[linked(differ)]
+        near = pairs[linked(differ, bits)]
         yield links(fps[near], fps[near + 1])
         ends: list[tuple[int, int]] = []
         for n in (np.flatnonzero(sizes[skip:closed] > 2) + skip).tolist():
@@ -191,7 +193,7 @@ def link_lists(batches: Iterator[pa.RecordBatch], final: bool) -> Iterator[pa.Re
             if size > DIRECT and not final:
                 yield members(fps[begin : begin + size], int(choice[begin]))
             else:
-                ends += [(begin + a, begin + b) for a, b in forest(fps[begin : begin + size])]
+                ends += [(begin + a, begin + b) for a, b in forest(fps[begin : begin + size], bits)]
         if ends:
             at = np.array(ends)
             yield links(fps[at[:, 0]], fps[at[:, 1]])
@@ -209,27 +211,27 @@ def with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
     yield None
 
 
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) among the distinct fingerprints (fp) that join the same classes as all links within four bits."""
+def fingerprint_links(distinct: DataFrame, bits: int = MOST_BITS) -> DataFrame:
+    """Links (a, b) among the distinct fingerprints (fp) that join the same classes as all links within so many bits."""
     parts = blocks(distinct.sparkSession)
-    entries = distinct.select("fp", F.explode(byte_postings(F.col("fp"))).alias("entry")).select("fp", "entry.choice", "entry.units")
+    entries = distinct.select("fp", F.explode(byte_postings(F.col("fp"), bits)).alias("entry")).select("fp", "entry.choice", "entry.units")
     dealt = entries.repartition(parts, "choice", "units").sortWithinPartitions("choice", "units")
-    found = materialize(dealt.mapInArrow(lambda b: link_lists(b, False), LINK_ROWS), "links")
+    found = materialize(dealt.mapInArrow(lambda b: link_lists(b, False, bits), LINK_ROWS), "links")
     long = found.where("choice IS NOT NULL").select(F.col("a").alias("fp"), "choice")
 
     def cut_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, choices = (batch.column(k).to_numpy() for k in range(2))
-            for choice in np.unique(choices).tolist():
-                members = fps[choices == choice]
+            fps, of = (batch.column(k).to_numpy() for k in range(2))
+            for choice in np.unique(of).tolist():
+                members = fps[of == choice]
                 for at in range(0, len(members), 4096):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in nibble_postings(members[at : at + 4096], choice)], ["fp", "choice", "units"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in nibble_postings(members[at : at + 4096], choice, bits)], ["fp", "choice", "units"])
 
     links = found.where("choice IS NULL").select("a", "b")
     if not long.limit(1).count():
         return links
     again = long.mapInArrow(cut_again, "fp long, choice int, units long").repartition(parts, "choice", "units").sortWithinPartitions("choice", "units")
-    return links.unionByName(again.mapInArrow(lambda b: link_lists(b, True), LINK_ROWS).select("a", "b"))
+    return links.unionByName(again.mapInArrow(lambda b: link_lists(b, True, bits), LINK_ROWS).select("a", "b"))
 
 
 def near_copies(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -244,13 +246,81 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return rows.join(classes, "fp").select(id_column, "fp", "component")
 
 
+#: Near duplicates by content: tables of fingerprints of distinct words, differing bits of a candidate, sketch size, shingle
+#: words, and the similarity that a sketch must show.
+TABLES, CANDIDATE_BITS, SKETCH, CONTENT_SHINGLE, LEAST_SIMILAR = 2, 5, 128, 5, 0.75
+
+
+def content(text: str | None) -> tuple[int, list[int], bytes]:
+    """A digest of the words, a fingerprint of the distinct words for each table, and the least hashes of the five-word shingles."""
+    words = [w for w in (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split(b" ") if w]
+    joined = b" ".join(words)
+    distinct = set(words) or {b""}
+    fps = [majority(np.array([xxhash.xxh3_64_intdigest(w, t + 1) for w in distinct], dtype=np.uint64)) for t in range(TABLES)]
+    n = max(1, len(words) - CONTENT_SHINGLE + 1)
+    ends = (np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words))) + np.arange(len(words))).tolist() or [0]
+    starts = [0, *(e + 1 for e in ends)]
+    shingles = np.unique(np.array([xxhash.xxh32_intdigest(joined[a:b]) for a, b in zip(starts[:n], ends[min(CONTENT_SHINGLE, len(ends)) - 1 :], strict=True)], dtype=np.uint32))
+    return xxhash.xxh3_64_intdigest(joined), fps, shingles[:SKETCH].tobytes()
+
+
+def sketched_similarity(a: bytes, b: bytes) -> float:
+    """The share of the union's least hashes that both sketches hold: the shingle sets' similarity, exact for short texts."""
+    x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
+    least = np.union1d(x, y)[: min(SKETCH, max(len(x), len(y)))] if max(len(x), len(y)) == SKETCH else np.union1d(x, y)
+    return len(np.intersect1d(np.intersect1d(x, y), least)) / max(len(least), 1)
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """(id, component): classes of documents whose five-word shingles are alike, by several fingerprints and a sketch.
+
+    Documents of the same words are one node. In each table, nodes within CANDIDATE_BITS are candidates through the same
+    index; a candidate link holds if the sketches are at least LEAST_SIMILAR alike. Documents without words are one class.
+    """
+    columns = [f"fp{t}" for t in range(TABLES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = [content(t) for t in part.column("text").to_pylist()]
+                longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in ([f[0] for f in found], *([f[1][t] for f in found] for t in range(TABLES)))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *longs, pa.array([f[2] for f in found], pa.binary())], [id_column, "node", *columns, "sketch"])
+
+    kind = docs.schema[id_column].dataType.simpleString()
+    rows = docs.select(id_column, "text").mapInArrow(run, f"`{id_column}` {kind}, node long, {', '.join(f'{c} long' for c in columns)}, sketch binary")
+    rows = materialize(rows, "contents")
+    nodes = materialize(rows.groupBy("node").agg(F.min(id_column).alias("least"), *(F.min(c).alias(c) for c in columns), F.min("sketch").alias("sketch")), "nodes")
+    pairs = None
+    for c in columns:
+        leaders = materialize(nodes.groupBy(F.col(c).alias("fp")).agg(F.min("node").alias("leader")), "table")
+        same = nodes.join(leaders, nodes[c] == leaders["fp"]).where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        of_a, of_b = (leaders.select(F.col("fp").alias(x), F.col("leader").alias(f"node_{x}")) for x in ("a", "b"))
+        near = materialize(fingerprint_links(leaders.select("fp"), CANDIDATE_BITS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+        near = near.join(of_a, "a").join(of_b, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        pairs = same.unionByName(near) if pairs is None else pairs.unionByName(same).unionByName(near)
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    sketch_a, sketch_b = (nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in ("a", "b"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = [sketched_similarity(x, y) >= LEAST_SIMILAR for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.filter(pa.array(alike, pa.bool_())).select(["a", "b"])
+
+    links = pairs.join(sketch_a, "a").join(sketch_b, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(verify, "a long, b long")
+    classes = connected_components(links).select("node", F.col("component").alias("class"))
+    named = materialize(nodes.select("node", "least").join(classes, "node", "left").select("node", "least", F.coalesce("class", "node").alias("class")), "classes")
+    least = materialize(named.groupBy("class").agg(F.min("least").alias("component")), "least")
+    of_node = materialize(named.join(least, "class").select("node", "component"), "components")
+    return rows.join(of_node, "node").select(id_column, "component")
+
+
 def keep_one(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The rows of docs, unchanged, that lead their class: one row for each class, that with its least id.
+    """The rows of docs, unchanged, that lead their class of near duplicates: one row for each, that with its least id.
 
     Of several rows with a class's least id, one stays. Rows without an id can't be told apart and all stay.
     """
     named = docs.where(F.col(id_column).isNotNull())
-    leaders = near_copies(named, id_column).where(F.col(id_column) == F.col("component")).select(id_column)
+    leaders = near_duplicates(named, id_column).where(F.col(id_column) == F.col("component")).select(id_column)
     order = Window.partitionBy(id_column).orderBy(F.xxhash64(*docs.columns))
     first = named.join(leaders, id_column, "left_semi").withColumn("__framefold_rank", F.row_number().over(order)).where("__framefold_rank = 1")
     return docs.where(F.col(id_column).isNull()).unionByName(first.drop("__framefold_rank").select(docs.columns))
