@@ -1,8 +1,8 @@
 """Connected components of a link table, wholly distributed.
 
-Labels start as each node's own value and fall to the least value seen: a round passes labels over the links, then
-replaces each label by its label's label, so long chains shrink in few rounds. Each round is cut off by a written table
-in the shared folder, which keeps plans short, survives lost executors and lets skewed joins be split.
+Each round hooks every node to its least neighbour and contracts the links to the nodes that remain, so links and nodes
+shrink from round to round until no link is left. Each round is cut off by written tables in the shared folder, which keeps
+plans short, survives lost executors and lets skewed joins be split.
 """
 
 from __future__ import annotations
@@ -18,20 +18,21 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Links may repeat, come in either direction or join a node with itself; null ends are dropped. No links: no rows.
     """
-    links = links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    both = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")), "labels")
-    total = label_sum(labels)
-    while True:
-        passed = both.join(labels, both["a"] == labels["node"]).select(F.col("b").alias("node"), "component")
-        lower = materialize(labels.unionByName(passed).groupBy("node").agg(F.min("component").alias("component")), "labels")
-        up = lower.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        labels = materialize(lower.join(up, "component").select("node", F.col("above").alias("component")), "labels")
-        before, total = total, label_sum(labels)
-        if total == before:
-            return labels
-
-
-def label_sum(labels: DataFrame) -> int:
-    """The sum of all labels. Labels only fall, so it stays only if all of them stay."""
-    return labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+    links = materialize(joined(links.where("a IS NOT NULL AND b IS NOT NULL")), "links")
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    labels = materialize(nodes.select("node", F.col("node").alias("component")), "labels")
+    while links.limit(1).count():
+        # a < b, so a node's least neighbour below it is among its a; a node without one stays
+        hooks = links.select(F.col("b").alias("old"), F.col("a").alias("new")).unionByName(links.select(F.col("a").alias("old"), F.col("a").alias("new")))
+        hooks = materialize(hooks.groupBy("old").agg(F.min("new").alias("new")), "hooks")
+        of_a, of_b = (hooks.select(F.col("old").alias(c), F.col("new").alias(f"new_{c}")) for c in ("a", "b"))
+        labels = labels.join(hooks, labels["component"] == hooks["old"], "left").select("node", F.coalesce("new", "component").alias("component"))
+        labels = materialize(labels, "labels")
+        links = links.join(of_a, "a").join(of_b, "b").select(F.col("new_a").alias("a"), F.col("new_b").alias("b"))
+        links = materialize(joined(links), "links")
+    return labels
+
+
+def joined(links: DataFrame) -> DataFrame:
+    """The distinct links between two nodes, the smaller one first."""
+    return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
