@@ -259,7 +259,7 @@ def test_rules():
     assert rules.clear_point_candidates(0, (3,)) == (0,) and rules.clear_point_candidates(17, (3,)) == ()
     assert rules.attribute_clears(4, 1200, 0) == (4,) and rules.attribute_clears(4, None, 0) is None and rules.greedy_clears(6) == (4, 2)
     assert [rules.expected_level_of(18, n) for n in (0, 129, 130, 140)] == [18, 18, 19, 20]
-    assert rules.infer_start_level_of(19, 131) == 19 and rules.infer_start_level_of(20, 151) == 19
+    assert rules.infer_start_level_of(19, 131) == 19 and rules.infer_start_level_of(20, 151) == 14
 
 
 def test_segments_by_bucket_are_those_by_broadcast(spark, monkeypatch):
