@@ -65,13 +65,19 @@ def templates_of(glyphs: DataFrame) -> DataFrame:
 
 
 def correlation(a: Column, b: Column) -> Column:
-    """Pearson correlation of two arrays; 0 where one is flat."""
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
-    n = F.size(a)
-    ma, mb = total(a) / n, total(b) / n
-    cross = total(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)))
-    square = total(F.transform(a, lambda x: (x - ma) * (x - ma))) * total(F.transform(b, lambda y: (y - mb) * (y - mb)))
-    return F.when(square > 0, cross / F.sqrt(square)).otherwise(0.0)
+    """Pearson correlation of two arrays of equal length, in one pass; 0 where one is flat."""
+    names = ("n", "x", "y", "xx", "yy", "xy")
+    zero = F.struct(*(F.lit(0.0).alias(k) for k in names))
+
+    def add(s: Column, p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        return F.struct(*((s[k] + v).alias(k) for k, v in zip(names, (F.lit(1.0), x, y, x * x, y * y, x * y), strict=True)))
+
+    def finish(s: Column) -> Column:
+        square = (s["n"] * s["xx"] - s["x"] * s["x"]) * (s["n"] * s["yy"] - s["y"] * s["y"])
+        return F.when(square > 0, (s["n"] * s["xy"] - s["x"] * s["y"]) / F.sqrt(square)).otherwise(0.0)
+
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), zero, add, finish)
 
 
 def best_template(glyphs: DataFrame, templates: DataFrame, digits: int = 9) -> DataFrame:
