@@ -1,11 +1,12 @@
 """SimHash near-copies: a byte-position inverted index with count filtering.
 
 A document's 64-bit fingerprint is the majority of its shingles' hash bits. Two fingerprints that differ in at most four
-bits (five, for near duplicates by content) differ in at most as many of eight bytes, so they share the rest for certain. Equal fingerprints are one
-class from the start, so copies are never paired. The index posts each distinct fingerprint under each choice of so many
-positions with their bytes; a pair's shared positional bytes are tallied, pairs short of the sure number are dropped, and
-the rest are verified by their differing bits. Within a posting list only a spanning forest of the links is emitted, which keeps
-the classes whole without all pairs. A posting list of over `DIRECT` members is cut again, on further tasks, by the
+bits (five, for near duplicates by content) differ in at most as many of eight bytes, so they share the rest for
+certain. Equal fingerprints are one class from the start, so copies are never paired. The index posts each distinct
+fingerprint under each choice of so many positions with their bytes; a pair's shared positional bytes are tallied, pairs
+short of the sure number are dropped, and the rest are verified by their differing bits. Within a posting list only a
+spanning forest of the links is emitted, which keeps the classes whole without all pairs; for near duplicates it is the
+forest of greatest likeness, which keeps the classes at any threshold of the likeness. A posting list of over `DIRECT` members is cut again, on further tasks, by the
 nibbles of the bytes left over; what remains in such a list differs in 16 bits at most and is looked up by flipped bits.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; repeated rows share a class;
@@ -109,10 +110,28 @@ def linked(differ: np.ndarray, bits: int) -> np.ndarray:
     return (tally >= 8 - bits) & (np.bitwise_count(differ.view(np.uint64)) <= bits)
 
 
-def forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
+def likest_forest(fps: np.ndarray, marks: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """The spanning forest of the links whose marks agree most, as positions; grown from node to node."""
+    rest, at, pairs = np.arange(1, len(fps)), 0, []
+    agree, source = np.full(len(rest), -1), np.zeros(len(rest), dtype=np.int64)
+    while len(rest):
+        found = 64 * marks.shape[1] - np.bitwise_count((marks[rest] ^ marks[at]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        better = linked(fps[rest] ^ fps[at], bits) & (found > agree)
+        agree[better], source[better] = found[better], at
+        k = int(agree.argmax())
+        at = int(rest[k])
+        if agree[k] >= 0:
+            pairs.append((int(source[k]), at))
+        rest, agree, source = np.delete(rest, k), np.delete(agree, k), np.delete(source, k)
+    return pairs
+
+
+def forest(fps: np.ndarray, bits: int, marks: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct fingerprints, as positions: breadth first, each pair tallied and verified."""
     if len(fps) > DIRECT:
         return flipped_forest(fps, bits)
+    if marks is not None:
+        return likest_forest(fps, marks, bits)
     rest, queue, pairs = np.arange(1, len(fps)), [0], []
     while len(rest):
         if not queue:
@@ -155,8 +174,8 @@ def flipped_forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
     return pairs
 
 
-def link_lists(batches: Iterator[pa.RecordBatch], final: bool, bits: int = MOST_BITS) -> Iterator[pa.RecordBatch]:
-    """Links within posting lists, which come as (fp, choice, units) sorted by list: (a, b, null).
+def link_lists(batches: Iterator[pa.RecordBatch], final: bool, bits: int = MOST_BITS, marks: int = 0) -> Iterator[pa.RecordBatch]:
+    """Links within posting lists, which come as (fp, choice, units) and marks, sorted by list: (a, b, null).
 
     Unless `final`, members of lists of over DIRECT members go out as (fp, null, choice), to be cut again; of such a
     list no more than a batch is held.
@@ -168,12 +187,12 @@ def link_lists(batches: Iterator[pa.RecordBatch], final: bool, bits: int = MOST_
     def members(fps: np.ndarray, choice: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(fps), pa.nulls(len(fps), pa.int64()), pa.array(np.full(len(fps), choice, dtype=np.int32))], ["a", "b", "choice"])
 
-    held = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)]
+    held = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), *(np.zeros(0, dtype=np.int64) for _ in range(1 + marks))]
     passing: tuple[int, int] | None = None  # the long list whose members are going out
     for batch in with_end(batches):
         if batch is not None:
             held = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
-        fps, choice, units = held
+        fps, choice, units, *marked = held
         if not len(fps):
             continue
         edges = np.concatenate(([0], np.flatnonzero((choice[1:] != choice[:-1]) | (units[1:] != units[:-1])) + 1, [len(fps)]))
@@ -193,7 +212,7 @@ def link_lists(batches: Iterator[pa.RecordBatch], final: bool, bits: int = MOST_
             if size > DIRECT and not final:
                 yield members(fps[begin : begin + size], int(choice[begin]))
             else:
-                ends += [(begin + a, begin + b) for a, b in forest(fps[begin : begin + size], bits)]
+                ends += [(begin + a, begin + b) for a, b in forest(fps[begin : begin + size], bits, np.stack([m[begin : begin + size] for m in marked], axis=1) if marks else None)]
         if ends:
             at = np.array(ends)
             yield links(fps[at[:, 0]], fps[at[:, 1]])
@@ -211,12 +230,16 @@ def with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
     yield None
 
 
-def fingerprint_links(distinct: DataFrame, bits: int = MOST_BITS) -> DataFrame:
-    """Links (a, b) among the distinct fingerprints (fp) that join the same classes as all links within so many bits."""
+def fingerprint_links(distinct: DataFrame, bits: int = MOST_BITS, marks: tuple[str, ...] = ()) -> DataFrame:
+    """Links (a, b) among the distinct fingerprints (fp) that join the same classes as all links within so many bits.
+
+    Of links that could join a class within a posting list, those whose marks (columns of longs) agree most are taken; lists
+    that are cut again don't look at marks.
+    """
     parts = blocks(distinct.sparkSession)
-    entries = distinct.select("fp", F.explode(byte_postings(F.col("fp"), bits)).alias("entry")).select("fp", "entry.choice", "entry.units")
+    entries = distinct.select("fp", *marks, F.explode(byte_postings(F.col("fp"), bits)).alias("entry")).select("fp", "entry.choice", "entry.units", *marks)
     dealt = entries.repartition(parts, "choice", "units").sortWithinPartitions("choice", "units")
-    found = materialize(dealt.mapInArrow(lambda b: link_lists(b, False, bits), LINK_ROWS), "links")
+    found = materialize(dealt.mapInArrow(lambda b: link_lists(b, False, bits, len(marks)), LINK_ROWS), "links")
     long = found.where("choice IS NOT NULL").select(F.col("a").alias("fp"), "choice")
 
     def cut_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,68 +269,161 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return rows.join(classes, "fp").select(id_column, "fp", "component")
 
 
-#: Near duplicates by content: tables of fingerprints of distinct words, differing bits of a candidate, sketch size, shingle
-#: words, and the similarity that a sketch must show.
-TABLES, CANDIDATE_BITS, SKETCH, CONTENT_SHINGLE, LEAST_SIMILAR = 2, 5, 128, 5, 0.75
+#: Near duplicates by content: tables of fingerprints of distinct words, differing bits of a candidate, shingle words, and
+#: the least similarity of two shingle sets.
+TABLES, CANDIDATE_BITS, CONTENT_SHINGLE, SIMILAR = 3, 5, 5, 0.8
+#: Least hashes in a sketch. Sketches decide alone where a text has fewer shingles, and outside this band (four standard
+#: errors about SIMILAR); within it whole shingle sets are compared.
+SKETCH, UNSURE = 128, (0.65, 0.95)
 
 
-def content(text: str | None) -> tuple[int, list[int], bytes]:
-    """A digest of the words, a fingerprint of the distinct words for each table, and the least hashes of the five-word shingles."""
-    words = [w for w in (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split(b" ") if w]
+def words_of(text: str | None) -> list[bytes]:
+    return [w for w in (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split(b" ") if w]
+
+
+def shingle_set(words: list[bytes]) -> np.ndarray:
+    """The distinct five-word shingles' hashes, ascending; of fewer words, that of the whole sequence."""
     joined = b" ".join(words)
-    distinct = set(words) or {b""}
-    fps = [majority(np.array([xxhash.xxh3_64_intdigest(w, t + 1) for w in distinct], dtype=np.uint64)) for t in range(TABLES)]
     n = max(1, len(words) - CONTENT_SHINGLE + 1)
     ends = (np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words))) + np.arange(len(words))).tolist() or [0]
     starts = [0, *(e + 1 for e in ends)]
-    shingles = np.unique(np.array([xxhash.xxh32_intdigest(joined[a:b]) for a, b in zip(starts[:n], ends[min(CONTENT_SHINGLE, len(ends)) - 1 :], strict=True)], dtype=np.uint32))
-    return xxhash.xxh3_64_intdigest(joined), fps, shingles[:SKETCH].tobytes()
+    return np.unique(np.array([xxhash.xxh32_intdigest(joined[a:b]) for a, b in zip(starts[:n], ends[min(CONTENT_SHINGLE, len(ends)) - 1 :], strict=True)], dtype=np.uint32))
+
+
+def marks_of(shingles: np.ndarray) -> list[int]:
+    """128 bits, as two longs, that agree the more the likelier two shingle sets are: one of the least hash of each bucket."""
+    buckets, first = np.unique(shingles & np.uint32(127), return_index=True)
+    bits = np.zeros(128, dtype=np.uint8)
+    bits[buckets] = (shingles[first] * np.uint32(0x9E3779B1)) >> np.uint32(31)
+    return np.packbits(bits).view(np.int64).tolist()
+
+
+def content(text: str | None) -> tuple[int, list[int], list[int], bytes]:
+    """A digest of the words, a fingerprint of the distinct words for each table, marks and the least hashes of the shingles."""
+    words = words_of(text)
+    distinct = set(words) or {b""}
+    fps = [majority(np.array([xxhash.xxh3_64_intdigest(w, t + 1) for w in distinct], dtype=np.uint64)) for t in range(TABLES)]
+    shingles = shingle_set(words)
+    return xxhash.xxh3_64_intdigest(b" ".join(words)), fps, marks_of(shingles), shingles[:SKETCH].tobytes()
+
+
+def same_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates (a, b) among nodes of one fingerprint, which come as (fp, salt, node, mark0, mark1) sorted by all but the node.
+
+    Each run of DIRECT nodes, in the order of their marks, gives the forest of greatest likeness; runs overlap by a node.
+    """
+
+    def close(run: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.array(likest_forest(run[0], np.stack(run[3:], axis=1), 0), dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(run[2][pairs[:, k]]) for k in range(2)], ["a", "b"])
 
+    held = [np.zeros(0, dtype=np.int64) for _ in range(5)]
+    for batch in with_end(batches):
+        if batch is not None:
+            held = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
+        fps, salts = held[:2]
+        if not len(fps):
+            continue
+        edges = np.concatenate(([0], np.flatnonzero((fps[1:] != fps[:-1]) | (salts[1:] != salts[:-1])) + 1, [len(fps)])).tolist()
+        for n, (begin, end) in enumerate(zip(edges, edges[1:], strict=False)):
+            while end - begin > DIRECT:
+                yield close([h[begin : begin + DIRECT] for h in held])
+                begin += DIRECT - 1
+            if batch is not None and n == len(edges) - 2:
+                held = [h[begin:] for h in held]
+            elif end - begin > 1:
+                yield close([h[begin:end] for h in held])
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """The shared part of the union of two sets of hashes."""
+    x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(len(x) + len(y) - both, 1)
 
-def sketched_similarity(a: bytes, b: bytes) -> float:
-    """The share of the union's least hashes that both sketches hold: the shingle sets' similarity, exact for short texts."""
+
+def sketched(a: bytes, b: bytes) -> bool | None:
+    """Whether two texts are alike by their sketches; None where the sketches can't tell."""
     x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
-    least = np.union1d(x, y)[: min(SKETCH, max(len(x), len(y)))] if max(len(x), len(y)) == SKETCH else np.union1d(x, y)
-    return len(np.intersect1d(np.intersect1d(x, y), least)) / max(len(least), 1)
+    if max(len(x), len(y)) < SKETCH:
+        return similarity(a, b) >= SIMILAR
+    least = np.union1d(x, y)[:SKETCH]
+    share = len(np.intersect1d(np.intersect1d(x, y, assume_unique=True), least, assume_unique=True)) / SKETCH
+    return None if UNSURE[0] <= share < UNSURE[1] else share >= UNSURE[1]
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_column: str) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets are at least SIMILAR: by sketches, and by whole sets where those can't tell."""
+    sketch_a, sketch_b = (nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in ("a", "b"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([sketched(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["a", "b", "sure"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = [words_of(t) for t in part.column("text").to_pylist()]
+                ids = np.array([xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([shingle_set(w).tobytes() for w in words], pa.binary())], ["node", "hashes"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [similarity(x.as_py(), y.as_py()) >= SIMILAR for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.filter(pa.array(found, pa.bool_())).select(["a", "b"])
+
+    judged = pairs.join(sketch_a, "a").join(sketch_b, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(judge, "a long, b long, sure boolean")
+    judged = materialize(judged.where("sure IS NULL OR sure"), "judged")
+    unsure = judged.where("sure IS NULL").select("a", "b")
+    asked = unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    owners = nodes.join(asked, "node", "left_semi").select(F.col("least").alias(id_column))
+    texts = docs.select(id_column, "text").join(owners, id_column, "left_semi")
+    whole = materialize(texts.mapInArrow(sets, "node long, hashes binary").join(asked, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    of_a, of_b = (whole.select(F.col("node").alias(x), F.col("hashes").alias(f"hashes_{x}")) for x in ("a", "b"))
+    exact = unsure.join(of_a, "a").join(of_b, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(compare, "a long, b long")
+    return judged.where("sure").select("a", "b").unionByName(exact)
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """(id, component): classes of documents whose five-word shingles are alike, by several fingerprints and a sketch.
+    """(id, component): classes of documents whose five-word shingle sets are at least SIMILAR alike.
 
     Documents of the same words are one node. In each table, nodes within CANDIDATE_BITS are candidates through the same
-    index; a candidate link holds if the sketches are at least LEAST_SIMILAR alike. Documents without words are one class.
+    index; a candidate link holds if the sets are alike. Documents without words are one class; rows without an id take no
+    part.
     """
-    columns = [f"fp{t}" for t in range(TABLES)]
+    docs = docs.where(F.col(id_column).isNotNull())
+    columns, marks = [f"fp{t}" for t in range(TABLES)], ("mark0", "mark1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 found = [content(t) for t in part.column("text").to_pylist()]
                 longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in ([f[0] for f in found], *([f[1][t] for f in found] for t in range(TABLES)))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *longs, pa.array([f[2] for f in found], pa.binary())], [id_column, "node", *columns, "sketch"])
+                marked = [pa.array([f[2][k] for f in found], pa.int64()) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *longs, *marked, pa.array([f[3] for f in found], pa.binary())], [id_column, "node", *columns, *marks, "sketch"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(id_column, "text").mapInArrow(run, f"`{id_column}` {kind}, node long, {', '.join(f'{c} long' for c in columns)}, sketch binary")
+    rows = docs.select(id_column, "text").mapInArrow(run, f"`{id_column}` {kind}, node long, {', '.join(f'{c} long' for c in (*columns, *marks))}, sketch binary")
     rows = materialize(rows, "contents")
-    nodes = materialize(rows.groupBy("node").agg(F.min(id_column).alias("least"), *(F.min(c).alias(c) for c in columns), F.min("sketch").alias("sketch")), "nodes")
-    pairs = None
+    nodes = materialize(rows.groupBy("node").agg(F.min(id_column).alias("least"), *(F.min(c).alias(c) for c in (*columns, *marks)), F.min("sketch").alias("sketch")), "nodes")
+    pairs, parts = None, blocks(docs.sparkSession)
     for c in columns:
-        leaders = materialize(nodes.groupBy(F.col(c).alias("fp")).agg(F.min("node").alias("leader")), "table")
-        same = nodes.join(leaders, nodes[c] == leaders["fp"]).where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        leaders = nodes.groupBy(F.col(c).alias("fp")).agg(F.min(F.struct("node", *marks)).alias("leader"), F.count("*").alias("n"))
+        leaders = materialize(leaders.select("fp", F.col("leader.node").alias("leader"), *(F.col(f"leader.{m}").alias(m) for m in marks), "n"), "table")
+        shared = nodes.select(F.col(c).alias("fp"), "node", *marks).join(leaders.where("n > 1").select("fp", "leader", "n"), "fp")
+        # nodes of a long list are dealt to several tasks by their marks, and to its leader, which joins these parts
+        shared = shared.withColumn("salt", F.pmod(F.col("mark0"), F.ceil(F.col("n") / DIRECT)).cast("long"))
+        star = shared.where(F.col("n") > DIRECT).where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        dealt = shared.select("fp", "salt", "node", *marks).repartition(parts, "fp", "salt").sortWithinPartitions("fp", "salt", *marks)
+        same = dealt.mapInArrow(same_links, "a long, b long").unionByName(star)
         of_a, of_b = (leaders.select(F.col("fp").alias(x), F.col("leader").alias(f"node_{x}")) for x in ("a", "b"))
-        near = materialize(fingerprint_links(leaders.select("fp"), CANDIDATE_BITS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+        near = fingerprint_links(leaders.select("fp", *marks), CANDIDATE_BITS, marks)
+        near = materialize(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
         near = near.join(of_a, "a").join(of_b, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         pairs = same.unionByName(near) if pairs is None else pairs.unionByName(same).unionByName(near)
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    sketch_a, sketch_b = (nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in ("a", "b"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alike = [sketched_similarity(x, y) >= LEAST_SIMILAR for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(alike, pa.bool_())).select(["a", "b"])
-
-    links = pairs.join(sketch_a, "a").join(sketch_b, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(verify, "a long, b long")
-    classes = connected_components(links).select("node", F.col("component").alias("class"))
+    classes = connected_components(alike(pairs, nodes, docs, id_column)).select("node", F.col("component").alias("class"))
     named = materialize(nodes.select("node", "least").join(classes, "node", "left").select("node", "least", F.coalesce("class", "node").alias("class")), "classes")
     least = materialize(named.groupBy("class").agg(F.min("least").alias("component")), "least")
     of_node = materialize(named.join(least, "class").select("node", "component"), "components")

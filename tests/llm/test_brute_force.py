@@ -210,11 +210,54 @@ def test_near_duplicates_by_content(spark, docs, sf_dir):
     sets = {d: shingles(r["text"]) for d, r in docs.items()}
     kept = {r["doc_id"] for r in simhash.keep_one(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
     best = {d: max((len(sets[d] & sets[e]) / len(sets[d] | sets[e]) for e in docs if e < d), default=0) for d in docs}
-    assert all(d in kept for d in docs if best[d] < 0.6)
+    assert all(d in kept for d in docs if best[d] < 0.8)
     near = [d for d in docs if best[d] >= 0.8]
     assert near and sum(d not in kept for d in near) / len(near) > 0.9
 
 
+def groups(links):
+    """The classes that links join, singletons left out."""
+    of = {}
+    for a, b in links:
+        merged = of.get(a, {a}) | of.get(b, {b})
+        of.update(dict.fromkeys(merged, merged))
+    return {frozenset(g) for g in of.values()}
+
+
+def test_the_likest_links_hold_every_threshold():
+    """A spanning forest of greatest likeness joins the same classes as all links, whatever the least agreement is."""
+    rng = np.random.default_rng(7)
+    fps = np.unique(rng.integers(0, 1 << 62) ^ (1 << rng.integers(0, 6, 60)).astype(np.int64) ^ (1 << rng.integers(0, 6, 60)).astype(np.int64))
+    marks = rng.integers(-(1 << 62), 1 << 62, (len(fps), 2))
+    agree = lambda i, j: 128 - int(np.bitwise_count((marks[i] ^ marks[j]).view(np.uint64)).sum())
+    near = [(i, j) for i, j in combinations(range(len(fps)), 2) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 3]
+    tree = simhash.likest_forest(fps, marks, 3)
+    assert len(tree) < len(fps) and set(map(tuple, map(sorted, tree))) <= set(near)
+    for least in (0, 58, 62, 66, 70):
+        assert groups([p for p in tree if agree(*p) >= least]) == groups([p for p in near if agree(*p) >= least])
+
+
+def test_nodes_of_one_fingerprint_are_joined_over_batches_and_runs(monkeypatch):
+    monkeypatch.setattr(simhash, "DIRECT", 7)
+    rows = [(5, 0, k, k, k) for k in range(20)] + [(6, 0, 100, 1, 1)] + [(7, s, 200 + 10 * s + k, k, k) for s in range(2) for k in range(3)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], ["fp", "salt", "node", "mark0", "mark1"])
+    for size in (1, 4, 27):
+        links = [tuple(r.values()) for b in simhash.same_links(batch.slice(k, size) for k in range(0, len(rows), size)) for r in b.to_pylist()]
+        assert groups(links) == groups([(k, k + 1) for k in range(19)] + [(200 + 10 * s + k, 201 + 10 * s + k) for s in range(2) for k in range(2)])
+
+
+def test_sketches_and_sets_agree():
+    rng = random.Random(8)
+    for _ in range(60):
+        words = [f"w{rng.randrange(500)}".encode() for _ in range(rng.choice([0, 3, 40, 600]))]
+        other = [w if rng.random() > 0.03 else b"edit" for w in words]
+        x, y = simhash.shingle_set(words), simhash.shingle_set(other)
+        told, exact = simhash.sketched(x[:128].tobytes(), y[:128].tobytes()), simhash.similarity(x.tobytes(), y.tobytes()) >= 0.8
+        assert told is None or told == exact
+        plain = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in (words, other)]
+        assert simhash.similarity(x.tobytes(), y.tobytes()) == len(plain[0] & plain[1]) / len(plain[0] | plain[1])
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(200, 260)] + [(3, 3), (None, 4), (7, 200)]
     got = dict(connected_components(spark.createDataFrame(links, "a long, b long")).collect())
