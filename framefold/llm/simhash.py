@@ -1,13 +1,15 @@
 """SimHash near-copies: a byte-position inverted index with count filtering.
 
 A document's 64-bit fingerprint is the majority of its shingles' hash bits. Two fingerprints that differ in at most four
-bits (five, for near duplicates by content) differ in at most as many of eight bytes, so they share the rest for
-certain. Equal fingerprints are one class from the start, so copies are never paired. The index posts each distinct
-fingerprint under each choice of so many positions with their bytes; a pair's shared positional bytes are tallied, pairs
-short of the sure number are dropped, and the rest are verified by their differing bits. Within a posting list only a
-spanning forest of the links is emitted, which keeps the classes whole without all pairs; for near duplicates it is the
-forest of greatest likeness, which keeps the classes at any threshold of the likeness. A posting list of over `DIRECT` members is cut again, on further tasks, by the
-nibbles of the bytes left over; what remains in such a list differs in 16 bits at most and is looked up by flipped bits.
+bits differ in at most four of eight bytes, so they share the rest for certain. Equal fingerprints are one class from the
+start, so copies are never paired. The index posts each distinct fingerprint under each choice of four positions with their
+bytes; a pair's shared positional bytes are tallied, pairs short of the sure number are dropped, and the rest are verified
+by their differing bits. Within a posting list only a spanning forest of the links is emitted, which keeps the classes whole
+without all pairs. A posting list of over `DIRECT` members is cut again, on further tasks, by the nibbles of the bytes left
+over; what remains in such a list differs in 16 bits at most and is looked up by flipped bits.
+
+Near duplicates by content don't use fingerprints: their candidates come from prefixes of the shingle sets, which leave no
+pair at `SIMILAR` out.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; repeated rows share a class;
 an empty table gives no rows; a null id has a fingerprint and is a member, and names a class only if all its ids are
@@ -269,9 +271,10 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return rows.join(classes, "fp").select(id_column, "fp", "component")
 
 
-#: Near duplicates by content: tables of fingerprints of distinct words, differing bits of a candidate, shingle words, and
-#: the least similarity of two shingle sets.
-TABLES, CANDIDATE_BITS, CONTENT_SHINGLE, SIMILAR = 3, 5, 5, 0.8
+#: Near duplicates by content: shingle words, and the least similarity of two shingle sets.
+CONTENT_SHINGLE, SIMILAR = 5, 0.8
+#: Lists of up to so many sets give all pairs at once; one row in so many is counted for frequent shingles, of which so many are told apart.
+SMALL_LIST, COUNTED, FREQUENT = 8, 16, 1 << 16
 #: Least hashes in a sketch. Sketches decide alone where a text has fewer shingles, and outside this band (four standard
 #: errors about SIMILAR); within it whole shingle sets are compared.
 SKETCH, UNSURE = 128, (0.65, 0.95)
@@ -290,21 +293,142 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh32_intdigest(joined[a:b]) for a, b in zip(starts[:n], ends[min(CONTENT_SHINGLE, len(ends)) - 1 :], strict=True)], dtype=np.uint32))
 
 
-def marks_of(shingles: np.ndarray) -> list[int]:
-    """128 bits, as two longs, that agree the more the likelier two shingle sets are: one of the least hash of each bucket."""
-    buckets, first = np.unique(shingles & np.uint32(127), return_index=True)
-    bits = np.zeros(128, dtype=np.uint8)
-    bits[buckets] = (shingles[first] * np.uint32(0x9E3779B1)) >> np.uint32(31)
-    return np.packbits(bits).view(np.int64).tolist()
+def frequent_shingles(docs: DataFrame, id_column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes, ascending, and counts of the most frequent shingles in a share of the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = np.concatenate([hashes, *(shingle_set(words_of(t)) for t in part.column("text").to_pylist())])
+                weights = np.concatenate([counts, np.ones(len(found) - len(hashes), dtype=np.int64)])
+                hashes, at = np.unique(found, return_inverse=True)
+                counts = np.bincount(at, weights).astype(np.int64)
+                if len(hashes) > 1 << 22:
+                    hashes, counts = hashes[counts > 1], counts[counts > 1]
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[counts > 1].astype(np.int64)), pa.array(counts[counts > 1])], ["hash", "n"])
+
+    counted = docs.where(F.pmod(F.xxhash64(id_column), F.lit(COUNTED)) == 0).select("text").mapInArrow(run, "hash long, n long")
+    top = counted.groupBy("hash").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hash").limit(FREQUENT).collect()
+    found = np.array(sorted((r["hash"], r["n"]) for r in top), dtype=np.int64).reshape(-1, 2)
+    return found[:, 0].astype(np.uint32), found[:, 1]
+
+
+def prefix_of(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
+    """The first shingles in the order (count, hash), one of which any set at SIMILAR has among its own first; and how frequent all are."""
+    hashes, counts = frequent
+    level = np.zeros(len(shingles), dtype=np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
+        level = np.where(hashes[at] == shingles, counts[at], 0)
+    n = len(shingles)
+    return shingles[np.argsort(level, kind="stable")[: n - (4 * n + 4) // 5 + 1]], int(1000 * np.log2(1 + level).mean())
+
+
+def parity_of(shingles: np.ndarray) -> list[int]:
+    """128 bits, as two longs: whether a bucket's shingles are odd in number. Two sets differ in at least as many shingles as bits."""
+    return np.packbits((np.bincount(shingles & np.uint32(127), minlength=128) & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
+def content(text: str | None, frequent: tuple[np.ndarray, np.ndarray]) -> tuple:
+    """A digest of the shingle set, its size, frequency, parities, least hash, least hashes, and prefix."""
+    shingles = shingle_set(words_of(text))
+    prefix, common = prefix_of(shingles, frequent)
+    digest = int(np.array(xxhash.xxh3_64_intdigest(shingles.tobytes()), dtype=np.uint64).view(np.int64))
+    return digest, len(shingles), common, *parity_of(shingles), int(shingles[0]), shingles[:SKETCH].tobytes(), prefix.tobytes()
+
+
+def prefix_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, size, common, mark) of each shingle in the prefixes of (node, size, common, mark, prefix)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        prefixes = batch.column(4).to_pylist()
+        times = [len(x) // 4 for x in prefixes]
+        keys = pa.array(np.frombuffer(b"".join(prefixes), dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([keys, *(pa.array(np.repeat(batch.column(k).to_numpy(), times)) for k in range(4))], ["key", "node", "size", "common", "mark"])
+
+
+def similar_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
+
+
+def first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, null) within the lists of postings, which come sorted by (key, mark, node), and members (node, null, list) of long lists.
+
+    Short lists give all pairs. Of a long list each member is paired with its most frequent one and the one before; `rest_of_pairs`
+    looks at what these leave open. A list is named by its members, so equal lists are one. A list's members are held together, 28 bytes each.
+    """
+
+    def close(key: np.ndarray, node: np.ndarray, size: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        begins = np.flatnonzero(new)
+        sizes = np.diff(np.append(begins, len(key)))
+        of = np.cumsum(new) - 1
+        short = sizes <= SMALL_LIST
+        place, ends = np.arange(len(key)), (begins + sizes)[of]
+        pairs = [np.stack([i, i + d]) for d in range(1, SMALL_LIST) for i in [np.flatnonzero(short[of] & (place + d < ends))]]
+        long = np.flatnonzero(~short[of])
+        if len(long):
+            best = np.lexsort((-common, of))[begins]  # the most frequent member of each list
+            pairs += [np.stack([best[of[long]], long]), np.stack([long[~new[long]] - 1, long[~new[long]]])]
+        i, j = np.concatenate(pairs, axis=1)
+        good = similar_sizes(size[i], size[j]) & (node[i] != node[j])
+        a, b = np.minimum(node[i], node[j])[good], np.maximum(node[i], node[j])[good]
+        a, b = np.unique(np.stack([a, b]), axis=1) if len(a) else (a, b)
+        named = np.add.reduceat(node.view(np.uint64) * (node.view(np.uint64) | np.uint64(1)), begins).view(np.int64)[of[long]]
+        none = np.zeros(len(a), dtype=np.int64), np.zeros(len(long), dtype=np.int64)
+        is_pair = np.arange(len(a) + len(long)) < len(a)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, node[long]])), pa.array(np.concatenate([b, none[1]]), mask=~is_pair), pa.array(np.concatenate([none[0], named]), mask=is_pair)], ["a", "b", "list"])
+
+    held = None
+    for batch in with_end(batches):
+        if batch is not None:
+            columns = [batch.column(k).to_numpy() for k in range(4)]
+            held = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        if held is None or not len(held[0]):
+            continue
+        end = len(held[0]) if batch is None else int(np.searchsorted(held[0], held[0][-1]))
+        if end:
+            yield close(*(h[:end] for h in held))
+            held = [h[end:] for h in held]
+
 
+def rest_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs (a, b) of a list that are of different classes and can be at SIMILAR by size and parity.
 
-def content(text: str | None) -> tuple[int, list[int], list[int], bytes]:
-    """A digest of the words, a fingerprint of the distinct words for each table, marks and the least hashes of the shingles."""
-    words = words_of(text)
-    distinct = set(words) or {b""}
-    fps = [majority(np.array([xxhash.xxh3_64_intdigest(w, t + 1) for w in distinct], dtype=np.uint64)) for t in range(TABLES)]
-    shingles = shingle_set(words)
-    return xxhash.xxh3_64_intdigest(b" ".join(words)), fps, marks_of(shingles), shingles[:SKETCH].tobytes()
+    Members come as (list, node, class, size, parity0, parity1), sorted by list and size, and are held list by list.
+    """
+
+    def close(run: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        _, node, group, size, *parity = run
+        if (group == group[0]).all():
+            return
+        bits = np.stack(parity, axis=1).view(np.uint64)
+        upto = np.searchsorted(size, 5 * size // 4, side="right").tolist()
+        found, count = [], 0
+        for i, end in enumerate(upto):
+            differ = np.bitwise_count(bits[i + 1 : end] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            k = np.flatnonzero((group[i + 1 : end] != group[i]) & (9 * differ <= size[i + 1 : end] + size[i])) + i + 1
+            found.append(np.stack([np.full(len(k), node[i]), node[k]]))
+            count += len(k)
+            if count > 1 << 16 or i == len(upto) - 1:
+                a, b = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                found, count = [], 0
+
+    held = None
+    for batch in with_end(batches):
+        if batch is not None:
+            columns = [batch.column(k).to_numpy() for k in range(6)]
+            held = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        if held is None or not len(held[0]):
+            continue
+        edges = np.concatenate(([0], np.flatnonzero(held[0][1:] != held[0][:-1]) + 1, [len(held[0])])).tolist()
+        last = len(edges) - 1 if batch is None else len(edges) - 2
+        for begin, end in zip(edges[:last], edges[1 : last + 1], strict=True):
+            yield from close([h[begin:end] for h in held])
+        held = [h[edges[last] :] for h in held]
 
 
 def same_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,8 +489,9 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_column: str) -
         for batch in batches:
             for part in slices(batch, "text"):
                 words = [words_of(t) for t in part.column("text").to_pylist()]
-                ids = np.array([xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([shingle_set(w).tobytes() for w in words], pa.binary())], ["node", "hashes"])
+                found = [shingle_set(w).tobytes() for w in words]
+                ids = np.array([xxhash.xxh3_64_intdigest(x) for x in found], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found, pa.binary())], ["node", "hashes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -388,42 +513,41 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_column: str) -
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """(id, component): classes of documents whose five-word shingle sets are at least SIMILAR alike.
 
-    Documents of the same words are one node. In each table, nodes within CANDIDATE_BITS are candidates through the same
-    index; a candidate link holds if the sets are alike. Documents without words are one class; rows without an id take no
-    part.
+    Documents of equal shingle sets are one node. Two sets at SIMILAR share a shingle among the first fifth of each in any
+    common order, here that of frequency; each such shingle has a list of the nodes that hold it there. Pairs in a list are
+    compared, or are of one class already, so no pair at SIMILAR is left out. Documents without words are one class; rows
+    without an id take no part.
     """
     docs = docs.where(F.col(id_column).isNotNull())
-    columns, marks = [f"fp{t}" for t in range(TABLES)], ("mark0", "mark1")
+    frequent = frequent_shingles(docs, id_column)
+    longs = ("node", "size", "common", "parity0", "parity1", "mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [content(t) for t in part.column("text").to_pylist()]
-                longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in ([f[0] for f in found], *([f[1][t] for f in found] for t in range(TABLES)))]
-                marked = [pa.array([f[2][k] for f in found], pa.int64()) for k in range(2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *longs, *marked, pa.array([f[3] for f in found], pa.binary())], [id_column, "node", *columns, *marks, "sketch"])
+                found = list(zip(*(content(t, frequent) for t in part.column("text").to_pylist()), strict=True))
+                kinds = [*(pa.int64() for _ in longs), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(found, kinds, strict=True))], [id_column, *longs, "sketch", "prefix"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(id_column, "text").mapInArrow(run, f"`{id_column}` {kind}, node long, {', '.join(f'{c} long' for c in (*columns, *marks))}, sketch binary")
+    rows = docs.select(id_column, "text").mapInArrow(run, f"`{id_column}` {kind}, {', '.join(f'{c} long' for c in longs)}, sketch binary, prefix binary")
     rows = materialize(rows, "contents")
-    nodes = materialize(rows.groupBy("node").agg(F.min(id_column).alias("least"), *(F.min(c).alias(c) for c in (*columns, *marks)), F.min("sketch").alias("sketch")), "nodes")
-    pairs, parts = None, blocks(docs.sparkSession)
-    for c in columns:
-        leaders = nodes.groupBy(F.col(c).alias("fp")).agg(F.min(F.struct("node", *marks)).alias("leader"), F.count("*").alias("n"))
-        leaders = materialize(leaders.select("fp", F.col("leader.node").alias("leader"), *(F.col(f"leader.{m}").alias(m) for m in marks), "n"), "table")
-        shared = nodes.select(F.col(c).alias("fp"), "node", *marks).join(leaders.where("n > 1").select("fp", "leader", "n"), "fp")
-        # nodes of a long list are dealt to several tasks by their marks, and to its leader, which joins these parts
-        shared = shared.withColumn("salt", F.pmod(F.col("mark0"), F.ceil(F.col("n") / DIRECT)).cast("long"))
-        star = shared.where(F.col("n") > DIRECT).where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        dealt = shared.select("fp", "salt", "node", *marks).repartition(parts, "fp", "salt").sortWithinPartitions("fp", "salt", *marks)
-        same = dealt.mapInArrow(same_links, "a long, b long").unionByName(star)
-        of_a, of_b = (leaders.select(F.col("fp").alias(x), F.col("leader").alias(f"node_{x}")) for x in ("a", "b"))
-        near = fingerprint_links(leaders.select("fp", *marks), CANDIDATE_BITS, marks)
-        near = materialize(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
-        near = near.join(of_a, "a").join(of_b, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        pairs = same.unionByName(near) if pairs is None else pairs.unionByName(same).unionByName(near)
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    classes = connected_components(alike(pairs, nodes, docs, id_column)).select("node", F.col("component").alias("class"))
+    parts = blocks(docs.sparkSession)
+    nodes = materialize(rows.groupBy("node").agg(F.min(id_column).alias("least"), *(F.min(c).alias(c) for c in (*longs[1:], "sketch", "prefix"))), "nodes")
+    postings = nodes.where("size >= 4").select("node", "size", "common", "mark", "prefix").mapInArrow(prefix_postings, "key int, node long, size long, common long, mark long")
+    postings = postings.repartition(parts, "key").sortWithinPartitions("key", "mark", "node").select("key", "node", "size", "common")
+    found = materialize(postings.mapInArrow(first_pairs, "a long, b long, list long"), "first")
+    pairs = materialize(found.where("list IS NULL").select("a", "b").distinct(), "pairs")
+    links = materialize(alike(pairs, nodes, docs, id_column), "likes")
+    classes = connected_components(links).select("node", F.col("component").alias("class"))
+    lists = found.where("list IS NOT NULL").select("list", F.col("a").alias("node")).distinct()
+    if lists.limit(1).count():
+        placed = lists.join(nodes.select("node", "size", "parity0", "parity1"), "node").join(classes, "node", "left")
+        placed = placed.select("list", "node", F.coalesce("class", "node").alias("class"), "size", "parity0", "parity1")
+        rest = placed.repartition(parts, "list").sortWithinPartitions("list", "size", "node").mapInArrow(rest_of_pairs, "a long, b long").distinct()
+        rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+        more = alike(rest, nodes, docs, id_column)
+        classes = connected_components(more.unionByName(classes.select(F.col("node").alias("a"), F.col("class").alias("b")))).select("node", F.col("component").alias("class"))
     named = materialize(nodes.select("node", "least").join(classes, "node", "left").select("node", "least", F.coalesce("class", "node").alias("class")), "classes")
     least = materialize(named.groupBy("class").agg(F.min("least").alias("component")), "least")
     of_node = materialize(named.join(least, "class").select("node", "component"), "components")
