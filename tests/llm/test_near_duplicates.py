@@ -43,3 +43,16 @@ def test_copies_are_linked_through_their_original(spark):
     want = plain(texts)
     assert len(set(want.values())) < 20
     assert classes(spark, texts) == want
+
+
+@pytest.mark.parametrize("share", [0.1, 0.2])
+def test_appended_prepended_and_truncated_copies(spark, share):
+    rng = random.Random(12)
+    texts = []
+    for t in range(40):
+        words = [f"v{rng.randrange(50000)}" for _ in range(rng.choice([50, 200, 1000]))]
+        more = [f"v{rng.randrange(50000)}" for _ in range(int(share * len(words)))]
+        texts += [" ".join(words), " ".join([words + more, more + words, words[: len(words) - len(more)]][t % 3])]
+    want = plain(texts)
+    assert sum(want[k] != k for k in want) >= 26
+    assert classes(spark, texts) == want
