@@ -75,3 +75,21 @@ def test_long_lists_leave_no_pair_out():
         members = pa.table({"list": [r[0] for r in long], "node": [r[2] for r in long], "class": [group[r[2]] for r in long], "size": [r[1] for r in long], "p": [0] * len(long), "q": [0] * len(long)})
         rest = {(r["a"], r["b"]) for b in simhash.rest_of_pairs(iter(members.to_batches(max_chunksize=step))) for r in b.to_pylist()}
         assert rest <= want and all(p in first or p in rest or group[p[0]] == group[p[1]] for p in want)
+
+
+def test_texts_over_one_set_of_words(spark, monkeypatch):
+    """A chain of texts of equal word sets, each like its neighbours alone, stays whole however small the runs are."""
+    monkeypatch.setattr(simhash, "DIRECT", 7)
+    rng = random.Random(14)
+    words = [f"w{k}" for k in range(200)]
+    texts = []
+    for _ in range(40):
+        k = rng.randrange(5, 190)
+        words[k], words[k + 1] = words[k + 1], words[k]
+        k = rng.randrange(5, 190)
+        words[k], words[k + 1] = words[k + 1], words[k]
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    want = plain(texts)
+    assert set(want.values()) == {0}
+    assert classes(spark, texts) == want
