@@ -1,19 +1,18 @@
-"""Substring dedup: content-defined chunks from a gear rolling hash, deduplicated by digest.
+"""Substring dedup: windows of words by digest, found through grams that any two equal windows select alike.
 
-Text is taken as its words, lower-cased (A-Z) and joined by spaces. A 16-bit gear hash, which sees the last 16 bytes, cuts
-where it is the greatest within `RADIUS` bytes to either side; cuts depend on nearby bytes alone, so an insertion moves
-only the chunks it touches. The digest of each chunk with the next one is looked up in the whole corpus; where it came in
-an earlier document, the match is compared byte by byte with that document and grown as far as both texts agree. A stretch
-of at least `LEAST_WORDS` whole words that an earlier document has is a repeat; the first document keeps it.
+Text is taken as its words, lower-cased (A-Z) and joined by spaces. Of each window of `LEAST_WORDS` words the gram of half as
+many words with the least digest is selected, so a window that two documents share selects one gram in both. Windows around
+grams that come in two documents are looked up whole in the corpus, one by one; each that came in an earlier document, and
+so is a repeat by itself, is compared byte by byte with that document and grown as far as both texts agree. A stretch of at
+least `LEAST_WORDS` whole words that an earlier document has is a repeat; the first document keeps it.
 
-Documents are dealt to blocks by id. A block asks for each distinct digest once, in packed arrays by digest range, and one
+Documents are dealt to blocks by id. A block asks for each distinct gram and window once, in packed arrays by digest range, and one
 task per range answers with the corpus's first place, so thousands of copies weigh no more than one row per block. Blocks
 then ask for the texts they compare with, each once per block.
 
 Defined cases: null, empty and short texts have no repeats; rows without an id take no part and are kept as they are; rows
-of one id are parts of one document, in the order of their texts; repeats within one document are left alone; a stretch
-that only repeats a pattern of under 16 bytes ("la la la") has no greatest hash, so no chunks, and is no repeat; of several
-places, the one with the smallest id is first; texts of any length are compared whole; an empty table gives no rows.
+of one id are parts of one document, in the order of their texts; repeats within one document are left alone; of several
+places of a window, the one with the smallest id is first; texts of any length are compared whole; an empty table gives no rows.
 Ids are cast to long.
 """
 
@@ -26,11 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framefold.llm.common import blocks, dealt_key, even_keys
+from framefold.llm.common import blocks, dealt_key, even_keys, materialize
 from framefold.llm.simhash import FOLD
 
 LEAST_WORDS = 50
@@ -91,25 +89,140 @@ class Block:
         self.texts = [normal(texts[k]) for k in self.order]
         self.part = [k - bisect_left(self.ids, x) for k, x in enumerate(self.ids)]
 
-    def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Digest, row, begin and end of each chunk with its next one, by row and begin."""
-        digests, rows, begins, ends = [], [], [], []
-        at = 0
-        while at < len(self.texts):
-            upto, held = at, 0
-            while upto < len(self.texts) and (upto == at or held + len(self.texts[upto]) <= 1 << 21):
-                held += len(self.texts[upto])
-                upto += 1
-            for row, found in zip(range(at, upto), cuts(self.texts[at:upto]), strict=True):
-                if len(found) > 2:
-                    text, a, b = self.texts[row], found[:-2], found[2:]
-                    digests.append(np.array([xxhash.xxh3_64_intdigest(text[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], dtype=np.uint64))
-                    rows.append(np.full(len(a), row))
-                    begins.append(a)
-                    ends.append(b)
-            at = upto
+    def words(self, least: int) -> Iterator[Words]:
+        """The words of rows of at least so many, about PIECE bytes at a time; long texts in pieces that share one word less than a window."""
+        rows, texts, begins, held = [], [], [], 0
+        for row, text in enumerate(self.texts):
+            for begin, end in pieces(text, least):
+                if rows and held + end - begin > PIECE:
+                    yield Words(rows, texts, begins)
+                    rows, texts, begins, held = [], [], [], 0
+                rows.append(row)
+                texts.append(text[begin:end])
+                begins.append(begin)
+                held += end - begin
+        if rows:
+            yield Words(rows, texts, begins)
+
+    def grams(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct digests of selected grams, and those that two documents of the block have."""
+        digests, docs = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+        ids = np.array(self.ids, dtype=np.int64)
+        for words in self.words(least):
+            digest, chosen = words.selected(least)
+            digests.append(digest[chosen])
+            docs.append(ids[words.row[: len(digest)][chosen]])
+        digest, doc = np.concatenate(digests), np.concatenate(docs)
+        order = np.lexsort((doc, digest))
+        digest, doc = digest[order], doc[order]
+        return np.unique(digest), np.unique(digest[1:][(digest[1:] == digest[:-1]) & (doc[1:] != doc[:-1])])
+
+    def chunks(self, least: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Digest, row, begin and end of each window that holds a selected gram of the known ones, by row and begin."""
         empty = np.zeros(0, dtype=np.int64)
-        return np.concatenate([empty.astype(np.uint64), *digests]), *(np.concatenate([empty, *x]) for x in (rows, begins, ends))
+        found = [(empty.astype(np.uint64), empty, empty, empty)]
+        for words in self.words(least):
+            digest, chosen = words.selected(least)
+            at = np.flatnonzero(chosen)
+            chosen[at[~np.isin(digest[at], known)]] = False
+            whole, valid = words.digests(least)
+            k = np.flatnonzero(valid & running(chosen, least - gram_words(least) + 1, np.maximum))
+            found.append((whole[k], words.row[k], words.begin[k] + words.shift[k], words.end[k + least - 1] + words.shift[k]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+#: Bytes of text that are hashed at a time.
+PIECE = 1 << 20
+FACTOR = 0xD1342543DE82EF95
+KEPT: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of FACTOR and of its inverse, modulo 2^64."""
+    if len(KEPT.get("up", ())) < n:
+        for name, x in (("up", FACTOR), ("down", pow(FACTOR, -1, 1 << 64))):
+            steps = np.full(max(n, 2 * PIECE), x, dtype=np.uint64)
+            steps[0] = 1
+            KEPT[name] = np.cumprod(steps, dtype=np.uint64)
+    return KEPT["up"][:n], KEPT["down"][:n]
+
+
+def byte_table() -> np.ndarray:
+    """A 64-bit value for each byte, from splitmix64 of the byte."""
+    return mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+BYTES = byte_table()
+
+
+def gram_words(least: int) -> int:
+    return max(1, least // 2)
+
+
+def running(x: np.ndarray, n: int, of: np.ufunc) -> np.ndarray:
+    """of(x[i : i + n]) for each i that has so many."""
+    if len(x) < n:
+        return x[:0]
+    most, span = x, 1
+    while 2 * span <= n:
+        most = of(most[:-span], most[span:])
+        span *= 2
+    return of(most[: len(x) - n + 1], most[n - span :][: len(x) - n + 1])
+
+
+def pieces(text: bytes, least: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of pieces that hold every window of so many words whole, each in one of them; none for fewer words."""
+    begin = 0
+    while len(text) - begin > PIECE:
+        end = text.find(b" ", begin + PIECE)
+        more = 2 * least - text.count(b" ", begin, end if end >= 0 else len(text))
+        while end >= 0 and more > 0:
+            end = text.find(b" ", end + 1)
+            more -= 1
+        if end < 0:
+            break
+        yield begin, end
+        begin = end
+        for _ in range(least - 1):
+            begin = text.rfind(b" ", 0, begin)
+        begin = begin + 1 if least > 1 else end + 1
+    if text and text.count(b" ", begin) + 1 >= least:
+        yield begin, len(text)
+
+
+class Words:
+    """The words of some pieces of text: row, begin and end, to which `shift` is added to give places in the row's text."""
+
+    def __init__(self, rows: list[int], texts: list[bytes], begins: list[int]):
+        data = np.frombuffer(b" ".join(texts), dtype=np.uint8)
+        space = np.flatnonzero(data == 32)
+        self.begin, self.end = np.concatenate(([0], space + 1)), np.append(space, len(data))
+        starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])[:-1]))
+        self.piece = np.searchsorted(starts, self.begin, side="right") - 1
+        self.row, self.shift = np.array(rows)[self.piece], (np.array(begins) - starts)[self.piece]
+        self.up, self.down = powers(len(data) + 1)
+        self.sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(BYTES[data] * self.up[:-1], dtype=np.uint64)))
+
+    def digests(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The digest of each n words in a row, and whether they are of one piece."""
+        count = max(0, len(self.begin) - n + 1)
+        begin, end = self.begin[:count], self.end[n - 1 :]
+        return np.maximum(mixed((self.sums[end] - self.sums[begin]) * self.down[begin]), np.uint64(1)), self.piece[:count] == self.piece[n - 1 :]
+
+    def selected(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The digest of each gram, and whether a window has it as its least; equal ones are all selected."""
+        digest, _ = self.digests(gram_words(least))
+        n = least - gram_words(least) + 1
+        _, valid = self.digests(least)
+        lowest = np.where(valid, running(digest, n, np.minimum), np.uint64(0))
+        blank = np.zeros(n - 1, dtype=np.uint64)
+        return digest, running(np.concatenate((blank, lowest, blank)), n, np.maximum) == digest
 
 
 def grown(a: bytes, b: bytes, i: int, j: int, n: int) -> tuple[int, int, int] | None:
@@ -168,31 +281,54 @@ def find_repeats(docs: DataFrame, id_column: str = "doc_id", least_words: int =
     dealt = rows.withColumn(block_column, block_of(F.col(id_column))).repartition(parts, block_column)
     edges = np.array([(1 << 64) * k // parts for k in range(1, parts)], dtype=np.uint64)
 
-    def first_places(block: Block) -> tuple[tuple, np.ndarray, np.ndarray]:
-        """The chunks; of each distinct digest, sorted, the block's first chunk; and which distinct digest each chunk has."""
-        chunks = block.chunks()
+    def first_places(block: Block, replies: pa.Table) -> tuple[tuple, np.ndarray, np.ndarray]:
+        """The windows to look up; of each distinct digest, sorted, the block's first window; and which distinct digest each window has."""
+        _, own = block.grams(least_words)
+        known = np.unique(np.concatenate([own, *(np.frombuffer(x, dtype=np.uint64) for x in replies.column("digests").to_pylist())]))
+        chunks = block.chunks(least_words, known)
         _, first, which = np.unique(chunks[0], return_index=True, return_inverse=True)
         return chunks, first, which
 
     def place(block: Block, row: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.array(block.ids, dtype=np.int64)[row], np.array(block.part, dtype=np.int64)[row] * ROW_SPAN + begin
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
         table = pa.Table.from_batches(batches)
         for number in table.column(block_column).unique().to_pylist():
-            block = Block(table.filter(pc.equal(table.column(block_column), number)), id_column)
-            (digest, row, begin, _), first, _ = first_places(block)
-            wanted, (doc, at) = digest[first], place(block, row[first], begin[first])
+            wanted, _ = Block(table.filter(pc.equal(table.column(block_column), number)), id_column).grams(least_words)
             border = np.concatenate(([0], np.searchsorted(wanted, edges), [len(wanted)]))
             for s in range(parts):
                 a, b = border[s], border[s + 1]
                 if b > a:
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[s]], pa.int32()), pa.array([number], pa.int32()), *(pa.array([x[a:b].tobytes()], pa.binary()) for x in (wanted, doc, at))], ["shard", "block", "digests", "docs", "places"])
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[s]], pa.int32()), pa.array([number], pa.int32()), pa.array([wanted[a:b].tobytes()], pa.binary())], ["shard", "block", "digests"])
+
+    def answer_grams(group: pa.Table) -> pa.Table:
+        """For each block, the digests that other blocks have too."""
+        digests = [np.frombuffer(x, dtype=np.uint64) for x in group.column("digests").to_pylist()]
+        every = np.sort(np.concatenate(digests))
+        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        return pa.table({"block": group.column("block"), "digests": pa.array([np.intersect1d(x, twice, assume_unique=True).tobytes() for x in digests], pa.binary())})
 
-    asked = dealt.mapInArrow(ask, "shard int, block int, digests binary, docs binary, places binary")
+    dealt_again = dealt.groupBy(block_column)
+    asked_grams = dealt.mapInArrow(ask_grams, "shard int, block int, digests binary")
+    grams = asked_grams.groupBy("shard").applyInArrow(answer_grams, "block int, digests binary").where("length(digests) > 0")
+
+    def ask(own: pa.Table, replies: pa.Table) -> pa.Table:
+        rows_ = []
+        if own.num_rows:
+            block = Block(own, id_column)
+            (digest, row, begin, _), first, _ = first_places(block, replies)
+            wanted, (doc, at) = digest[first], place(block, row[first], begin[first])
+            border = np.concatenate(([0], np.searchsorted(wanted, edges), [len(wanted)]))
+            number = own.column(block_column)[0].as_py()
+            rows_ = [(keys[s], number, *(x[a:b].tobytes() for x in (wanted, doc, at))) for s, (a, b) in enumerate(zip(border, border[1:], strict=False)) if b > a]
+        kinds = {"shard": pa.int32(), "block": pa.int32(), "digests": pa.binary(), "docs": pa.binary(), "places": pa.binary()}
+        return pa.table({name: pa.array([r[k] for r in rows_], kind) for k, (name, kind) in enumerate(kinds.items())})
+
+    asked = dealt_again.cogroup(grams.groupBy("block")).applyInArrow(ask, "shard int, block int, digests binary, docs binary, places binary")
 
     def answer(group: pa.Table) -> pa.Table:
         """For each block, the digests whose first place is in another block."""
@@ -215,12 +351,14 @@ def find_repeats(docs: DataFrame, id_column: str = "doc_id", least_words: int =
     answers = asked.groupBy("shard").applyInArrow(answer, "block int, digests binary, docs binary, places binary").where("length(digests) > 0")
 
     def runs(own: pa.Table, replies: pa.Table) -> pa.Table:
-        """Chunks in a row that all came before, in a row, in one other document."""
+        """Windows in a row that all came before, in a row, in one other document."""
         empty = pa.table({"block": pa.array([], pa.int32()), **{c: pa.array([], pa.int64()) for c in ("doc", "at", "size", "first_doc", "first_at")}, "text": pa.array([], pa.binary())})
         if not own.num_rows:
             return empty
         block = Block(own, id_column)
-        (digest, row, begin, end), first, which = first_places(block)
+        is_gram = replies.column("docs").is_null()
+        (digest, row, begin, end), first, which = first_places(block, replies.filter(is_gram))
+        replies = replies.filter(pc.invert(is_gram))
         if not len(digest):
             return empty
         wanted, (doc, at) = digest[first], place(block, row[first], begin[first])
@@ -234,13 +372,13 @@ def find_repeats(docs: DataFrame, id_column: str = "doc_id", least_words: int =
         if not len(k):
             return empty
         new = np.ones(len(k), dtype=bool)
-        new[1:] = (k[1:] != k[:-1] + 1) | (own_doc[k][1:] != own_doc[k][:-1]) | (before[k][1:] != before[k][:-1]) | ((own_at - before_at)[k][1:] != (own_at - before_at)[k][:-1])
-        a = k[new]  # growth from a run's first chunk covers the rest
+        new[1:] = (k[1:] != k[:-1] + 1) | (row[k][1:] != row[k][:-1]) | (begin[k][1:] > end[k][:-1]) | (before[k][1:] != before[k][:-1]) | ((own_at - before_at)[k][1:] != (own_at - before_at)[k][:-1])
+        a = k[new]  # growth from a run's first window covers the rest
         number = own.column(block_column)[0].as_py()
         return pa.table({"block": pa.array(np.full(len(a), number, dtype=np.int32)), "doc": own_doc[a], "at": own_at[a], "size": end[a] - begin[a], "first_doc": before[a], "first_at": before_at[a], "text": pa.nulls(len(a), pa.binary())})
 
-    dealt_again = dealt.groupBy(block_column)
-    found = dealt_again.cogroup(answers.groupBy("block")).applyInArrow(runs, RUN).repartition(parts, "block")
+    replies = answers.unionByName(grams, allowMissingColumns=True)
+    found = materialize(dealt_again.cogroup(replies.groupBy("block")).applyInArrow(runs, RUN), "runs").repartition(parts, "block")
     needed = found.select("block", "first_doc", F.shiftright("first_at", 40).alias("part")).distinct().withColumn("first_block", block_of(F.col("first_doc")))
 
     def send(own: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -265,11 +403,11 @@ def find_repeats(docs: DataFrame, id_column: str = "doc_id", least_words: int =
             by_row.setdefault(bisect_left(block.ids, doc) + at // ROW_SPAN, []).append((at % ROW_SPAN, size, first, first_at))
         out: list[tuple[int, list[tuple[int, int, int, int, int]]]] = []
         for row, hits in by_row.items():
-            text, spans, done = block.texts[row], [], {}
+            text, spans, done, reach = block.texts[row], [], {}, 0
             for at, size, first, first_at in sorted(hits):
                 slot = (first, first_at - first_at % ROW_SPAN, at - first_at % ROW_SPAN)
-                if done.get(slot, 0) >= at + size:
-                    continue
+                if at + size <= max(done.get(slot, 0), reach):
+                    continue  # any window outside the spans so far is a hit of its own
                 other = text_of[slot[:2]]
                 match = grown(text, other, at, first_at % ROW_SPAN, size)
                 if match is None:
@@ -279,6 +417,7 @@ def find_repeats(docs: DataFrame, id_column: str = "doc_id", least_words: int =
                 start, length = whole_words(text, other, i, j, n)
                 words = text.count(b" ", start, start + length) + 1 if length else 0
                 if words >= least_words:
+                    reach = max(reach, start + length)
                     spans.append((text.count(b" ", 0, start), words, first, other.count(b" ", 0, j + start - i), block.part[row]))
             kept, reach = [], 0
             for span in sorted(spans, key=lambda s: (s[0], -s[1], s[2])):
