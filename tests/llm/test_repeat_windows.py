@@ -51,3 +51,16 @@ def test_pieces_hold_each_window_once(monkeypatch):
             windows = [(starts[k], ends[k + least - 1]) for k in range(len(starts) - least + 1)]
             spans = list(repeats.pieces(text, least))
             assert len(spans) > 1 and all(sum(a <= x and y <= b for a, b in spans) == 1 for x, y in windows)
+
+
+def test_passages_of_few_bytes_and_of_one_pattern(spark):
+    rng = random.Random(23)
+    texts = []
+    for n in (50, 50, 55, 60):
+        for digits in (10, 100):
+            for _ in range(6):
+                passage = [str(rng.randrange(digits)) for _ in range(n)]
+                texts += [" ".join([*own(rng, 20), *passage, *own(rng, 20)]) for _ in range(2)]
+    texts += [" ".join([*own(rng, 20), *["la", "le", "lu"] * n, *own(rng, 20)]) for n in (17, 100, 30)]
+    want = plain(texts)
+    assert len(want) == 50 and found(spark, texts) == want
