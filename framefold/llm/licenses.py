@@ -79,12 +79,23 @@ def windows(joined: bytes, parts: list[tuple[int, bytes]], length: int, edits: i
     return merged
 
 
+def best_matches(text: str, pattern: regex.Pattern) -> list[regex.Match]:
+    """The best match, and those of the parts before and behind it, each searched likewise; in order."""
+    found, parts = [], [(0, len(text))]
+    while parts:
+        begin, end = parts.pop()
+        if begin < end and (m := pattern.search(text, begin, end)):
+            found.append(m)
+            parts += [(begin, m.start() - 1), (m.end(), end)]
+    return sorted(found, key=lambda m: m.start())
+
+
 def verified(joined: bytes, begin: int, end: int, pattern: regex.Pattern) -> Iterator[tuple[int, int, int]]:
     """(start, end, edits) by byte of matches in a window; windows are cut at word edges so no edge is made up."""
     first = joined.rfind(b" ", 0, begin + 1) + 1
     last = joined.find(b" ", max(first, end - 1))
     text = joined[first : last if last >= 0 else len(joined)].decode("utf-8", "surrogatepass")
-    for m in pattern.finditer(text):
+    for m in best_matches(text, pattern):
         yield first + len(text[: m.start()].encode("utf-8", "surrogatepass")), first + len(text[: m.end()].encode("utf-8", "surrogatepass")), sum(m.fuzzy_counts)
 
 
