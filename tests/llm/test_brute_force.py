@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -15,7 +16,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from framefold.llm import images, language, licenses, lm, packing, queries, repeats, simhash, tokens
+from framefold.llm import components, images, language, licenses, lm, packing, queries, repeats, simhash, tokens
 from framefold.llm.components import connected_components
 
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -265,6 +266,18 @@ def test_components_of_chains_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    """10,000 nodes of rising ids in a row, among them a node with many neighbours; past rounds leave no tables."""
+    written = []
+    plain = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, label: written.append(plain(df, label)) or written[-1])
+    links = spark.range(10000).selectExpr("id AS a", "id + 1 AS b").union(spark.range(20000, 23000).selectExpr("id AS a", "20000L AS b"))
+    got = dict(components.connected_components(links).collect())
+    assert got == {**dict.fromkeys(range(10001), 0), **dict.fromkeys(range(20000, 23000), 20000)}
+    assert len(written) <= 2 + 4 * 19
+    assert sum(os.path.isdir(t.written_to.removeprefix("file:")) for t in written) == 2
+
+
 def test_languages_of_held_out_documents(spark, sf_dir, docs):
     rows = queries.op6_language_id(spark, sf_dir).collect()
     assert len(rows) == len(docs)
