@@ -1,19 +1,24 @@
-"""Substring dedup: windows of words by digest, found through grams that any two equal windows select alike.
-
-Text is taken as its words, lower-cased (A-Z) and joined by spaces. Of each window of `LEAST_WORDS` words the gram of half as
-many words with the least digest is selected, so a window that two documents share selects one gram in both. Windows around
-grams that come in two documents are looked up whole in the corpus, one by one; each that came in an earlier document, and
-so is a repeat by itself, is compared byte by byte with that document and grown as far as both texts agree. A stretch of at
-least `LEAST_WORDS` whole words that an earlier document has is a repeat; the first document keeps it.
-
-Documents are dealt to blocks by id. A block asks for each distinct gram and window once, in packed arrays by digest range, and one
-task per range answers with the corpus's first place, so thousands of copies weigh no more than one row per block. Blocks
-then ask for the texts they compare with, each once per block.
+"""Substring dedup: content-defined chunks by a gear rolling hash over words, deduplicated by digest.
+
+Text is taken as its words, lower-cased (A-Z) and joined by spaces. A gear hash, h = (h << shift) + gear[word], rolls over
+the words and holds the last `gear_words` of them. A word run whose hash is the least of `spread` runs in a row is a cut, so
+cuts depend on what stands around them alone and come back soon after an insertion. A chunk reaches from a cut through the
+run at the next cut. Spread is chosen so that any `LEAST_WORDS` words hold two cuts, and so a whole chunk, that no word
+outside of them decides: two documents that share so many words share those chunks. Chunks are deduplicated by digest over
+the corpus. A window of `LEAST_WORDS` words is looked up whole where all such chunks of its own come in two documents;
+each that came in an earlier document, and so is a repeat by itself, is compared byte by byte with that document and grown
+as far as both texts agree. A stretch of at least `LEAST_WORDS` whole words that an earlier document has is a repeat; the
+first document keeps it.
+
+Documents are dealt to blocks by id. A block asks for each distinct chunk and window once, in packed arrays by digest range,
+and one task per range answers with the corpus's first place, so thousands of copies weigh no more than one row per block;
+ranges that a block has nothing for get no message, so messages never outnumber digests. Blocks then ask for the texts they
+compare with, each once per block.
 
 Defined cases: null, empty and short texts have no repeats; rows without an id take no part and are kept as they are; rows
 of one id are parts of one document, in the order of their texts; repeats within one document are left alone; of several
 places of a window, the one with the smallest id is first; texts of any length are compared whole; an empty table gives no rows.
-Ids are cast to long.
+Ids are cast to long. Repeats have two words at least.
 """
 
 from __future__ import annotations
@@ -32,52 +37,17 @@ from framefold.llm.common import blocks, dealt_key, even_keys, materialize
 from framefold.llm.simhash import FOLD
 
 LEAST_WORDS = 50
-WINDOW, RADIUS = 16, 16
+#: Words that the gear hash holds, at most.
+GEAR_WORDS = 8
 #: Rows of one id are laid end to end at this distance.
 ROW_SPAN = 1 << 40
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def gear_table() -> np.ndarray:
-    """A 16-bit value for each byte, from splitmix64 of the byte."""
-    x = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))).astype(np.uint16)
-
-
-GEAR = gear_table()
-
-
 def normal(text: str | None) -> bytes:
     return b" ".join(w for w in (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split(b" ") if w)
 
 
-def cuts(texts: list[bytes]) -> list[np.ndarray]:
-    """The offsets in each text at which chunks begin."""
-    pad = b"\0" * (2 * RADIUS)
-    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    ends = len(pad) + np.cumsum(lengths + len(pad)) - len(pad)
-    starts = ends - lengths
-    data = np.frombuffer(pad + b"".join(t + pad for t in texts), dtype=np.uint8)
-    h = GEAR[data]
-    for s in (1, 2, 4, 8):  # h[i] is the sum of gear[i - k] << k over the window
-        h = np.concatenate((h[:s], h[s:] + (h[:-s] << np.uint16(s))))
-    alive = np.zeros(len(data) + 1, dtype=np.int8)
-    full = lengths >= WINDOW
-    np.add.at(alive, starts[full] + WINDOW - 1, 1)
-    np.add.at(alive, ends[full], -1)
-    h = np.where(np.cumsum(alive[:-1]).astype(bool), h, 0)
-    most = h
-    for s in (1, 2, 4, 8):  # most[i] is the greatest of h[i : i + RADIUS]
-        most = np.maximum(most, np.concatenate((most[s:], np.zeros(s, dtype=most.dtype))))
-    left = np.concatenate((np.zeros(RADIUS, dtype=most.dtype), most[:-RADIUS]))
-    right = np.concatenate((most[1:], np.zeros(1, dtype=most.dtype)))
-    at = np.flatnonzero((h > left) & (h >= right) & (h > 0))
-    border = np.searchsorted(at, np.append(starts, len(data)))
-    return [at[a:b] - s for a, b, s in zip(border, border[1:], starts, strict=False)]
-
-
 class Block:
     """The documents of a block: rows sorted by id and text, and their chunks."""
 
@@ -104,29 +74,32 @@ class Block:
         if rows:
             yield Words(rows, texts, begins)
 
-    def grams(self, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct digests of selected grams, and those that two documents of the block have."""
+    def chunk_digests(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct digests of chunks, and those that two documents of the block have."""
         digests, docs = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
         ids = np.array(self.ids, dtype=np.int64)
         for words in self.words(least):
-            digest, chosen = words.selected(least)
-            digests.append(digest[chosen])
-            docs.append(ids[words.row[: len(digest)][chosen]])
+            cuts, digest, whole = words.chunks(least)
+            digests.append(digest[whole])
+            docs.append(ids[words.row[cuts[:-1]][whole]])
         digest, doc = np.concatenate(digests), np.concatenate(docs)
         order = np.lexsort((doc, digest))
         digest, doc = digest[order], doc[order]
         return np.unique(digest), np.unique(digest[1:][(digest[1:] == digest[:-1]) & (doc[1:] != doc[:-1])])
 
-    def chunks(self, least: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Digest, row, begin and end of each window that holds a selected gram of the known ones, by row and begin."""
+    def windows(self, least: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Digest, row, begin and end of each window whose own chunks are all known, by row and begin."""
         empty = np.zeros(0, dtype=np.int64)
         found = [(empty.astype(np.uint64), empty, empty, empty)]
+        g, n = gear_words(least), spread(least)
         for words in self.words(least):
-            digest, chosen = words.selected(least)
-            at = np.flatnonzero(chosen)
-            chosen[at[~np.isin(digest[at], known)]] = False
             whole, valid = words.digests(least)
-            k = np.flatnonzero(valid & running(chosen, least - gram_words(least) + 1, np.maximum))
+            cuts, digest, _ = words.chunks(least)
+            before = np.concatenate(([0], np.cumsum(np.bincount(cuts, minlength=len(words.begin)))))  # cuts before each word
+            missing = np.concatenate(([0], np.cumsum(~np.isin(digest, known))))  # unknown chunks before each
+            start = np.arange(len(whole))
+            first, last = before[start + n - 1], before[start + least - g - n + 2] - 1
+            k = np.flatnonzero(valid & (last > first) & (missing[np.maximum(last, 0)] == missing[np.minimum(first, len(missing) - 1)]))
             found.append((whole[k], words.row[k], words.begin[k] + words.shift[k], words.end[k + least - 1] + words.shift[k]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
@@ -161,8 +134,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 BYTES = byte_table()
 
 
-def gram_words(least: int) -> int:
-    return max(1, least // 2)
+def gear_words(least: int) -> int:
+    """Words that the gear hash holds."""
+    return min(GEAR_WORDS, max(1, least // 6))
+
+
+def spread(least: int) -> int:
+    """Of so many runs in a row one is a cut. A window has least - gear_words + 1 runs, of which spread - 1 at either end may be cut by words outside; the rest holds two spreads."""
+    return (least + 3 - gear_words(least)) // 4
 
 
 def running(x: np.ndarray, n: int, of: np.ufunc) -> np.ndarray:
@@ -212,17 +191,30 @@ class Words:
     def digests(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The digest of each n words in a row, and whether they are of one piece."""
         count = max(0, len(self.begin) - n + 1)
-        begin, end = self.begin[:count], self.end[n - 1 :]
-        return np.maximum(mixed((self.sums[end] - self.sums[begin]) * self.down[begin]), np.uint64(1)), self.piece[:count] == self.piece[n - 1 :]
-
-    def selected(self, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """The digest of each gram, and whether a window has it as its least; equal ones are all selected."""
-        digest, _ = self.digests(gram_words(least))
-        n = least - gram_words(least) + 1
-        _, valid = self.digests(least)
-        lowest = np.where(valid, running(digest, n, np.minimum), np.uint64(0))
+        return self.digest_of(self.begin[:count], self.end[n - 1 :]), self.piece[:count] == self.piece[n - 1 :]
+
+    def gear(self, n: int) -> np.ndarray:
+        """The gear hash of each n words in a row; a word that has left is shifted out."""
+        word = self.digests(1)[0]
+        count = max(0, len(word) - n + 1)
+        h, shift = np.zeros(count, dtype=np.uint64), np.uint64(-(-64 // n))
+        for k in range(n):
+            h = (h << shift) + word[k : k + count] if k else word[:count].copy()
+        return np.maximum(h, np.uint64(1))
+
+    def chunks(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The cuts, ascending, the digest of the chunk from each to the next, and whether that is of one piece. Equal hashes are all cuts."""
+        g, n = gear_words(least), spread(least)
+        h = self.gear(g)
+        valid = self.piece[: max(0, len(self.piece) - g - n + 2)] == self.piece[g + n - 2 :]
+        lowest = np.where(valid, running(h, n, np.minimum), np.uint64(0)) if len(valid) else np.zeros(0, dtype=np.uint64)
         blank = np.zeros(n - 1, dtype=np.uint64)
-        return digest, running(np.concatenate((blank, lowest, blank)), n, np.maximum) == digest
+        cuts = np.flatnonzero(running(np.concatenate((blank, lowest, blank)), n, np.maximum) == h) if len(valid) else np.zeros(0, dtype=np.int64)
+        begin, last = cuts[:-1], cuts[1:] + g - 1
+        return cuts, self.digest_of(self.begin[begin], self.end[last]), self.piece[begin] == self.piece[last]
+
+    def digest_of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return np.maximum(mixed((self.sums[end] - self.sums[begin]) * self.down[begin]), np.uint64(1))
 
 
 def grown(a: bytes, b: bytes, i: int, j: int, n: int) -> tuple[int, int, int] | None:
@@ -271,6 +263,8 @@ RUN = "block int, doc long, at long, size long, first_doc long, first_at long, t
 
 def find_repeats(docs: DataFrame, id_column: str = "doc_id", least_words: int = LEAST_WORDS, cut: bool = False) -> DataFrame:
     """Repeats as (id, start_word, n_words, first_doc_id, first_start_word, part); or, with `cut`, docs with repeats cut from their texts."""
+    if least_words < 2:
+        raise ValueError("a repeat has two words at least")
     spark = docs.sparkSession
     parts = blocks(spark)
     keys = even_keys(spark, parts)
@@ -283,29 +277,29 @@ def find_repeats(docs: DataFrame, id_column: str = "doc_id", least_words: int =
 
     def first_places(block: Block, replies: pa.Table) -> tuple[tuple, np.ndarray, np.ndarray]:
         """The windows to look up; of each distinct digest, sorted, the block's first window; and which distinct digest each window has."""
-        _, own = block.grams(least_words)
+        _, own = block.chunk_digests(least_words)
         known = np.unique(np.concatenate([own, *(np.frombuffer(x, dtype=np.uint64) for x in replies.column("digests").to_pylist())]))
-        chunks = block.chunks(least_words, known)
-        _, first, which = np.unique(chunks[0], return_index=True, return_inverse=True)
-        return chunks, first, which
+        windows = block.windows(least_words, known)
+        _, first, which = np.unique(windows[0], return_index=True, return_inverse=True)
+        return windows, first, which
 
     def place(block: Block, row: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.array(block.ids, dtype=np.int64)[row], np.array(block.part, dtype=np.int64)[row] * ROW_SPAN + begin
 
-    def ask_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
         table = pa.Table.from_batches(batches)
         for number in table.column(block_column).unique().to_pylist():
-            wanted, _ = Block(table.filter(pc.equal(table.column(block_column), number)), id_column).grams(least_words)
+            wanted, _ = Block(table.filter(pc.equal(table.column(block_column), number)), id_column).chunk_digests(least_words)
             border = np.concatenate(([0], np.searchsorted(wanted, edges), [len(wanted)]))
             for s in range(parts):
                 a, b = border[s], border[s + 1]
                 if b > a:
                     yield pa.RecordBatch.from_arrays([pa.array([keys[s]], pa.int32()), pa.array([number], pa.int32()), pa.array([wanted[a:b].tobytes()], pa.binary())], ["shard", "block", "digests"])
 
-    def answer_grams(group: pa.Table) -> pa.Table:
+    def answer_chunks(group: pa.Table) -> pa.Table:
         """For each block, the digests that other blocks have too."""
         digests = [np.frombuffer(x, dtype=np.uint64) for x in group.column("digests").to_pylist()]
         every = np.sort(np.concatenate(digests))
@@ -313,8 +307,8 @@ def find_repeats(docs: DataFrame, id_column: str = "doc_id", least_words: int =
         return pa.table({"block": group.column("block"), "digests": pa.array([np.intersect1d(x, twice, assume_unique=True).tobytes() for x in digests], pa.binary())})
 
     dealt_again = dealt.groupBy(block_column)
-    asked_grams = dealt.mapInArrow(ask_grams, "shard int, block int, digests binary")
-    grams = asked_grams.groupBy("shard").applyInArrow(answer_grams, "block int, digests binary").where("length(digests) > 0")
+    asked_chunks = dealt.mapInArrow(ask_chunks, "shard int, block int, digests binary")
+    shared = asked_chunks.groupBy("shard").applyInArrow(answer_chunks, "block int, digests binary").where("length(digests) > 0")
 
     def ask(own: pa.Table, replies: pa.Table) -> pa.Table:
         rows_ = []
@@ -328,7 +322,7 @@ def find_repeats(docs: DataFrame, id_column: str = "doc_id", least_words: int =
         kinds = {"shard": pa.int32(), "block": pa.int32(), "digests": pa.binary(), "docs": pa.binary(), "places": pa.binary()}
         return pa.table({name: pa.array([r[k] for r in rows_], kind) for k, (name, kind) in enumerate(kinds.items())})
 
-    asked = dealt_again.cogroup(grams.groupBy("block")).applyInArrow(ask, "shard int, block int, digests binary, docs binary, places binary")
+    asked = dealt_again.cogroup(shared.groupBy("block")).applyInArrow(ask, "shard int, block int, digests binary, docs binary, places binary")
 
     def answer(group: pa.Table) -> pa.Table:
         """For each block, the digests whose first place is in another block."""
@@ -356,9 +350,9 @@ def find_repeats(docs: DataFrame, id_column: str = "doc_id", least_words: int =
         if not own.num_rows:
             return empty
         block = Block(own, id_column)
-        is_gram = replies.column("docs").is_null()
-        (digest, row, begin, end), first, which = first_places(block, replies.filter(is_gram))
-        replies = replies.filter(pc.invert(is_gram))
+        is_chunk = replies.column("docs").is_null()
+        (digest, row, begin, end), first, which = first_places(block, replies.filter(is_chunk))
+        replies = replies.filter(pc.invert(is_chunk))
         if not len(digest):
             return empty
         wanted, (doc, at) = digest[first], place(block, row[first], begin[first])
@@ -377,7 +371,7 @@ def find_repeats(docs: DataFrame, id_column: str = "doc_id", least_words: int =
         number = own.column(block_column)[0].as_py()
         return pa.table({"block": pa.array(np.full(len(a), number, dtype=np.int32)), "doc": own_doc[a], "at": own_at[a], "size": end[a] - begin[a], "first_doc": before[a], "first_at": before_at[a], "text": pa.nulls(len(a), pa.binary())})
 
-    replies = answers.unionByName(grams, allowMissingColumns=True)
+    replies = answers.unionByName(shared, allowMissingColumns=True)
     found = materialize(dealt_again.cogroup(replies.groupBy("block")).applyInArrow(runs, RUN), "runs").repartition(parts, "block")
     needed = found.select("block", "first_doc", F.shiftright("first_at", 40).alias("part")).distinct().withColumn("first_block", block_of(F.col("first_doc")))
 
