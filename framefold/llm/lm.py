@@ -2,13 +2,16 @@
 
 The model is never gathered in one place. Documents are dealt to blocks. Each block counts its distinct n-grams and asks,
 in packed arrays by key range, for their counts in the whole corpus; each key range is summed on one task, which answers
-every block. A block then holds the part of the automaton that its own texts can reach: a state for each context, an arc
-for each n-gram seen in training, and a failure arc to the shorter context with the weight mu / (c(context) + mu), from
-probabilities p(w | h) = (c(h w) + mu p(w | shorter h)) / (c(h) + mu) that add to one. One walk from left to right carries
-the state and adds log10 weights; `Automaton.walk` is that walk, `Automaton.walk_all` does it for all texts of a block.
+every block that asked. A block then builds the part of the automaton that its own texts can reach: a state for each
+context seen in training, an arc for each n-gram seen in training, and a failure arc to the shorter context with the weight
+mu / (c(context) + mu), from probabilities p(w | h) = (c(h w) + mu p(w | shorter h)) / (c(h) + mu) that add to one.
+
+`Automaton.walk` is one traversal from left to right that carries the state and adds log10 weights. Many stretches of text
+step at once; a stretch that doesn't begin its text first reads the tokens that a state can hold, which puts it in the state
+that the stretch before ended in.
 
 An n-gram is at most once in a block's request, so frequent words weigh no more than others, and what is exchanged grows
-with the corpus. Keys are 64-bit hashes of n-grams.
+with the corpus; ranges that a block has no n-gram in get no message. Keys are 64-bit hashes of n-grams.
 
 Defined cases: a null or empty text is one end token; repeated rows count and score each; without training rows all
 scores are those of the uniform model; an empty table gives no rows; a null id belongs to the training part.
@@ -33,6 +36,8 @@ MU = 100.0
 #: Stands for a text's end, and for what comes before its first word; holds a space, so no word equals it.
 END = b" end"
 ROOT = 0
+#: Tokens of a stretch of text that steps beside others.
+STRETCH = 512
 
 
 class Grams:
@@ -71,11 +76,10 @@ class Grams:
                 if n == 2 and len(found):
                     shifted[self.starts] = self.before_first
                 found = mixed(shifted * np.uint64(0x9E3779B97F4A7C15) + key + np.uint64(n))
-                if n > 2:
-                    short = np.arange(len(found)) - self.starts[self.text_of] < n - 2
-            keys, places = np.unique(found, return_inverse=True)
-            if n > 2:
-                places = np.where(short, -1, places)
+            whole = np.arange(len(found)) - self.starts[self.text_of] >= n - 2
+            keys, at = np.unique(found[whole], return_inverse=True)
+            places = np.full(len(found), -1)
+            places[whole] = at
             self.keys.append(keys)
             self.places.append(places)
 
@@ -92,59 +96,92 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Automaton:
-    """The part of the model that some n-grams reach. State 0 is the root; a state stands for a context seen in training."""
+    """The part of the model that some texts reach. State 0 is the root; other states stand for contexts seen in training."""
 
     def __init__(self, grams: Grams, totals: list[np.ndarray], tokens: int, distinct: int, mu: float = MU):
-        self.grams, self.totals, self.mu = grams, [t.astype(np.float64) for t in totals], mu
-        self.base = np.log10((self.totals[0] + ADDED) / (tokens + ADDED * (distinct + 1)))
-
-    def fail(self, context: np.ndarray) -> np.ndarray:
-        """Log10 weights of the failure arcs of contexts with these counts."""
-        return np.log10(self.mu / (context + self.mu))
+        self.grams, self.order = grams, len(grams.keys)
+        self.width = int(grams.tokens.max(initial=0)) + 1  # tokens that arcs are told apart by
+        counts = [t.astype(np.float64) for t in totals]
+        chance = (counts[0] + ADDED) / (tokens + ADDED * (distinct + 1))
+        #: Log10 of the base probability of each distinct unigram.
+        self.base = np.log10(chance)
+        begins = np.concatenate(([1], 1 + np.cumsum([len(c) for c in counts])))  # states of contexts of n words from begins[n - 1] on
+        states = int(begins[self.order - 1])
+        self.fails, self.fail_weights = np.zeros(states, dtype=np.int64), np.zeros(states)
+        of_token = np.zeros(self.width, dtype=np.int64)
+        of_token[grams.tokens] = grams.places[0]
+        self.root_weights = self.base[of_token]
+        self.root_next = np.where(counts[0][of_token] > 0, 1 + of_token, ROOT) if self.order > 1 else np.zeros(self.width, dtype=np.int64)
+        end = int(grams.tokens[grams.ends[0] - 1]) if len(grams.ends) else 0
+        #: The state before a text's first token.
+        self.start = int(self.root_next[end]) if len(grams.ends) else ROOT
+        arcs, weights, targets = [], [], []
+        for n in range(1, self.order):  # arcs of n-word contexts
+            place, at = np.unique(grams.places[n], return_index=True)
+            place, at = (place[1:], at[1:]) if len(place) and place[0] < 0 else (place, at)
+            first = np.isin(at, grams.starts)  # here the context is the end token that stands before a text
+            context = np.where(first, of_token[end], grams.places[n - 1][at - 1]) if n == 1 else grams.places[n - 1][at - 1]
+            suffix, held = grams.places[n - 1][at], counts[n - 1][context]
+            chance = np.where(held > 0, (counts[n] + mu * chance[suffix]) / (held + mu), chance[suffix])
+            state = begins[n - 1] + context
+            self.fail_weights[state] = np.log10(mu / (held + mu))
+            seen = counts[n] > 0
+            arcs.append((state * self.width + grams.tokens[at])[seen])
+            weights.append(np.log10(chance)[seen])
+            targets.append((begins[n] + place if n + 1 < self.order else begins[n - 1] + suffix)[seen])
+            if n + 1 < self.order:
+                self.fails[begins[n] + place] = begins[n - 1] + suffix
+        every = np.concatenate(arcs) if arcs else np.zeros(0, dtype=np.int64)
+        order = np.argsort(every)
+        self.arcs = every[order]
+        self.weights, self.targets = (np.concatenate(x)[order] if x else np.zeros(0) for x in (weights, targets))
 
-    def walk_all(self) -> np.ndarray:
-        """Log10 probability of each token. At each token the longest arc is taken after the failure arcs above it."""
-        g = self.grams
-        weight = self.base[g.places[0]]
-        before = np.arange(len(g.tokens)) - 1
-        for n in range(1, len(g.keys)):
-            seen, at = self.totals[n], g.places[n]
-            context = np.where((before >= 0) & (g.places[n - 1][before] >= 0), self.totals[n - 1][g.places[n - 1][before]], 0.0)
-            if n == 1:
-                context[g.starts] = self.ends_seen()
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states and the weights added on the way: an arc of the state, or of the first state along its failure arcs that has one."""
+        state, weight = state.copy(), np.zeros(len(state))
+        out = np.empty(len(state), dtype=np.int64)
+        open_ = np.arange(len(state))
+        while len(open_):
+            at_root = state[open_] == ROOT
+            done = open_[at_root]
+            out[done], weight[done] = self.root_next[token[done]], weight[done] + self.root_weights[token[done]]
+            open_ = open_[~at_root]
+            if not len(open_):
+                break
+            if not len(self.arcs):
+                found = np.zeros(len(open_), dtype=bool)
             else:
-                context[at < 0] = 0.0
-            count = np.where(at >= 0, seen[at], 0.0)
-            arc = np.log10((count + self.mu * 10.0**weight) / (context + self.mu))
-            weight = np.where(context > 0, np.where(count > 0, arc, self.fail(context) + weight), weight)
-        return weight
-
-    def ends_seen(self) -> float:
-        """The count of the end token, which is the context of first words."""
+                key = state[open_] * self.width + token[open_]
+                at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+                found = self.arcs[at] == key
+                done, at = open_[found], at[found]
+                out[done], weight[done] = self.targets[at], weight[done] + self.weights[at]
+            open_ = open_[~found]
+            weight[open_] += self.fail_weights[state[open_]]
+            state[open_] = self.fails[state[open_]]
+        return out, weight
+
+    def walk(self, stretch: int = STRETCH) -> np.ndarray:
+        """The log10 weight of each token, from left to right; a text's log10 probability is the sum of its own."""
         g = self.grams
-        return float(self.totals[0][g.places[0][g.ends[0] - 1]]) if len(g.ends) else 0.0
-
-    def walk(self, text: int) -> float:
-        """The same for one text of a bigram model, token by token: arcs by (state, token), failure arcs by state."""
-        g, end = self.grams, int(self.grams.tokens[self.grams.ends[text] - 1])
-        span = range(int(g.starts[text]), int(g.ends[text]))
-        before = {i: end if i == span.start else int(g.tokens[i - 1]) for i in span}
-        seen = {i: self.ends_seen() if i == span.start else self.totals[0][g.places[0][i - 1]] for i in span}
-        fails = {before[i] + 1: float(self.fail(seen[i])) for i in span if seen[i] > 0}
-        arcs = {(ROOT, int(g.tokens[i])): float(self.base[g.places[0][i]]) for i in span}
-        for i in span:
-            if before[i] + 1 in fails and (count := self.totals[1][g.places[1][i]]) > 0:
-                arcs[before[i] + 1, int(g.tokens[i])] = float(np.log10((count + self.mu * 10.0 ** self.base[g.places[0][i]]) / (seen[i] + self.mu)))
-        state, total = end + 1, 0.0
-        for i in span:
-            token = int(g.tokens[i])
-            state = state if state in fails else ROOT
-            while (state, token) not in arcs:
-                total += fails[state]
-                state = ROOT
-            total += arcs[state, token]
-            state = token + 1
-        return total
+        lengths = g.ends - g.starts
+        times = -(-lengths // stretch)
+        offset = (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)) * stretch
+        text = np.repeat(np.arange(len(times)), times)
+        warm = np.minimum(offset, self.order - 1)  # tokens that are read for the state alone
+        begin = g.starts[text] + offset - warm
+        size = np.minimum(lengths[text] - offset, stretch) + warm
+        longest = np.argsort(-size, kind="stable")
+        begin, size, warm = begin[longest], size[longest], warm[longest]
+        # a stretch that reads from its text's first token on starts in the state before that
+        state = np.where(begin == g.starts[text][longest], self.start, ROOT)
+        out = np.zeros(len(g.tokens))
+        for t in range(int(size.max(initial=0))):
+            m = int(np.searchsorted(-size, -t, side="left"))
+            state, weight = self.step(state[:m], g.tokens[begin[:m] + t])
+            own = t >= warm[:m]
+            out[begin[:m][own] + t] = weight[own]
+        return out
 
 
 def score(docs: DataFrame, folds: int = 10, fold: int = 0, order: int = ORDER, mu: float = MU, id_column: str = "doc_id") -> DataFrame:
@@ -167,6 +204,8 @@ def score(docs: DataFrame, folds: int = 10, fold: int = 0, order: int = ORDER, m
             counts = grams.counts(~own.column("held_out").to_numpy())
             cuts = [np.concatenate(([0], np.searchsorted(k, edges), [len(k)])) for k in grams.keys]
             for s in range(parts):
+                if not any(c[s + 1] > c[s] for c in cuts):
+                    continue
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([keys[s]], pa.int32()), pa.array([block], pa.int32()), pa.array([[k[c[s] : c[s + 1]].tobytes() for k, c in zip(grams.keys, cuts, strict=True)]], pa.list_(pa.binary())), pa.array([[k[c[s] : c[s + 1]].tobytes() for k, c in zip(counts, cuts, strict=True)]], pa.list_(pa.binary()))],
                     ["shard", "block", "keys", "counts"],
@@ -179,26 +218,31 @@ def score(docs: DataFrame, folds: int = 10, fold: int = 0, order: int = ORDER, m
         block, shard = rows.column("block").to_pylist(), shard_at[rows.column("shard")[0].as_py()]
         asked_keys, asked_counts = rows.column("keys").to_pylist(), rows.column("counts").to_pylist()
         replies: list[list[bytes]] = [[] for _ in block]
-        tokens = distinct = 0
         for n in range(order):
             wanted = [np.frombuffer(k[n], dtype=np.uint64) for k in asked_keys]
             all_keys, which = np.unique(np.concatenate(wanted), return_inverse=True)
             total = np.bincount(which, weights=np.concatenate([np.frombuffer(c[n], dtype=np.uint32) for c in asked_counts]), minlength=len(all_keys)).astype(np.uint64)
-            if n == 0:
-                tokens, distinct = int(total.sum()), int((total > 0).sum())
             at = 0
             for k, own in enumerate(wanted):
                 replies[k].append(total[which[at : at + len(own)]].tobytes())
                 at += len(own)
-        return pa.table({"block": pa.array(block, pa.int32()), "shard": pa.array([shard] * len(block), pa.int32()), "totals": pa.array(replies, pa.list_(pa.binary())), "tokens": pa.array([tokens] * len(block), pa.int64()), "distinct": pa.array([distinct] * len(block), pa.int64())})
+        return pa.table({"block": pa.array(block, pa.int32()), "shard": pa.array([shard] * len(block), pa.int32()), "totals": pa.array(replies, pa.list_(pa.binary()))})
+
+    def sizes(rows: pa.Table) -> pa.Table:
+        """Tokens and distinct words of a key range."""
+        found = np.concatenate([np.frombuffer(k[0], dtype=np.uint64) for k in rows.column("keys").to_pylist()])
+        counts = np.concatenate([np.frombuffer(c[0], dtype=np.uint32) for c in rows.column("counts").to_pylist()])
+        return pa.table({"tokens": [int(counts.sum(dtype=np.int64))], "distinct": [len(np.unique(found[counts > 0]))]})
 
-    answers = asked.groupBy("shard").applyInArrow(answer, "block int, shard int, totals array<binary>, tokens long, distinct long")
+    by_shard = asked.groupBy("shard")
+    corpus = by_shard.applyInArrow(sizes, "tokens long, distinct long").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct"))
+    answers = by_shard.applyInArrow(answer, "block int, shard int, totals array<binary>").select("*", corpus.select("tokens").scalar().alias("tokens"), corpus.select("distinct").scalar().alias("distinct"))
 
     def judge(own: pa.Table, replies: pa.Table) -> pa.Table:
         replies = replies.sort_by("shard")
         said = replies.column("totals").to_pylist()
         totals = [np.concatenate([np.frombuffer(x[n], dtype=np.uint64) for x in said]) for n in range(order)]
-        tokens, distinct = pc.sum(replies.column("tokens")).as_py(), pc.sum(replies.column("distinct")).as_py()
+        tokens, distinct = replies.column("tokens")[0].as_py(), replies.column("distinct")[0].as_py()
         grams = Grams(own.column("text"), order)
         automaton = Automaton(grams, totals, tokens, distinct, mu)
         of_token = totals[0][grams.places[0]]
@@ -211,7 +255,7 @@ def score(docs: DataFrame, folds: int = 10, fold: int = 0, order: int = ORDER, m
                 "n_known": pa.array(add((of_token > 0).astype(np.int64))),
                 "train_tokens": pa.array(np.full(len(grams.ends), tokens, dtype=np.int64)),
                 "base_score": pa.array(add(automaton.base[grams.places[0]])),
-                "score": pa.array(add(automaton.walk_all())),
+                "score": pa.array(add(automaton.walk())),
             }
         )
 

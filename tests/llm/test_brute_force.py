@@ -110,14 +110,31 @@ def test_scores_are_those_of_counts(spark, sf_dir, docs):
     assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)
 
 
-def test_walk_is_the_automaton_step_by_step():
-    texts = pa.array(["a b a b c", "b", "", None, "c d e a b"])
-    grams = lm.Grams(texts, 2)
-    counts = [c.astype(np.uint64) for c in grams.counts(np.array([True, True, False, True, False]))]
-    machine = lm.Automaton(grams, counts, int(counts[0].sum()), int((counts[0] > 0).sum()))
-    every = machine.walk_all()
-    for k in range(5):
-        assert machine.walk(k) == pytest.approx(every[grams.starts[k] : grams.ends[k]].sum())
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_the_walk_is_the_recursion(order):
+    """Weights by a plain recursion over n-gram counts; the walk's stretches of any length agree with it."""
+    rng = random.Random(order)
+    lists = [rng.choices("abcde", k=rng.choice([0, 1, 2, 5, 60])) for _ in range(30)]
+    train = [k % 3 != 0 for k in range(30)]
+    counts = Counter()
+    for words, use in zip(lists, train, strict=True):
+        if use:
+            t = ["END", *words, "END"]
+            counts.update(tuple(t[i - n + 1 : i + 1]) for i in range(1, len(t)) for n in range(1, order + 1) if i - n + 1 >= 0)
+    ones = {k: c for k, c in counts.items() if len(k) == 1}
+    n, v = sum(ones.values()), len(ones)
+
+    def p(history, w):
+        if not history:
+            return (counts[w,] + 0.1) / (n + 0.1 * (v + 1))
+        return (counts[*history, w] + lm.MU * p(history[1:], w)) / (counts[history] + lm.MU) if counts[history] else p(history[1:], w)
+
+    grams = lm.Grams(pa.array([" ".join(w) for w in lists]), order)
+    totals = [c.astype(np.uint64) for c in grams.counts(np.array(train))]
+    machine = lm.Automaton(grams, totals, int(totals[0].sum()), int((totals[0] > 0).sum()))
+    want = [math.log10(p(tuple(["END", *w][max(0, i - order + 2) : i + 1]), x)) for w in lists for i, x in enumerate([*w, "END"])]
+    for stretch in (1, 2, 7, 512):
+        assert machine.walk(stretch) == pytest.approx(want)
 
 
 @pytest.mark.parametrize("order", [2, 3])
@@ -129,7 +146,7 @@ def test_probabilities_add_to_one(order):
     grams = lm.Grams(texts, order)
     counts = [c.astype(np.uint64) for c in grams.counts(np.array([True] * 8 + [False] * len(rest)))]
     machine = lm.Automaton(grams, counts, int(counts[0].sum()), int((counts[0] > 0).sum()))
-    weight = machine.walk_all()
+    weight = machine.walk()
     total = sum(10 ** weight[grams.starts[8 + k] + 2] for k in range(len(rest)))
     assert total == pytest.approx(1, rel=1e-9)
 
