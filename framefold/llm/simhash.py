@@ -1,10 +1,12 @@
 """SimHash near-copies: a byte-position inverted index with count filtering.
 
-A document's 64-bit fingerprint is the majority of its shingles' hash bits. Two fingerprints that differ in at most four
-bits differ in at most four of eight bytes, so they share the rest for certain. Equal fingerprints are one class from the
-start, so copies are never paired. The index posts each distinct fingerprint under each choice of four positions with their
-bytes; a pair's shared positional bytes are tallied, pairs short of the sure number are dropped, and the rest are verified
-by their differing bits. Within a posting list only a spanning forest of the links is emitted, which keeps the classes whole
+A document's 64-bit fingerprint is the majority of its shingles' hash bits, taken as eight positional bytes. Two fingerprints
+that differ in at most four bits differ in at most four bytes, so they share four positional bytes for certain. Equal
+fingerprints are one class from the start, so copies are never paired. Positional bytes are ordered by how many distinct
+fingerprints hold them, the rarest first. Of two fingerprints that share four, the seven rarest of each share three, so the
+index posts each fingerprint under every three of its seven rarest bytes, and the most common byte has no list. Each pair of
+a list has its shared positional bytes tallied, pairs short of the sure number are dropped, and the rest are verified by
+their differing bits. Within a posting list only a spanning forest of the links is emitted, which keeps the classes whole
 without all pairs. A posting list of over `DIRECT` members is cut again, on further tasks, by the nibbles of the bytes left
 over; what remains in such a list differs in 16 bits at most and is looked up by flipped bits.
 
@@ -34,6 +36,8 @@ SEED = 42
 SHINGLE = 4
 #: Differing bits of a link.
 MOST_BITS = 4
+#: Positional bytes that a posting list shares.
+SHARED = 3
 #: Members of a posting list that are compared directly; longer lists are cut again.
 DIRECT = 4096
 #: A-Z becomes a-z, and white space of the contract (tab to carriage return) becomes a space.
@@ -86,21 +90,37 @@ def unit_mask(choice: tuple[int, ...], width: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def choices(bits: int) -> list[tuple[int, ...]]:
-    """The choices of as many of the eight bytes as a link of so many differing bits shares for certain."""
-    return list(combinations(range(8), 8 - bits))
+#: The choices of positions that posting lists share.
+CHOICES = list(combinations(range(8), SHARED))
 
 
-def byte_postings(fp: Column, bits: int) -> Column:
-    """The index entries of a fingerprint: (choice, units) for each choice of its bytes."""
-    return F.array(*(F.struct(F.lit(n).alias("choice"), fp.bitwiseAND(F.lit(unit_mask(c, 8))).alias("units")) for n, c in enumerate(choices(bits))))
+def byte_ranks(distinct: DataFrame) -> np.ndarray:
+    """(position, byte): the place of each positional byte in the order of how many distinct fingerprints hold it."""
+    places = F.array(*(F.lit(256 * k).cast("int") + F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255)).cast("int") for k in range(8)))
+    counts = np.zeros(2048, dtype=np.int64)
+    for r in distinct.select(F.explode(places).alias("place")).groupBy("place").count().collect():  # 2,048 at most
+        counts[r["place"]] = r["count"]
+    ranks = np.empty(2048, dtype=np.int64)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(2048)
+    return ranks.reshape(8, 256)
+
+
+def byte_postings(fps: np.ndarray, ranks: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fp, choice, units): each fingerprint under every choice of its rarest bytes, so many that two that share 8 - bits bytes share a choice."""
+    order = np.argsort(ranks[np.arange(8), fps.view(np.uint8).reshape(-1, 8)], axis=1)
+    prefix = np.zeros((len(fps), 8), dtype=bool)
+    np.put_along_axis(prefix, order[:, : min(8, bits + SHARED)], True, axis=1)
+    found = []
+    for n, choice in enumerate(CHOICES):
+        own = fps[prefix[:, choice].all(axis=1)]
+        found.append((own, np.full(len(own), n, dtype=np.int32), own & np.int64(unit_mask(choice, 8))))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def nibble_postings(fps: np.ndarray, choice: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(fp, choice, units) of members of one long list: nibbles of the bytes left over that a link shares for certain, with the bytes shared already."""
-    every = choices(bits)
-    nibbles = [k for byte in range(8) if byte not in every[choice] for k in (2 * byte, 2 * byte + 1)]
-    shared = unit_mask(every[choice], 8)
+    nibbles = [k for byte in range(8) if byte not in CHOICES[choice] for k in (2 * byte, 2 * byte + 1)]
+    shared = unit_mask(CHOICES[choice], 8)
     keys = [fps & np.int64(shared | unit_mask(c, 4)) for c in combinations(nibbles, len(nibbles) - bits)]
     order = np.arange(len(keys), dtype=np.int32) + np.int32(1000 * (choice + 1))
     return np.tile(fps, len(keys)), np.repeat(order, len(fps)), np.concatenate(keys)
@@ -112,28 +132,10 @@ def linked(differ: np.ndarray, bits: int) -> np.ndarray:
     return (tally >= 8 - bits) & (np.bitwise_count(differ.view(np.uint64)) <= bits)
 
 
-def likest_forest(fps: np.ndarray, marks: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """The spanning forest of the links whose marks agree most, as positions; grown from node to node."""
-    rest, at, pairs = np.arange(1, len(fps)), 0, []
-    agree, source = np.full(len(rest), -1), np.zeros(len(rest), dtype=np.int64)
-    while len(rest):
-        found = 64 * marks.shape[1] - np.bitwise_count((marks[rest] ^ marks[at]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-        better = linked(fps[rest] ^ fps[at], bits) & (found > agree)
-        agree[better], source[better] = found[better], at
-        k = int(agree.argmax())
-        at = int(rest[k])
-        if agree[k] >= 0:
-            pairs.append((int(source[k]), at))
-        rest, agree, source = np.delete(rest, k), np.delete(agree, k), np.delete(source, k)
-    return pairs
-
-
-def forest(fps: np.ndarray, bits: int, marks: np.ndarray | None = None) -> list[tuple[int, int]]:
+def forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct fingerprints, as positions: breadth first, each pair tallied and verified."""
     if len(fps) > DIRECT:
         return flipped_forest(fps, bits)
-    if marks is not None:
-        return likest_forest(fps, marks, bits)
     rest, queue, pairs = np.arange(1, len(fps)), [0], []
     while len(rest):
         if not queue:
@@ -176,8 +178,8 @@ def flipped_forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
     return pairs
 
 
-def link_lists(batches: Iterator[pa.RecordBatch], final: bool, bits: int = MOST_BITS, marks: int = 0) -> Iterator[pa.RecordBatch]:
-    """Links within posting lists, which come as (fp, choice, units) and marks, sorted by list: (a, b, null).
+def link_lists(batches: Iterator[pa.RecordBatch], final: bool, bits: int = MOST_BITS) -> Iterator[pa.RecordBatch]:
+    """Links within posting lists, which come as (fp, choice, units) sorted by list: (a, b, null).
 
     Unless `final`, members of lists of over DIRECT members go out as (fp, null, choice), to be cut again; of such a
     list no more than a batch is held.
@@ -189,12 +191,12 @@ def link_lists(batches: Iterator[pa.RecordBatch], final: bool, bits: int = MOST_
     def members(fps: np.ndarray, choice: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(fps), pa.nulls(len(fps), pa.int64()), pa.array(np.full(len(fps), choice, dtype=np.int32))], ["a", "b", "choice"])
 
-    held = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), *(np.zeros(0, dtype=np.int64) for _ in range(1 + marks))]
+    held = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)]
     passing: tuple[int, int] | None = None  # the long list whose members are going out
     for batch in with_end(batches):
         if batch is not None:
             held = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
-        fps, choice, units, *marked = held
+        fps, choice, units = held
         if not len(fps):
             continue
         edges = np.concatenate(([0], np.flatnonzero((choice[1:] != choice[:-1]) | (units[1:] != units[:-1])) + 1, [len(fps)]))
@@ -214,7 +216,7 @@ def link_lists(batches: Iterator[pa.RecordBatch], final: bool, bits: int = MOST_
             if size > DIRECT and not final:
                 yield members(fps[begin : begin + size], int(choice[begin]))
             else:
-                ends += [(begin + a, begin + b) for a, b in forest(fps[begin : begin + size], bits, np.stack([m[begin : begin + size] for m in marked], axis=1) if marks else None)]
+                ends += [(begin + a, begin + b) for a, b in forest(fps[begin : begin + size], bits)]
         if ends:
             at = np.array(ends)
             yield links(fps[at[:, 0]], fps[at[:, 1]])
@@ -232,16 +234,20 @@ def with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
     yield None
 
 
-def fingerprint_links(distinct: DataFrame, bits: int = MOST_BITS, marks: tuple[str, ...] = ()) -> DataFrame:
-    """Links (a, b) among the distinct fingerprints (fp) that join the same classes as all links within so many bits.
-
-    Of links that could join a class within a posting list, those whose marks (columns of longs) agree most are taken; lists
-    that are cut again don't look at marks.
-    """
+def fingerprint_links(distinct: DataFrame, bits: int = MOST_BITS) -> DataFrame:
+    """Links (a, b) among the distinct fingerprints (fp) that join the same classes as all links within so many bits, 5 at most."""
     parts = blocks(distinct.sparkSession)
-    entries = distinct.select("fp", *marks, F.explode(byte_postings(F.col("fp"), bits)).alias("entry")).select("fp", "entry.choice", "entry.units", *marks)
+    ranks = byte_ranks(distinct)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy()
+            for at in range(0, len(fps), 4096):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in byte_postings(fps[at : at + 4096], ranks, bits)], ["fp", "choice", "units"])
+
+    entries = distinct.select("fp").mapInArrow(post, "fp long, choice int, units long")
     dealt = entries.repartition(parts, "choice", "units").sortWithinPartitions("choice", "units")
-    found = materialize(dealt.mapInArrow(lambda b: link_lists(b, False, bits, len(marks)), LINK_ROWS), "links")
+    found = materialize(dealt.mapInArrow(lambda b: link_lists(b, False, bits), LINK_ROWS), "links")
     long = found.where("choice IS NOT NULL").select(F.col("a").alias("fp"), "choice")
 
     def cut_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,34 +437,6 @@ def rest_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         held = [h[edges[last] :] for h in held]
 
 
-def same_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (a, b) among nodes of one fingerprint, which come as (fp, salt, node, mark0, mark1) sorted by all but the node.
-
-    Each run of DIRECT nodes, in the order of their marks, gives the forest of greatest likeness; runs overlap by a node.
-    """
-
-    def close(run: list[np.ndarray]) -> pa.RecordBatch:
-        pairs = np.array(likest_forest(run[0], np.stack(run[3:], axis=1), 0), dtype=np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(run[2][pairs[:, k]]) for k in range(2)], ["a", "b"])
-
-    held = [np.zeros(0, dtype=np.int64) for _ in range(5)]
-    for batch in with_end(batches):
-        if batch is not None:
-            held = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
-        fps, salts = held[:2]
-        if not len(fps):
-            continue
-        edges = np.concatenate(([0], np.flatnonzero((fps[1:] != fps[:-1]) | (salts[1:] != salts[:-1])) + 1, [len(fps)])).tolist()
-        for n, (begin, end) in enumerate(zip(edges, edges[1:], strict=False)):
-            while end - begin > DIRECT:
-                yield close([h[begin : begin + DIRECT] for h in held])
-                begin += DIRECT - 1
-            if batch is not None and n == len(edges) - 2:
-                held = [h[begin:] for h in held]
-            elif end - begin > 1:
-                yield close([h[begin:end] for h in held])
-
-
 def similarity(a: bytes, b: bytes) -> float:
     """The shared part of the union of two sets of hashes."""
     x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)

@@ -218,8 +218,10 @@ def test_long_lists_keep_all_links(monkeypatch, direct, bits):
         table = pa.table({"fp": [r[2] for r in rows], "choice": pa.array([r[0] for r in rows], pa.int32()), "units": [r[1] for r in rows]})
         return [r for b in simhash.link_lists(iter(table.to_batches(max_chunksize=7)), final, bits) for r in b.to_pylist()]
 
-    first = sorted((n, int(f) & simhash.unit_mask(c, 8), int(f)) for f in fps for n, c in enumerate(simhash.choices(bits)))
-    out = run(first, False)
+    ranks = np.array(rng.sample(range(2048), 2048)).reshape(8, 256)
+    f, c, u = simhash.byte_postings(fps, ranks, bits)
+    assert len(f) == len(fps) * math.comb(bits + 3, 3)
+    out = run(sorted(zip(c.tolist(), u.tolist(), f.tolist(), strict=True)), False)
     again = []
     for choice in sorted({r["choice"] for r in out if r["choice"] is not None}):
         members = np.array([r["a"] for r in out if r["choice"] == choice], dtype=np.int64)
@@ -256,37 +258,6 @@ def test_near_duplicates_by_content(spark, docs, sf_dir):
     assert near and sum(d not in kept for d in near) / len(near) > 0.9
 
 
-def groups(links):
-    """The classes that links join, singletons left out."""
-    of = {}
-    for a, b in links:
-        merged = of.get(a, {a}) | of.get(b, {b})
-        of.update(dict.fromkeys(merged, merged))
-    return {frozenset(g) for g in of.values()}
-
-
-def test_the_likest_links_hold_every_threshold():
-    """A spanning forest of greatest likeness joins the same classes as all links, whatever the least agreement is."""
-    rng = np.random.default_rng(7)
-    fps = np.unique(rng.integers(0, 1 << 62) ^ (1 << rng.integers(0, 6, 60)).astype(np.int64) ^ (1 << rng.integers(0, 6, 60)).astype(np.int64))
-    marks = rng.integers(-(1 << 62), 1 << 62, (len(fps), 2))
-    agree = lambda i, j: 128 - int(np.bitwise_count((marks[i] ^ marks[j]).view(np.uint64)).sum())
-    near = [(i, j) for i, j in combinations(range(len(fps)), 2) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 3]
-    tree = simhash.likest_forest(fps, marks, 3)
-    assert len(tree) < len(fps) and set(map(tuple, map(sorted, tree))) <= set(near)
-    for least in (0, 58, 62, 66, 70):
-        assert groups([p for p in tree if agree(*p) >= least]) == groups([p for p in near if agree(*p) >= least])
-
-
-def test_nodes_of_one_fingerprint_are_joined_over_batches_and_runs(monkeypatch):
-    monkeypatch.setattr(simhash, "DIRECT", 7)
-    rows = [(5, 0, k, k, k) for k in range(20)] + [(6, 0, 100, 1, 1)] + [(7, s, 200 + 10 * s + k, k, k) for s in range(2) for k in range(3)]
-    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], ["fp", "salt", "node", "mark0", "mark1"])
-    for size in (1, 4, 27):
-        links = [tuple(r.values()) for b in simhash.same_links(batch.slice(k, size) for k in range(0, len(rows), size)) for r in b.to_pylist()]
-        assert groups(links) == groups([(k, k + 1) for k in range(19)] + [(200 + 10 * s + k, 201 + 10 * s + k) for s in range(2) for k in range(2)])
-
-
 def test_sketches_and_sets_agree():
     rng = random.Random(8)
     for _ in range(60):

@@ -77,9 +77,8 @@ def test_long_lists_leave_no_pair_out():
         assert rest <= want and all(p in first or p in rest or group[p[0]] == group[p[1]] for p in want)
 
 
-def test_texts_over_one_set_of_words(spark, monkeypatch):
-    """A chain of texts of equal word sets, each like its neighbours alone, stays whole however small the runs are."""
-    monkeypatch.setattr(simhash, "DIRECT", 7)
+def test_texts_over_one_set_of_words(spark):
+    """A chain of texts of equal word sets, each like its neighbours alone, stays whole."""
     rng = random.Random(14)
     words = [f"w{k}" for k in range(200)]
     texts = []
