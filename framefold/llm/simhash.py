@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framefold.llm.common import blocks, materialize, slices
@@ -279,11 +279,10 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 #: Near duplicates by content: shingle words, and the least similarity of two shingle sets.
 CONTENT_SHINGLE, SIMILAR = 5, 0.8
-#: Lists of up to so many sets give all pairs at once; one row in so many is counted for frequent shingles, of which so many are told apart.
-SMALL_LIST, COUNTED, FREQUENT = 8, 16, 1 << 16
-#: Least hashes in a sketch. Sketches decide alone where a text has fewer shingles, and outside this band (four standard
-#: errors about SIMILAR); within it whole shingle sets are compared.
-SKETCH, UNSURE = 128, (0.65, 0.95)
+#: Lists of up to so many sets give all pairs at once; shingles are counted in so many buckets of their hashes.
+SMALL_LIST, BUCKETS = 8, 1 << 16
+#: A sketch holds so many least hashes of a set, or the share of it that is more. It rules pairs out for certain; whole sets decide on the others.
+SKETCH, SKETCH_SHARE = 128, 4
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -299,34 +298,29 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh32_intdigest(joined[a:b]) for a, b in zip(starts[:n], ends[min(CONTENT_SHINGLE, len(ends)) - 1 :], strict=True)], dtype=np.uint32))
 
 
-def frequent_shingles(docs: DataFrame, id_column: str) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes, ascending, and counts of the most frequent shingles in a share of the rows."""
+def bucket_counts(docs: DataFrame) -> np.ndarray:
+    """How many shingles of all rows fall in each bucket of hashes: frequent shingles stand out, and every task and the driver hold BUCKETS counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        counts = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                found = np.concatenate([hashes, *(shingle_set(words_of(t)) for t in part.column("text").to_pylist())])
-                weights = np.concatenate([counts, np.ones(len(found) - len(hashes), dtype=np.int64)])
-                hashes, at = np.unique(found, return_inverse=True)
-                counts = np.bincount(at, weights).astype(np.int64)
-                if len(hashes) > 1 << 22:
-                    hashes, counts = hashes[counts > 1], counts[counts > 1]
-        yield pa.RecordBatch.from_arrays([pa.array(hashes[counts > 1].astype(np.int64)), pa.array(counts[counts > 1])], ["hash", "n"])
-
-    counted = docs.where(F.pmod(F.xxhash64(id_column), F.lit(COUNTED)) == 0).select("text").mapInArrow(run, "hash long, n long")
-    top = counted.groupBy("hash").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hash").limit(FREQUENT).collect()
-    found = np.array(sorted((r["hash"], r["n"]) for r in top), dtype=np.int64).reshape(-1, 2)
-    return found[:, 0].astype(np.uint32), found[:, 1]
-
-
-def prefix_of(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
-    """The first shingles in the order (count, hash), one of which any set at SIMILAR has among its own first; and how frequent all are."""
-    hashes, counts = frequent
-    level = np.zeros(len(shingles), dtype=np.int64)
-    if len(hashes):
-        at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
-        level = np.where(hashes[at] == shingles, counts[at], 0)
+                found = np.concatenate([shingle_set(words_of(t)) for t in part.column("text").to_pylist()])
+                counts += np.bincount(found % np.uint32(BUCKETS), minlength=BUCKETS)
+        parts = counts.reshape(64, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "counts"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, dtype=np.int64) for x in rows.column("counts").to_pylist())
+        return pa.table({"part": rows.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    rows = docs.select("text").mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
+    return np.concatenate([np.frombuffer(r["counts"], dtype=np.int64) for r in sorted(rows, key=lambda r: r["part"])]) if rows else np.zeros(BUCKETS, dtype=np.int64)
+
+
+def prefix_of(shingles: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first shingles in the order (their bucket's count, hash), one of which any set at SIMILAR has among its own first; and how frequent all are."""
+    level = counts[shingles % np.uint32(BUCKETS)]
     n = len(shingles)
     return shingles[np.argsort(level, kind="stable")[: n - (4 * n + 4) // 5 + 1]], int(1000 * np.log2(1 + level).mean())
 
@@ -336,12 +330,12 @@ def parity_of(shingles: np.ndarray) -> list[int]:
     return np.packbits((np.bincount(shingles & np.uint32(127), minlength=128) & 1).astype(np.uint8)).view(np.int64).tolist()
 
 
-def content(text: str | None, frequent: tuple[np.ndarray, np.ndarray]) -> tuple:
+def content(text: str | None, counts: np.ndarray) -> tuple:
     """A digest of the shingle set, its size, frequency, parities, least hash, least hashes, and prefix."""
     shingles = shingle_set(words_of(text))
-    prefix, common = prefix_of(shingles, frequent)
+    prefix, common = prefix_of(shingles, counts)
     digest = int(np.array(xxhash.xxh3_64_intdigest(shingles.tobytes()), dtype=np.uint64).view(np.int64))
-    return digest, len(shingles), common, *parity_of(shingles), int(shingles[0]), shingles[:SKETCH].tobytes(), prefix.tobytes()
+    return digest, len(shingles), common, *parity_of(shingles), int(shingles[0]), shingles[: max(SKETCH, len(shingles) // SKETCH_SHARE)].tobytes(), prefix.tobytes()
 
 
 def prefix_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,23 +438,27 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / max(len(x) + len(y) - both, 1)
 
 
-def sketched(a: bytes, b: bytes) -> bool | None:
-    """Whether two texts are alike by their sketches; None where the sketches can't tell."""
+def sketched(a: bytes, b: bytes, size_a: int, size_b: int) -> bool | None:
+    """Whether two sets of these sizes are alike, by their least hashes; None where these can't tell for certain.
+
+    Up to the greatest hash that both sketches reach, all differences are known; sets at SIMILAR differ in a ninth of their sizes' sum at most.
+    """
     x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
-    if max(len(x), len(y)) < SKETCH:
+    if len(x) == size_a and len(y) == size_b:
         return similarity(a, b) >= SIMILAR
-    least = np.union1d(x, y)[:SKETCH]
-    share = len(np.intersect1d(np.intersect1d(x, y, assume_unique=True), least, assume_unique=True)) / SKETCH
-    return None if UNSURE[0] <= share < UNSURE[1] else share >= UNSURE[1]
+    reach = min(int(s[-1]) for s, n in ((x, size_a), (y, size_b)) if len(s) < n)
+    x, y = x[: np.searchsorted(x, reach, side="right")], y[: np.searchsorted(y, reach, side="right")]
+    differ = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
+    return False if 9 * differ > size_a + size_b else None
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_column: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets are at least SIMILAR: by sketches, and by whole sets where those can't tell."""
-    sketch_a, sketch_b = (nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in ("a", "b"))
+    """The pairs (a, b) of nodes whose shingle sets are at least SIMILAR: sketches rule out what they can, and whole sets decide."""
+    sketch_a, sketch_b = (nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("size").alias(f"size_{x}")) for x in ("a", "b"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([sketched(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            found = pa.array([sketched(*x) for x in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["a", "b", "sure"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,7 +474,7 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_column: str) -
             found = [similarity(x.as_py(), y.as_py()) >= SIMILAR for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.filter(pa.array(found, pa.bool_())).select(["a", "b"])
 
-    judged = pairs.join(sketch_a, "a").join(sketch_b, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(judge, "a long, b long, sure boolean")
+    judged = pairs.join(sketch_a, "a").join(sketch_b, "b").select("a", "b", "sketch_a", "sketch_b", "size_a", "size_b").mapInArrow(judge, "a long, b long, sure boolean")
     judged = materialize(judged.where("sure IS NULL OR sure"), "judged")
     unsure = judged.where("sure IS NULL").select("a", "b")
     asked = unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -497,13 +495,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     without an id take no part.
     """
     docs = docs.where(F.col(id_column).isNotNull())
-    frequent = frequent_shingles(docs, id_column)
+    counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs))
     longs = ("node", "size", "common", "parity0", "parity1", "mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = list(zip(*(content(t, frequent) for t in part.column("text").to_pylist()), strict=True))
+                found = list(zip(*(content(t, counts.value) for t in part.column("text").to_pylist()), strict=True))
                 kinds = [*(pa.int64() for _ in longs), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(found, kinds, strict=True))], [id_column, *longs, "sketch", "prefix"])
 
