@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from framefold.llm import components, images, language, licenses, lm, packing, queries, repeats, simhash, tokens
+from framefold.llm import components, images, language, licenses, lm, packing, queries, repeats, simhash, tokens, topk
 from framefold.llm.components import connected_components
 
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -387,3 +387,25 @@ def test_top_k_is_all_pairs(spark, sf_dir):
         order = sorted((int(-(v[i] @ v[j])), int(ids[j])) for j in range(len(ids)) if j != i)[:20]
         expected |= {(int(ids[i]), k, d, -s) for k, (s, d) in enumerate(order, 1)}
     assert {tuple(r) for r in queries.op10_exact_topk(spark, sf_dir).collect()} == expected
+
+
+@pytest.mark.parametrize("spread", [0.05, 3.0])
+def test_bounds_rule_blocks_out(spark, spread):
+    """On vectors in clusters most (group, block) pairs are ruled out; results are those of all pairs, whatever is."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(20, 16)) * rng.uniform(0.5, 2, size=(20, 1))
+    v = centres[rng.integers(0, 20, 3000)] + spread * rng.normal(size=(3000, 16)) * (rng.random((3000, 1)) < 0.9)
+    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(3000, [0.0] * 16), (3020, [50.0] * 16), (3021, v[0].tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries_ = frame.where("vec_id % 20 = 0")
+    x = np.floor(64 * np.array([r[1] for r in rows])).astype(np.int64)
+    ids = np.array([r[0] for r in rows])
+    want = set()
+    for i in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[i]
+        order = [j for j in np.lexsort((ids, -score)).tolist() if j != i][:20]
+        want |= {(int(ids[i]), n, int(ids[j]), int(score[j])) for n, j in enumerate(order, 1)}
+    assert {tuple(r) for r in topk.top_k(frame, queries_, block=32, group=16).collect()} == want
+    join = topk.Join(frame, queries_, 20, 64, "vec_id", "embedding", 32, 16)
+    kept, every = join.sent.count(), join.packed.count() * join.groups.count()
+    assert spread > 1 or kept * 3 < every, (kept, every)

@@ -85,12 +85,12 @@ def test_stage_order_and_sql():
 
 def test_top_k_defined(spark):
     nan = float("nan")
-    rows = [(0, [1.0, 0.5]), (20, [0.5, 1.0]), (3, None), (4, [nan, 1.0]), (5, [None, 1.0]), (6, [0.5, 1.0]), (6, [0.5, 1.0]), (None, [9.0, 9.0]), (40, [1.0, 2.0, 3.0]), (7, [])]
+    rows = [(0, [1.0, 0.5]), (20, [0.5, 1.0]), (3, None), (4, [nan, 1.0]), (5, [None, 1.0]), (6, [0.5, 1.0]), (6, [0.5, 1.0]), (None, [9.0, 9.0]), (40, [-1.0, 0.0, 3.0]), (7, [])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(frame, frame.where("vec_id % 20 = 0"), k=3).collect()}
     q0, q20 = (64, 32), (32, 64)
     cross = q0[0] * q20[0] + q0[1] * q20[1]
-    assert got == {(0, 1): (6, cross), (0, 2): (6, cross), (0, 3): (20, cross), (20, 1): (6, 32 * 32 + 64 * 64), (20, 2): (6, 32 * 32 + 64 * 64), (20, 3): (0, cross)}
+    assert got == {(0, 1): (6, cross), (0, 2): (6, cross), (0, 3): (20, cross), (20, 1): (6, 32 * 32 + 64 * 64), (20, 2): (6, 32 * 32 + 64 * 64), (20, 3): (0, cross), (40, 1): (7, 0), (40, 2): (6, -32 * 64), (40, 3): (6, -32 * 64)}
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, score long, rank int")
     assert topk.top_k(empty, empty).collect() == []
 
