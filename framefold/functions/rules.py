@@ -25,6 +25,26 @@ def is_gameplay(state: Column) -> Column:
     return state.isin(*PLAY_STATES)
 
 
+def is_lock_hold(state: Column) -> Column:
+    """States in which a lost lock is waited out."""
+    return F.coalesce(state.isin("paused", "game_over", "title", "type_select", "level_select", "highscore_entry", "no_signal"), F.lit(False))
+
+
+def may_pause(before: Column) -> Column:
+    """States that a pause may follow."""
+    return F.coalesce(before.isin(*PLAY_STATES), F.lit(False))
+
+
+def may_fall(before: Column) -> Column:
+    """States that a falling curtain may follow."""
+    return F.coalesce(before.isin(*PLAY_STATES, "game_over"), F.lit(False))
+
+
+def is_sampled(seq: Column, every: int = 6) -> Column:
+    """Frames on which the piece counts are read."""
+    return F.pmod(seq, F.lit(every)) == 0
+
+
 def is_menu(state: Column) -> Column:
     return state.isin(*MENU_STATES)
 
@@ -59,10 +79,6 @@ def clear_points(lines: Column, level: Column) -> Column:
     return clear_base_score(lines) * (level + 1)
 
 
-def round_half_away(x: Column, digits: int) -> Column:
-    return F.round(x, digits)
-
-
 def missing_in_gap(gap: Column, fps: Column) -> Column:
     """Frames that a clock gap lacks: none below one and a half frames."""
     return F.when((fps <= 0) | (gap * fps < 1.5), F.lit(0)).otherwise(F.greatest(F.round(gap * fps) - 1, F.lit(0))).cast("long")
@@ -116,11 +132,11 @@ def infer_start_level_of(level: int, lines: int) -> int:
 
 
 def attribute_clears(lines: int, gained: int | None, level: int | None) -> tuple[int, ...] | None:
-    """The composition whose points come nearest to the gain within the slack of single drops; null on a tie or without one."""
+    """The composition whose points come nearest to the gain within the slack of drops, over all its clears; null on a tie or without one."""
     if gained is None or level is None or not 0 < lines <= MOST_LINES:
         return None
     scored = [(gained - sum(BASE_SCORES[p - 1] for p in c) * (level + 1), c) for c in compositions(lines)]
-    fits = sorted((r, k, c) for k, (r, c) in enumerate(scored) if 0 <= r <= SCORE_SLACK * len(scored[k][1]))
+    fits = sorted((r, k, c) for k, (r, c) in enumerate(scored) if 0 <= r <= SCORE_SLACK)
     if not fits or (len(fits) > 1 and fits[0][0] == fits[1][0]):
         return None
     return fits[0][2]

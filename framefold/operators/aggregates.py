@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from framefold.functions.rules import BASE_SCORES, PACE_LINES, clear_base_score
+from framefold.functions.rules import BASE_SCORES, PACE_LINES, clear_base_score, expected_level, infer_start_level
 from framefold.operators.windows import KEY, ordered
 
 
@@ -16,6 +17,27 @@ def nearest_rank(values: Column, q: float, truncate: bool = False) -> Column:
     return F.when(F.size(values) > 0, F.element_at(F.array_sort(values), (at + 1).cast("int")))
 
 
+def quantiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[float, str]]) -> DataFrame:
+    """Per key the named quantiles of the known values: (q, kind), kind being linear, nearest or floor.
+
+    Values are counted before they are ordered, so no row holds a whole group, and a group of few values stays small.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    group = Window.partitionBy(*keys)
+    upto = F.sum("__n").over(group.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumn("__end", upto).withColumn("__all", F.sum("__n").over(group))
+    at = lambda place: F.min(F.when(F.col("__end") > place, F.col("__v")))  # noqa: E731  the value at a place from 0
+    out = []
+    for name, (q, kind) in wanted.items():
+        place = (F.col("__all") - 1) * F.lit(q)
+        if kind == "linear":
+            low, high, share = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+            out.append((low + (high - low) * share).alias(name))
+        else:
+            out.append(at(F.round(place) if kind == "nearest" else F.floor(place)).alias(name))
+    return placed.groupBy(*keys).agg(*out)
+
+
 def argsort(values: Column) -> Column:
     """Positions from 0 in rising order of the values; equal values keep their order."""
     placed = F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i")))
@@ -99,10 +121,22 @@ def signal_lost(frames: DataFrame, states: tuple[str, ...] = ("no_signal", "unkn
 
 
 def telemetry(samples: DataFrame, window_s: int) -> DataFrame:
-    """Per tumbling window: samples, rate, p50 and p95 by nearest rank, rounded half away from zero."""
+    """Per tumbling window: frames a second, live messages a second, drop rate, frames missing, p50 and p95 by nearest rank.
+
+    samples has ts, x (milliseconds), live (whether it was sent), and steps of counters: delivered, dropped, missing.
+    """
     start = (F.floor(F.col("ts") / window_s) * window_s).cast("long")
-    grouped = samples.groupBy(start.alias("window_start")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("x")).alias("xs"))
-    return grouped.select("window_start", "n", F.round(F.col("n") / window_s, 4).alias("rate"), F.round(nearest_rank(F.col("xs"), 0.5), 2).alias("p50"), F.round(nearest_rank(F.col("xs"), 0.95), 2).alias("p95"))
+    placed = samples.withColumn("window_start", start)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = placed.groupBy("window_start").agg(
+        F.count("*").alias("n"),
+        F.round(F.count("*") / window_s, 4).alias("rate"),
+        F.round(total(F.col("live").cast("int")) / window_s, 4).alias("live_hz"),
+        F.round(F.when(total("delivered") > 0, total("dropped") / total("delivered")).otherwise(0.0), 4).alias("drop_rate"),
+        total("missing").cast("long").alias("missing"),
+    )
+    ranks = quantiles(placed, ["window_start"], "x", {"p50": (0.5, "nearest"), "p95": (0.95, "nearest")})
+    return sums.join(ranks, "window_start", "left").withColumn("p50", F.round("p50", 2)).withColumn("p95", F.round("p95", 2))
 
 
 def counter_deltas(samples: DataFrame, counter: str) -> DataFrame:
@@ -117,9 +151,15 @@ def busy_percent(samples: DataFrame) -> DataFrame:
     return samples.withColumn("busy", F.when(total > 0, 100 * (total - idle) / total))
 
 
-def ema(values: Column, alpha: float) -> Column:
-    """The exponential mean of an array in order, from its first value on."""
-    return F.aggregate(values, F.lit(None).cast("double"), lambda m, x: F.coalesce(m + alpha * (x - m), x))
+def ema(frames: DataFrame, value: str, alpha: float) -> DataFrame:
+    """Per stream the exponential mean of its known values in order, from the first one on.
+
+    A value counts alpha (1 - alpha)^k with k values after it, the first one (1 - alpha)^k: a sum, so partial results combine.
+    """
+    newest = Window.partitionBy(KEY).orderBy(F.desc("seq"))
+    after = frames.where(F.col(value).isNotNull()).withColumn("__after", F.row_number().over(newest) - 1).withColumn("__first", F.lead("seq").over(newest).isNull())
+    weight = F.pow(F.lit(1 - alpha), F.col("__after")) * F.when(F.col("__first"), 1.0).otherwise(alpha)
+    return after.groupBy(KEY).agg(F.sum(F.col(value) * weight).alias("ema"))
 
 
 def overall_confidence(score: Column, lines: Column, level: Column, piece: Column, board: Column) -> Column:
@@ -141,47 +181,93 @@ def otsu(pixels: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def agreement(pairs: DataFrame, fields: list[str]) -> DataFrame:
-    """Per field of paired runs (a_*, b_*): pairs scored, agreeing, missing on one side, and the rate."""
+    """Per field of paired runs (a_*, b_*): pairs scored, agreeing, missing on one side, and the rate.
+
+    A field that is an array counts its cells: scored and agreeing are cells, and `exact` the pairs that agree in all.
+    """
     parts = []
     for f in fields:
         a, b = F.col(f"a_{f}"), F.col(f"b_{f}")
-        parts.append(F.struct(F.lit(f).alias("field"), (a.isNotNull() & b.isNotNull()).cast("long").alias("scored"), F.coalesce(a == b, F.lit(False)).cast("long").alias("agree"), (a.isNull() != b.isNull()).cast("long").alias("one_side")))
+        both, same = a.isNotNull() & b.isNotNull(), F.coalesce(a == b, F.lit(False)).cast("long")
+        cells = isinstance(pairs.schema[f"a_{f}"].dataType, ArrayType)
+        scored = F.when(both, F.greatest(F.size(a), F.size(b)).cast("long") if cells else F.lit(1).cast("long")).otherwise(0)
+        agree = F.when(both, F.size(F.filter(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda x: x)).cast("long")).otherwise(0) if cells else same
+        parts.append(F.struct(F.lit(f).alias("field"), scored.alias("scored"), agree.alias("agree"), same.alias("exact"), (a.isNull() != b.isNull()).cast("long").alias("one_side")))
     rows = pairs.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
-    out = rows.groupBy("field").agg(F.sum("scored").alias("scored"), F.sum("agree").alias("agree"), F.sum("one_side").alias("one_side"))
+    out = rows.groupBy("field").agg(F.sum("scored").alias("scored"), F.sum("agree").alias("agree"), F.sum("exact").alias("exact"), F.sum("one_side").alias("one_side"))
     return out.withColumn("rate", F.col("agree") / F.greatest(F.col("scored"), F.lit(1)))
 
 
 def confusion(rows: DataFrame, label: str, predicted: str) -> DataFrame:
-    """How often each label met each prediction, with the label's share that was right."""
+    """How often each label met each prediction, with the share of the label, and the accuracy over all."""
     counts = rows.groupBy(F.col(label).alias("label"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+    right = counts.agg((F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
     every = Window.partitionBy("label")
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(every))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(every)).withColumn("accuracy", right.scalar())
+
+
+def label_stats(matched: DataFrame, label: str, score: str, margin: str, best: str) -> DataFrame:
+    """Per label: matches, mean and least score, least margin, and how often each template was the best."""
+    sums = matched.groupBy(label).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.min(score).alias("min_score"), F.min(margin).alias("min_margin"))
+    kinds = matched.groupBy(label, best).agg(F.count("*").alias("times"))
+    return sums.join(kinds.groupBy(label).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(best, "times")))).alias("best_kinds")), label)
+
+
+def bench_summary(samples: DataFrame, value: str, wall: str) -> DataFrame:
+    """One row: frames, mean, greatest, p50 to p99 by nearest rank, and frames a second of wall time."""
+    one = samples.withColumn("__all", F.lit(1))
+    ranks = quantiles(one, ["__all"], value, {f"p{round(100 * q)}": (q, "nearest") for q in (0.5, 0.9, 0.95, 0.99)})
+    sums = one.groupBy("__all").agg(F.count(value).alias("frames"), F.avg(value).alias("mean"), F.max(value).alias("most"), (F.count(value) / (F.max(wall) - F.min(wall))).alias("fps"))
+    return sums.join(ranks, "__all").drop("__all")
+
+
+#: The greatest level, lines and score that a game can show.
+RANGES = {"level": 255, "lines": 9999, "score": 16777215}
+
+
+def out_of_range(frames: DataFrame) -> DataFrame:
+    """Per stream its first impossible value, as `field value`; null without one. Within a frame level comes first, then lines, then score."""
+    faults = [F.when(~F.col(f).between(0, most), F.concat_ws(" ", F.lit(f), F.col(f).cast("string"))) for f, most in RANGES.items()]
+    found = frames.withColumn("fault", F.coalesce(*faults))
+    return found.groupBy(KEY).agg(F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("seq"))).alias("out_of_range"))
+
+
+def region_fractions(pixels: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Per region: mean and deviation of its pixels, and the shares that are dark (below 64) and bright (above 40)."""
+    share = lambda c: F.avg(c.cast("int"))
+    return pixels.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"), share(F.col(value) < 64).alias("dark"), share(F.col(value) > 40).alias("bright"))
+
+
+#: The report's limits for lines, points a piece, score, low confidence, seconds without a picture, and rejected readings.
+LINES_OFF, DROP_POINTS, SCORE_OFF, SCORE_CAP, LOW_SHARE, LOST, REJECTS = 1, 40, 1000, 999999, (0.10, 0.30), (2.0, 10.0), 20
 
 
 def validation(games: DataFrame) -> DataFrame:
-    """issues and valid of finished games, from their summary columns.
+    """issues (severity:code, in the report's order) and valid of finished games, from their summary columns; an error makes a game invalid.
 
-    Columns: frames, lines, cleared, start_level, end_level, score, points, pieces, low_share, lost_seconds, corrections,
-    partial. Codes, severities and limits are the report's own; issues come in this order, and an error makes a game invalid.
+    Columns: restarts, ingame_frames, start_score, start_lines, start_level, end_score, end_lines, end_level, counted (lines of
+    the clears), pieces, clear_points, cheat_points, anomalies, level_offset_steps, low_frames, lost_seconds, rejects,
+    out_of_range. A rule over an unknown value finds nothing.
     """
     c = F.col
-    # Limits of the report.
-    unexplained = c("score") - c("points")
-    from framefold.functions.rules import expected_level
-
+    over = c("end_score") - c("start_score") - c("clear_points") - c("cheat_points")
+    low = F.when(c("ingame_frames") > 0, c("low_frames") / c("ingame_frames")).otherwise(0.0)
     rules = [
-        (c("frames") == 0, "no_gameplay", "error"),
-        (c("partial"), "partial_game", "error"),
-        (F.abs(c("lines") - c("cleared")) > 1, "lines_clears_mismatch", "error"),
-        (c("end_level") != expected_level(c("start_level"), c("lines")), "level_mismatch", "warning"),
-        ((c("score") < 999999) & ((unexplained < -1000) | (unexplained > 40 * c("pieces") + 1000)), "score_reconcile", "error"),
-        (c("low_share") >= 0.30, "low_confidence", "error"),
-        ((c("low_share") >= 0.10) & (c("low_share") < 0.30), "low_confidence", "warning"),
-        (c("lost_seconds") >= 10, "signal_lost", "error"),
-        ((c("lost_seconds") >= 2) & (c("lost_seconds") < 10), "signal_lost", "warning"),
-        (c("corrections") >= 20, "plausibility_corrections", "warning"),
-        (~c("end_level").between(0, 255) | ~c("lines").between(0, 9999) | ~c("score").between(0, 16777215), "value_range", "error"),
+        (c("restarts") > 0, "engine_restart", "error"),
+        (c("ingame_frames") == 0, "no_gameplay", "error"),
+        (F.coalesce(c("start_score") > 0, F.lit(False)) | F.coalesce(c("start_lines") > 0, F.lit(False)), "partial_game", "error"),
+        (F.abs(c("counted") - (c("end_lines") - c("start_lines"))) > LINES_OFF, "lines_clears_mismatch", "error"),
+        (c("end_level") != expected_level(infer_start_level(c("start_level"), c("start_lines")), c("end_lines")), "level_mismatch", "warning"),
+        ((c("end_score") < SCORE_CAP) & ((over < -SCORE_OFF) | (over > DROP_POINTS * F.greatest(c("pieces"), F.lit(0)) + SCORE_OFF)), "score_reconcile", "error"),
+        (c("anomalies") > 0, "score_unexplained", "warning"),
+        (c("level_offset_steps") > 0, "level_score_mismatch", "warning"),
+        (low >= LOW_SHARE[1], "low_confidence", "error"),
+        ((low >= LOW_SHARE[0]) & (low < LOW_SHARE[1]), "low_confidence", "warning"),
+        (c("lost_seconds") >= LOST[1], "signal_lost", "error"),
+        ((c("lost_seconds") >= LOST[0]) & (c("lost_seconds") < LOST[1]), "signal_lost", "warning"),
+        (c("rejects") >= REJECTS, "plausibility_corrections", "warning"),
+        (c("out_of_range").isNotNull(), "value_range", "error"),
     ]
-    found = F.array(*(F.when(F.coalesce(when, F.lit(False)), F.concat_ws(":", F.lit(severity), F.lit(code))) for when, code, severity in rules))
+    found = F.array(*(F.when(F.coalesce(when, F.lit(False)), F.lit(f"{severity}:{code}")) for when, code, severity in rules))
     out = games.withColumn("issues", F.filter(found, lambda x: x.isNotNull()))
     return out.withColumn("valid", ~F.exists("issues", lambda x: x.startswith("error")))

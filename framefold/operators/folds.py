@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from framefold.functions import rules
@@ -62,13 +63,27 @@ def as_frame(rows: list[Row], schema: str) -> pd.DataFrame:
     return frame
 
 
+#: Arrow types of output columns.
+KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+
+
 def run_batch(frames: DataFrame, fold: Fold, key: str = "stream_id", order: str = "seq") -> DataFrame:
-    """The fold over each stream. A stream's rows are taken in order on one task, as the fold needs; streams run in parallel."""
+    """The fold over each stream. A stream's rows are taken in order on one task, as the fold needs; streams run in parallel.
+
+    Columns go through Arrow as plain lists, so no row is boxed by pandas.
+    """
+    columns = [c.split() for c in fold.schema.split(", ")]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return as_frame([{key: frame[key].iloc[0]} | r for r in fold.run(as_rows(frame, order))], f"{key} long, {fold.schema}")
+    def run(table: pa.Table) -> pa.Table:
+        names, values = table.column_names, [c.to_pylist() for c in table.columns]
+        at = values[names.index(order)]
+        places = sorted(range(len(at)), key=at.__getitem__)
+        ordered = zip(*([v[k] for k in places] for v in values), strict=True)
+        out = fold.run(dict(zip(names, row, strict=True)) for row in ordered)
+        arrays = [pa.array([r[name] for r in out], KINDS[kind]) for name, kind in columns]
+        return pa.Table.from_arrays([pa.array([table.column(key)[0].as_py()] * len(out), pa.int64()), *arrays], [key, *(name for name, _ in columns)])
 
-    return frames.groupBy(key).applyInPandas(run, f"{key} long, {fold.schema}")
+    return frames.groupBy(key).applyInArrow(run, f"{key} long, {fold.schema}")
 
 
 # The fusion's window, fading and report floor; frames for overrides, holds, restarts and new games.
@@ -121,6 +136,10 @@ class Tracked:
     def shown(self) -> int | None:
         return self.value if self.confidence >= FLOOR else None
 
+    def about_to_yield(self, value: int | None) -> bool:
+        """Whether a lower value would be taken now."""
+        return value is not None and self.value is not None and value < self.value and self.challenge.would_meet(value, OVERRIDE)
+
     def read(self, value: int | None, confidence: float) -> int | None:
         """Take a reading; unread values fade what is held and leave a challenge as it is."""
         heard = value is not None and confidence > 0
@@ -182,30 +201,25 @@ class GameState:
         self.__dict__.update(fresh.__dict__)
 
 
+#: Fixed value: the least confidence of piece counts that are taken over.
+SURE_RAIL = 0.5
+
+
 def fresh_stats() -> dict[str, Any]:
-    return {"last_ts": None, "active": 0.0, "pieces": 0, "next": None, "drought": 0, "max_drought": 0, "lines": None, "score_at": None, "score": None, "clears": [0, 0, 0, 0]}
+    return {"last_ts": None, "active": 0.0, "pieces": 0, "next": None, "drought": 0, "max_drought": 0, "lines": None, "fresh": False, "score_at": None, "level": None, "rail": None, "rail_i": None, "clears": [0, 0, 0, 0]}
 
 
 def new_game(state: GameState, row: Row) -> bool:
     """Menus arm a start, and play in a row after them fires it; a zero score that insists restarts at once."""
-    if rules_menu(state.fused):
-        state.played_armed = 0
-        state.menus += 1
-        state.armed |= state.menus >= MENU_FRAMES
-        return False
-    if state.fused in rules.PLAY_STATES:
-        state.menus = 0
-    if state.fused != "in_game":
-        return False
-    if state.armed:
-        state.played_armed += 1
-        return state.played_armed > CONFIRM_FRAMES
-    score, lines = state.numbers["score"], state.numbers["lines"]
-
-    def insists(tracked: Tracked, value: int | None, confidence: float) -> bool:
-        return value is not None and tracked.value is not None and confidence > 0 and value < tracked.value and tracked.challenge.would_meet(value, OVERRIDE)
-
-    return row["score"] == 0 and (row["lines"] or 0) <= RESTART_LINES and insists(score, row["score"], row["conf"]) and insists(lines, row["lines"], row["conf"])
+    menu, playing = rules_menu(state.fused), state.fused == "in_game"
+    # counters: menus in a row (unread screens leave them), and frames of play since a start was armed (a menu sets them back)
+    state.menus = state.menus + 1 if menu else 0 if state.fused in rules.PLAY_STATES else state.menus
+    state.armed = state.armed or (menu and state.menus >= MENU_FRAMES)
+    state.played_armed = 0 if menu else state.played_armed + (playing and state.armed)
+    if state.armed or not playing:
+        return playing and state.played_armed > CONFIRM_FRAMES
+    restart = row["score"] == 0 and (row["lines"] or 0) <= RESTART_LINES and row["conf"] > 0
+    return restart and all(state.numbers[n].about_to_yield(row[n]) for n in ("score", "lines"))
 
 
 def rules_menu(state: str) -> bool:
@@ -254,27 +268,53 @@ def observe(stats: dict[str, Any], row: Row, values: dict[str, int | None], piec
             stats["drought"] = 0 if stats["next"] == "I" else stats["drought"] + 1
             stats["max_drought"] = max(stats["max_drought"], stats["drought"])
         stats["next"] = piece
-    if values["score"] is not None:
-        stats["score"] = max(values["score"], stats["score"] or 0)
-    lines = values["lines"]
-    if lines is None:
-        return
-    if stats["lines"] is None or lines < stats["lines"]:
-        stats["lines"], stats["score_at"] = lines, stats["score"]
-        return
-    step = lines - stats["lines"]
-    if step == 0:
-        if stats["score"]:
-            stats["score_at"] = stats["score"]
-        return
+    stats["level"] = stats["level"] if values["level"] is None else values["level"]
+    lines, score, held, fresh = values["lines"], values["score"], stats["lines"], stats["fresh"]
+    stats["fresh"] = lines is not None
+    if lines is None or (held is not None and lines < held):
+        return  # a lower count doesn't move what steps are measured from
+    step = 0 if held is None else lines - held
     if step > rules.MOST_LINES:
-        events.append({"field": "lines", "reason": "lines_jump_ignored", "severity": "info", "old": stats["lines"], "new": lines})
+        events.append({"field": "lines", "reason": "lines_jump_ignored", "severity": "warn", "old": held, "new": lines})
         return
-    gained = None if stats["score"] is None or stats["score_at"] is None else stats["score"] - stats["score_at"]
-    for size in rules.attribute_clears(step, gained, values["level"]) or rules.greedy_clears(step):
-        stats["clears"][size - 1] += 1
-        events.append({"field": "clear", "reason": rules.CLEAR_NAMES[size - 1], "severity": "info", "old": stats["lines"], "new": lines})
-    stats["lines"], stats["score_at"] = lines, stats["score"]
+    if step:
+        gained = None if score is None or stats["score_at"] is None else score - stats["score_at"]
+        sizes = rules.attribute_clears(step, gained, stats["level"])
+        if sizes is None and (step > 4 or (step > 1 and not fresh)):
+            events.append({"field": "lines", "reason": "lines_attribution_uncertain", "severity": "warn", "old": held, "new": lines})
+        for size in sizes or rules.greedy_clears(step):
+            stats["clears"][size - 1] += 1
+            events.append({"field": "clear", "reason": rules.CLEAR_NAMES[size - 1], "severity": "info", "old": held, "new": lines})
+    stats["lines"] = lines
+    if score is not None and (score or step or held is None):
+        stats["score_at"] = score
+
+
+def rail_step(stats: dict[str, Any], counts: list[int | None] | None, confidence: float) -> None:
+    """Piece counts that were read whole and surely: they mend the number of pieces by small steps, and a new I ends a drought.
+
+    counts follow the order of `rules.PIECES`.
+    """
+    if counts is None or confidence < SURE_RAIL or len(counts) != 7 or any(c is None for c in counts):
+        return
+    total, held, i = sum(counts), stats["rail"], counts[rules.PIECES.index("I")]
+    step = total if held is None else total - held
+    if 0 < step <= rules.MOST_RAIL:
+        stats["pieces"] = max(stats["pieces"], total)
+    if stats["rail_i"] is not None and i > stats["rail_i"]:
+        stats["drought"] = 0
+    stats["rail"], stats["rail_i"] = total, i
+
+
+def rail_fold() -> Fold:
+    """Spawns and droughts by the next piece, mended by whole reads of the piece counts (rows: seq, ts, piece, counts, rail_conf)."""
+
+    def step(stats: dict[str, Any], row: Row) -> list[Row]:
+        observe(stats, row, dict.fromkeys(("score", "lines", "level")), row["piece"], [], 0.5)
+        rail_step(stats, row["counts"], row["rail_conf"] or 0.0)
+        return [{"seq": row["seq"], "pieces": stats["pieces"], "drought": stats["drought"], "max_drought": stats["max_drought"], "rail": stats["rail"]}]
+
+    return Fold("seq long, pieces long, drought long, max_drought long, rail long", fresh_stats, step)
 
 
 def game_step(state: GameState, row: Row, cap: float = 0.5) -> list[Row]:
@@ -315,7 +355,7 @@ def game_step(state: GameState, row: Row, cap: float = 0.5) -> list[Row]:
             "seq": row["seq"], "ts": row["ts"], "game_state": state.fused, "new_game": begins, **values, "next_piece": state.piece,
             "pieces": s["pieces"], "drought": s["drought"], "max_drought": s["max_drought"], "active_seconds": s["active"],
             "singles": single, "doubles": double, "triples": triple, "tetrises": tetris, "tetris_rate": 4 * tetris / total if total else None,
-            "events": json.dumps(judged + cleared + events),
+            "events": json.dumps(judged + cleared + events) if judged or cleared or events else "[]",
         }
     ]
 
@@ -358,6 +398,8 @@ class CheatState:
     cheats: int = 0
     clear_points: int = 0
     unexplained: int = 0
+    anomalies: int = 0
+    off_level: int = 0
 
 
 def confirm(state: CheatState) -> list[Row]:
@@ -388,22 +430,23 @@ def evaluate(state: CheatState) -> list[Row]:
         return []
     near = rules.clear_point_candidates(lines, levels)
     wide = rules.clear_point_candidates(lines, tuple(x for level in levels for x in (level - 1, level, level + 1) if x >= 0))
-    for totals in (near, wide):
-        if (points := fit(totals, gain, 0, DROP_SLACK)) is not None:
-            state.clear_points += points
-            return []
-    for count in range(1, MOST_CHEATS + 1):
-        if (points := fit(wide, gain - count * CHEAT_POINTS, -CHEAT_SLACK, DROP_SLACK + CHEAT_SLACK)) is not None:
-            out = confirm(state)
-            state.clear_points += points
-            state.suspect = {"seq": state.at["seq"], "ts": state.at["ts"], "count": count, "before": before, "after": after, "lines": lines, "age": 0}
-            return out
-    points = max((p for p in near if p <= gain), default=0)
-    amount = gain - points - min(DROP_SLACK, gain - points)
+    # what may explain a gain, the likeliest first: cheats, clear totals, and the band that the rest must lie in
+    ways = [(0, near, 0, DROP_SLACK), (0, wide, 0, DROP_SLACK), *((n, wide, -CHEAT_SLACK, DROP_SLACK + CHEAT_SLACK) for n in range(1, MOST_CHEATS + 1))]
+    fits = ((count, totals, fit(totals, gain - count * CHEAT_POINTS, low, high)) for count, totals, low, high in ways)
+    count, totals, points = next((x for x in fits if x[2] is not None), (None, near, max((p for p in near if p <= gain), default=0)))
     state.clear_points += points
+    if count == 0:
+        state.off_level += totals is wide and points not in near
+        return []
+    if count:
+        out = confirm(state)
+        state.suspect = {"seq": state.at["seq"], "ts": state.at["ts"], "count": count, "before": before, "after": after, "lines": lines, "age": 0}
+        return out
+    amount = gain - points - min(DROP_SLACK, gain - points)
     state.unexplained += amount
     if amount <= ANOMALY:
         return []
+    state.anomalies += 1
     return [{"seq": state.at["seq"], "ts": state.at["ts"], "kind": "score_anomaly", "count": None, "points": amount, "score_before": before, "score_after": after, "lines_delta": lines}]
 
 
@@ -448,6 +491,13 @@ def cheat_end(state: CheatState) -> list[Row]:
     return (evaluate(state) if state.waiting is not None else []) + confirm(state)
 
 
+def cheat_totals(state: CheatState) -> list[Row]:
+    cheat_end(state)
+    return [{"cheats": state.cheats, "cheat_points": state.cheats * CHEAT_POINTS, "clear_points": state.clear_points, "unexplained": state.unexplained, "anomalies": state.anomalies, "level_offset_steps": state.off_level}]
+
+
+#: What the detector has counted over a stream, for the validation report.
+CHEAT_TOTALS = Fold("cheats long, cheat_points long, clear_points long, unexplained long, anomalies long, level_offset_steps long", CheatState, lambda state, row: cheat_step(state, row) and [], cheat_totals)
 CHEAT = Fold("seq long, ts double, kind string, count long, points long, score_before long, score_after long, lines_delta long", CheatState, cheat_step, cheat_end)
 
 
@@ -545,20 +595,44 @@ def guard_fold(name: str, most_step: int, fault: str) -> Fold:
 
 
 def latch_fold(need: int = 60) -> Fold:
-    """The base that readings have settled on: `need` equal ones in a row latch it; a failed read releases it."""
+    """The base that readings have settled on: `need` equal ones in a row latch it; a failed read breaks the row and leaves the latch."""
 
     def step(state: Row, row: Row) -> list[Row]:
-        base = row["base"]
-        if base is None:
-            state.update(latched=None, count=0, last=None)
-        else:
-            state["count"] = state["count"] + 1 if base == state["last"] else 1
-            state["last"] = base
-            if state["count"] >= need:
-                state["latched"] = base
+        observe_base(state, row["base"], need)
         return [{"seq": row["seq"], "latched": state["latched"]}]
 
-    return Fold("seq long, latched string", lambda: {"latched": None, "count": 0, "last": None}, step)
+    return Fold("seq long, latched string", unlatched, step)
+
+
+def unlatched() -> Row:
+    return {"latched": None, "count": 0, "last": None}
+
+
+def observe_base(state: Row, base: str | None, need: int) -> None:
+    state["count"] = 0 if base is None else state["count"] + 1 if base == state["last"] else 1
+    state["last"] = base
+    if base is not None and state["count"] >= need > 0:
+        state["latched"] = base
+
+
+def latched_read_fold(need: int = 60) -> Fold:
+    """A field read in two bases (dec, dec_conf, hex, hex_conf): the latched base first; the other, where that fails, is latched at once.
+
+    Unlatched, hex wins only if it is read alone or more surely; such reads feed the latch.
+    """
+
+    def step(state: Row, row: Row) -> list[Row]:
+        if state["latched"]:
+            other = "hex" if state["latched"] == "dec" else "dec"
+            base = other if row[state["latched"]] is None and row[other] is not None else state["latched"]
+            if base == other:
+                state.update(latched=other, last=other, count=need)
+        else:
+            base = "hex" if row["hex"] is not None and (row["dec"] is None or row["hex_conf"] > row["dec_conf"] + 1e-6) else "dec"
+            observe_base(state, base if row[base] is not None else None, need)
+        return [{"seq": row["seq"], "value": row[base], "base": base, "latched": state["latched"]}]
+
+    return Fold("seq long, value long, base string, latched string", unlatched, step)
 
 
 def curtain_fold(need: int = 2) -> Fold:
@@ -576,24 +650,39 @@ def curtain_fold(need: int = 2) -> Fold:
     return Fold("seq long, falling boolean", lambda: {"full": 0, "steps": 0}, step)
 
 
-def animation_fold(factor: float = 1.5, dark: float = 20.0, alpha: float = 0.1, calm: int = 2, most: int = 20) -> Fold:
-    """Whether a clear animation runs: a flash starts one, calm frames or the limit end it; the mean luma stands still meanwhile."""
+def animation_fold(columns: int = 10, factor: float = 1.5, dark: float = 20.0, alpha: float = 0.1, calm: int = 2, most: int = 20) -> Fold:
+    """Whether a clear animation runs, over rows of luma, board (a bit mask for each row of cells, from the top) and suppress.
+
+    A flash, or a row that was full and no longer is, starts one unless suppressed; a board that stands still for `calm`
+    frames, or the limit, ends it. The mean luma stands still meanwhile. `expected` is the board that an animation must
+    leave, given out where it ends: the board before it without its full rows; null if it had none.
+    """
+    full = (1 << columns) - 1
 
     def step(state: Row, row: Row) -> list[Row]:
-        luma = row["luma"]
-        if luma is not None:
-            flash = state["mean"] is not None and state["mean"] > dark and luma > factor * state["mean"]
-            if flash and not state["on"]:
-                state.update(on=True, age=0, calm=0)
-            elif state["on"]:
-                state["age"] += 1
-                state["calm"] = 0 if flash else state["calm"] + 1
-                state["on"] = state["calm"] < calm and state["age"] < most
-            if not state["on"]:
-                state["mean"] = luma if state["mean"] is None else state["mean"] + alpha * (luma - state["mean"])
-        return [{"seq": row["seq"], "animating": state["on"]}]
-
-    return Fold("seq long, animating boolean", lambda: {"mean": None, "on": False, "age": 0, "calm": 0}, step)
+        luma, board, before, mean = row["luma"], row["board"], state["board"], state["mean"]
+        flash = mean is not None and mean > dark and luma > factor * mean
+        expected = None
+        if state["on"]:
+            state["age"] += 1
+            state["calm"] = state["calm"] + 1 if board == before else 0
+            if state["calm"] >= calm or state["age"] >= most:
+                expected = state["expected"]
+                state.update(on=False, expected=None)
+        elif not row["suppress"] and (flash or (before is not None and any(a == full and b != full for a, b in zip(before, board, strict=True)))):
+            kept = [x for x in before or [] if x != full]
+            state.update(on=True, age=0, calm=0, expected=[0] * (len(before) - len(kept)) + kept if before and len(kept) < len(before) else None)
+        if not state["on"]:
+            state["mean"] = luma if mean is None else (1 - alpha) * mean + alpha * luma
+        state["board"] = board
+        return [{"seq": row["seq"], "animating": state["on"], "flash": flash, "expected": expected}]
+
+    return Fold("seq long, animating boolean, flash boolean, expected array<long>", lambda: {"mean": None, "on": False, "age": 0, "calm": 0, "board": None, "expected": None}, step)
+
+
+def settle_against(expected: list[int] | None, board: list[int], most: int = 3) -> bool:
+    """Whether a board is what an animation was expected to leave, but for `most` cells."""
+    return expected is None or sum((a ^ b).bit_count() for a, b in zip(expected, board, strict=True)) <= most
 
 
 def after_clear(board: list[list[int]]) -> list[list[int]]:

@@ -195,22 +195,36 @@ def tile_means(image: np.ndarray, rows: int = 30, columns: int = 32) -> np.ndarr
     return sums / (np.diff(np.append(ys, image.shape[0]))[:, None] * np.diff(np.append(xs, image.shape[1])))
 
 
-def content_box(image: np.ndarray, bright: int = 16, share: float = 0.03, least: float = 0.5) -> tuple[int, int, int, int] | None:
-    """x, y, width and height of rows and columns with enough bright samples; null below half of the frame."""
-    on = image > bright
-    ys, xs = np.flatnonzero(on.mean(axis=1) >= share), np.flatnonzero(on.mean(axis=0) >= share)
-    if not len(ys) or not len(xs):
-        return None
-    w, h = int(xs[-1] - xs[0]) + 1, int(ys[-1] - ys[0]) + 1
-    return (int(xs[0]), int(ys[0]), w, h) if w * h >= least * image.size else None
+def content_box(image: np.ndarray, bright: int = 40, share: float = 0.03, least: float = 0.5, step: int = 4) -> tuple[int, int, int, int] | None:
+    """x, y, width and height of the rows and columns with enough bright samples, every fourth pixel being one; null where either side is under half of the frame's."""
+    on = image[::step, ::step] > bright
+    sides = []
+    for axis, size in ((0, image.shape[1]), (1, image.shape[0])):
+        found = np.flatnonzero(on.sum(axis=axis) >= max(int(np.ceil(on.shape[axis] * share)), 1))
+        if not len(found):
+            return None
+        begin, end = int(found[0]) * step, min((int(found[-1]) + 1) * step, size)
+        if end - begin < least * size:
+            return None
+        sides.append((begin, end - begin))
+    (x, w), (y, h) = sides
+    return x, y, w, h
 
 
 def two_means(points: np.ndarray, apart: float = 34.0, rounds: int = 8) -> np.ndarray | None:
-    """Two centres: the first point and the farthest one from it (the last among equals), then means; null if they stay close."""
+    """Two centres: the point farthest from the first one, and the farthest from that (the last among equals), then means; null if they coincide or stay close."""
     if len(points) < 2:
         return None
-    away = np.linalg.norm(points - points[0], axis=1)
-    centres = np.array([points[0], points[len(away) - 1 - int(away[::-1].argmax())]], dtype=np.float64)
+
+    def farthest(origin: np.ndarray) -> int:
+        away = np.linalg.norm(points - origin, axis=1)
+        return len(away) - 1 - int(away[::-1].argmax())
+
+    i = farthest(points[0])
+    j = farthest(points[i])
+    if i == j:
+        return None
+    centres = np.array([points[i], points[j]], dtype=np.float64)
     for _ in range(rounds):
         own = np.linalg.norm(points[:, None] - centres[None], axis=2).argmin(axis=1)
         moved = np.array([points[own == k].mean(axis=0) if (own == k).any() else centres[k] for k in (0, 1)])
@@ -252,49 +266,14 @@ def refined(h: np.ndarray, src: np.ndarray, dst: np.ndarray, rounds: int = 10) -
     return h
 
 
-class Draws:
-    """A PCG32 generator, seeded by splitmix64; the same draws for the same seed everywhere."""
-
-    def __init__(self, seed: int):
-        first = self.split(seed)
-        self.stream = (self.split(first) << 1 | 1) % (1 << 64)
-        self.state = 0
-        self.draw()
-        self.state = (self.state + first) % (1 << 64)
-        self.draw()
-
-    @staticmethod
-    def split(x: int) -> int:
-        x = (x + 0x9E3779B97F4A7C15) % (1 << 64)
-        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
-        x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
-        return x ^ x >> 31
-
-    def draw(self) -> int:
-        old, self.state = self.state, (self.state * 6364136223846793005 + self.stream) % (1 << 64)
-        bits, turn = ((old >> 18 ^ old) >> 27) % (1 << 32), old >> 59
-        return (bits >> turn | bits << (-turn % 32)) % (1 << 32)
-
-    def below(self, bound: int) -> int:
-        """A fair draw under the bound: draws from the uneven rest are thrown away."""
-        rest = (1 << 32) % bound
-        while (x := self.draw()) < rest:
-            pass
-        return x % bound
-
-
 def ransac_homography(src: np.ndarray, dst: np.ndarray, near: float = 3.0, rounds: int = 2000, sure: float = 0.995, seed: int = 0) -> tuple[np.ndarray, np.ndarray] | None:
     """The map that most points agree on, and which do; then refined on those."""
     src, dst = np.asarray(src, dtype=np.float64), np.asarray(dst, dtype=np.float64)
-    draws, best = Draws(seed), np.zeros(len(src), dtype=bool)
+    draws, best = np.random.default_rng(seed), np.zeros(len(src), dtype=bool)
     needed, done = rounds, 0
     while done < min(needed, rounds):
         done += 1
-        pick: list[int] = []
-        while len(pick) < 4:
-            k = draws.below(len(src))
-            if k not in pick:
-                pick.append(k)
+        pick = draws.choice(len(src), 4, replace=False)
         with np.errstate(all="ignore"):
             agree = np.linalg.norm(project(homography(src[pick], dst[pick]), src) - dst, axis=1) <= near
         if agree.sum() > best.sum():

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,49 +11,10 @@ from framefold.operators import folds as L
 from framefold.operators import frames as V
 from framefold.operators import joins as J
 from framefold.operators import windows as W
+from framefold.plans import scalars, station  # noqa: F401  they register their queries
+from framefold.plans.registry import CLEARS, FRAMES, GAMES, ORACLE_SQL, QUERIES, query  # noqa: F401
 from framefold.sources import recordings as R
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-FRAMES = """
-    frames AS (
-        SELECT user_id AS stream_id, CAST(row_number() OVER w - 1 AS BIGINT) AS seq, epoch_us(ts) / 1e6 AS ts,
-            CASE WHEN event_type IN ('click', 'view') THEN 'in_game' WHEN event_type = 'purchase' THEN 'paused'
-                WHEN event_type = 'signup' THEN 'level_select' ELSE 'unknown' END AS state,
-            CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS conf,
-            CAST(floor(coalesce(value, 0)) AS BIGINT) AS raw_score,
-            CAST(sum(floor(coalesce(value, 0))) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS score,
-            CAST(sum(CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS lines,
-            CASE WHEN event_id % 11 <> 0 THEN (['T', 'J', 'Z', 'O', 'S', 'L', 'I'])[CAST(event_id % 7 + 1 AS INTEGER)] END AS piece
-        FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
-    )"""
-GAMES = """
-    games AS (
-        SELECT o_orderkey AS game_id, round(o_totalprice, 2) AS score, CAST(o_orderdate AS DATE) AS day, c_name AS player, n_name AS station, o_orderstatus AS status
-        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-    )"""
-CLEARS = """
-    clears AS (
-        SELECT l_orderkey AS game_id, CAST((l_linenumber - 1) % 4 + 1 AS BIGINT) AS size, l_partkey % 20 AS level, l_quantity AS quantity, l_extendedprice AS price FROM lineitem
-    )"""
-
-
-def query(name: str, sql: str | None, *views: str) -> Callable:
-    """Register a query under a name, with its SQL over the named views."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[name] = f
-        if sql is not None:
-            text = sql.strip()
-            if views:
-                head = "WITH " + ", ".join(v.strip() for v in views)
-                text = f"{head}, {text[5:]}" if text.startswith("WITH ") else f"{head} {text}"
-            ORACLE_SQL[name] = text
-        return f
-
-    return add
-
 
 @query(
     "replay_stats",
@@ -321,7 +280,7 @@ def a16_signal_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts(n, p, b) AS (WITH RECURSIVE r(n, p, b, m) AS (SELECT 0, CAST([] AS INTEGER[]), 0, 4 UNION ALL
         SELECT n + s, list_append(p, s), b + ([40, 100, 300, 1200])[s], s FROM r, (SELECT unnest([1, 2, 3, 4]) AS s) WHERE s <= m AND n + s <= 8) SELECT n, p, b FROM r WHERE n > 0),
     fit AS (SELECT d.*, p, d_score - b * (level + 1) AS res FROM d JOIN parts ON n = d_lines),
-    good AS (SELECT *, row_number() OVER (PARTITION BY stream_id, seq ORDER BY res, p) AS r, count(*) FILTER (TRUE) OVER (PARTITION BY stream_id, seq, res) AS same FROM fit WHERE res >= 0 AND res <= 150 * len(p)),
+    good AS (SELECT *, row_number() OVER (PARTITION BY stream_id, seq ORDER BY res, p) AS r, count(*) FILTER (TRUE) OVER (PARTITION BY stream_id, seq, res) AS same FROM fit WHERE res >= 0 AND res <= 150),
     best AS (SELECT * FROM good WHERE r = 1 AND same = 1)
     SELECT d.stream_id, d.seq, d.d_lines, d.d_score, b.p IS NOT NULL AS attributed,
         array_to_string(coalesce(b.p, list_concat(list_transform(range(CAST(d.d_lines // 4 AS BIGINT)), lambda x: 4), CASE WHEN d.d_lines % 4 > 0 THEN [CAST(d.d_lines % 4 AS INTEGER)] ELSE [] END)), '+') AS parts
@@ -367,8 +326,9 @@ def a10_points_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a1_percentiles", "SELECT l_returnflag AS flag, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(stddev_pop(l_quantity), 6) AS std FROM lineitem GROUP BY 1")
 def a1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = lambda q, n: F.round(F.percentile("l_extendedprice", F.lit(q)), 4).alias(n)
-    return V.read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(p(0.1, "p10"), p(0.5, "median"), p(0.95, "p95"), F.round(F.stddev_pop("l_quantity"), 6).alias("std"))
+    items = V.read(spark, sf_dir, "lineitem").withColumn("flag", F.col("l_returnflag"))
+    ranks = A.quantiles(items, ["flag"], "l_extendedprice", {"p10": (0.1, "linear"), "median": (0.5, "linear"), "p95": (0.95, "linear")})
+    return ranks.join(items.groupBy("flag").agg(F.round(F.stddev_pop("l_quantity"), 6).alias("std")), "flag").select("flag", *(F.round(c, 4).alias(c) for c in ("p10", "median", "p95")), "std")
 
 
 @query(
@@ -377,8 +337,7 @@ def a1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     FRAMES,
 )
 def a3_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = V.frames(spark, sf_dir).groupBy("stream_id").agg(F.collect_list("conf").alias("v"))
-    return held.select("stream_id", A.nearest_rank(F.col("v"), 0.95).alias("p95"), A.nearest_rank(F.col("v"), 0.95, truncate=True).alias("p95_low"))
+    return A.quantiles(V.frames(spark, sf_dir), ["stream_id"], "conf", {"p95": (0.95, "nearest"), "p95_low": (0.95, "floor")})
 
 
 @query(
@@ -420,6 +379,8 @@ def a13_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0.05 THEN 1 ELSE 0 END) AS b FROM embeddings),
     h AS (SELECT *, list_transform(range(8), lambda c: coalesce(list_max(list_transform(list_filter(range(8), lambda r: b[r * 8 + c + 1] = 1), lambda r: 8 - r)), 0)) AS h FROM b)
     SELECT vec_id, CAST(list_max(h) AS BIGINT) AS max_height, list_sum(h) / 8 AS mean_height, CAST(list_sum(h) - list_sum(b) AS BIGINT) AS holes, CAST(len(list_filter(range(8), lambda r: list_sum(b[r * 8 + 1:r * 8 + 8]) = 8)) AS BIGINT) AS full_rows,
+        len(list_filter(range(0, 5), lambda r: len(list_filter(range(1, 9), lambda c: len(list_filter(range(0, 4), lambda k: list_sum(b[(r + k) * 8 + 1:(r + k) * 8 + 8]) = 7 AND b[(r + k) * 8 + c] = 0)) = 4)) > 0)) > 0 AS tetris_ready,
+        list_sum(h) = list_sum(b) AND (h = list_sort(h) OR h = list_reverse_sort(h)) AS clean_slope,
         len(list_filter(range(1, 9), lambda c: least(CASE WHEN c = 1 THEN 1000 ELSE h[c - 1] END, CASE WHEN c = 8 THEN 1000 ELSE h[c + 1] END) - h[c] >= 3)) >= 2 AS double_well
     FROM h
     """,
@@ -427,47 +388,37 @@ def a13_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a14_board_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     boards = V.read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.when(x > 0.05, 1).otherwise(0)).alias("board"))
     out = A.board_metrics(boards, "board", 8, 8)
-    return out.select("vec_id", F.col("max_height").cast("long").alias("max_height"), F.col("mean_height").cast("double").alias("mean_height"), F.col("holes").cast("long").alias("holes"), F.col("full_rows").cast("long").alias("full_rows"), "double_well")
+    return out.select("vec_id", F.col("max_height").cast("long").alias("max_height"), F.col("mean_height").cast("double").alias("mean_height"), F.col("holes").cast("long").alias("holes"), F.col("full_rows").cast("long").alias("full_rows"), "double_well", "tetris_ready", "clean_slope")
 
 
 @query(
     "a17_agreement",
     """
-    WITH p AS (SELECT a.piece AS ap, b.piece AS bp, a.state AS as_, b.state AS bs FROM frames a JOIN frames b ON a.stream_id = b.stream_id - 1 AND a.seq = b.seq)
-    SELECT 'piece' AS field, count(*) FILTER (ap IS NOT NULL AND bp IS NOT NULL) AS scored, count(*) FILTER (ap = bp) AS agree, count(*) FILTER ((ap IS NULL) <> (bp IS NULL)) AS one_side, round(count(*) FILTER (ap = bp) / greatest(count(*) FILTER (ap IS NOT NULL AND bp IS NOT NULL), 1), 6) AS rate FROM p
-    UNION ALL SELECT 'state', count(*), count(*) FILTER (as_ = bs), 0, round(count(*) FILTER (as_ = bs) / greatest(count(*), 1), 6) FROM p
+    WITH p AS (SELECT a.piece AS ap, b.piece AS bp, a.state AS as_, b.state AS bs, [a.lines % 3, a.raw_score % 2, a.seq % 4] AS ac, [b.lines % 3, b.raw_score % 2, b.seq % 4] AS bc FROM frames a JOIN frames b ON a.stream_id = b.stream_id - 1 AND a.seq = b.seq)
+    SELECT 'piece' AS field, count(*) FILTER (ap IS NOT NULL AND bp IS NOT NULL) AS scored, count(*) FILTER (ap = bp) AS agree, count(*) FILTER (ap = bp) AS exact, count(*) FILTER ((ap IS NULL) <> (bp IS NULL)) AS one_side, round(count(*) FILTER (ap = bp) / greatest(count(*) FILTER (ap IS NOT NULL AND bp IS NOT NULL), 1), 6) AS rate FROM p
+    UNION ALL SELECT 'cells', 3 * count(*), CAST(sum(CAST(ac[1] = bc[1] AS INTEGER) + CAST(ac[2] = bc[2] AS INTEGER) + CAST(ac[3] = bc[3] AS INTEGER)) AS BIGINT), count(*) FILTER (ac = bc), 0, round(sum(CAST(ac[1] = bc[1] AS INTEGER) + CAST(ac[2] = bc[2] AS INTEGER) + CAST(ac[3] = bc[3] AS INTEGER)) / (3 * count(*)), 6) FROM p
+    UNION ALL SELECT 'state', count(*), count(*) FILTER (as_ = bs), count(*) FILTER (as_ = bs), 0, round(count(*) FILTER (as_ = bs) / greatest(count(*), 1), 6) FROM p
     """,
     FRAMES,
 )
 def a17_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = V.frames(spark, sf_dir)
+    a = V.frames(spark, sf_dir).withColumn("cells", F.array(F.col("lines") % 3, F.col("raw_score") % 2, F.col("seq") % 4))
     b = a.withColumn("stream_id", F.col("stream_id") - 1)
-    paired = J.pair_runs(a, b.withColumn("o", F.col("seq")), ["stream_id", "seq"], "o", ["piece", "state"])
-    return A.agreement(paired, ["piece", "state"]).withColumn("rate", F.round("rate", 6))
+    paired = J.pair_runs(a, b.withColumn("o", F.col("seq")), ["stream_id", "seq"], "o", ["piece", "state", "cells"])
+    return A.agreement(paired, ["piece", "state", "cells"]).withColumn("rate", F.round("rate", 6))
 
 
 @query(
     "a18_confusion",
     """
     WITH c AS (SELECT quality AS label, CAST(n_chars > 1500 AS INTEGER) AS predicted, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2)
-    SELECT label, predicted, n, round(n / sum(n) OVER (PARTITION BY label), 6) AS share FROM c
+    SELECT label, predicted, n, round(n / sum(n) OVER (PARTITION BY label), 6) AS share, round(sum(CASE WHEN label = predicted THEN n ELSE 0 END) OVER () / sum(n) OVER (), 6) AS accuracy FROM c
     """,
 )
 def a18_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = V.read(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 1500).cast("int").alias("predicted"))
     rows = docs.join(V.read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    return A.confusion(rows, "quality", "predicted").withColumn("share", F.round("share", 6))
-
-
-@query(
-    "a19_label_stats",
-    """
-    SELECT label, count(*) AS n, round(avg(embedding[1]), 6) AS mean_score, min(embedding[1]) AS min_score FROM embeddings GROUP BY 1
-    """,
-)
-def a19_label_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.element_at("embedding", 1)
-    return V.read(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(first), 6).alias("mean_score"), F.min(first).alias("min_score"))
+    return A.confusion(rows, "quality", "predicted").withColumn("share", F.round("share", 6)).withColumn("accuracy", F.round("accuracy", 6))
 
 
 TEMPLATES = """
@@ -491,6 +442,23 @@ def j6_template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "label", "best", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"))
 
 
+@query(
+    "a19_label_stats",
+    """
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, t DESC) AS r, lead(score) OVER (PARTITION BY vec_id ORDER BY score DESC, t DESC) AS other FROM scored),
+    m AS (SELECT label, t AS best, round(score, 6) AS score, round(coalesce(score - other, score), 6) AS margin FROM r WHERE r = 1),
+    k AS (SELECT label, best, count(*) AS times FROM m GROUP BY 1, 2),
+    l AS (SELECT label, array_to_string(list(best || ':' || times ORDER BY best), ',') AS kinds FROM k GROUP BY 1)
+    SELECT label, count(*) AS n, round(avg(score), 6) AS mean_score, min(score) AS min_score, min(margin) AS min_margin, any_value(kinds) AS best_kinds FROM m JOIN l USING (label) GROUP BY 1
+    """,
+    TEMPLATES,
+)
+def a19_label_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = A.label_stats(j6_template_match(spark, sf_dir), "label", "score", "margin", "best")
+    kinds = F.array_join(F.transform(F.map_entries("best_kinds"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ",")
+    return out.select("label", "n", F.round("mean_score", 6).alias("mean_score"), "min_score", "min_margin", kinds.alias("best_kinds"))
+
+
 @query(
     "j2_match_within",
     """
@@ -556,13 +524,15 @@ def t1_station_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "a21_telemetry",
     """
-    WITH g AS (SELECT CAST(floor(ts / 3600) * 3600 AS BIGINT) AS window_start, count(*) AS n, list(conf ORDER BY conf) AS v FROM frames GROUP BY 1)
-    SELECT window_start, n, round(n / 3600, 4) AS rate, round(v[CAST(round((len(v) - 1) * 0.5) AS BIGINT) + 1], 2) AS p50, round(v[CAST(round((len(v) - 1) * 0.95) AS BIGINT) + 1], 2) AS p95 FROM g
+    WITH g AS (SELECT CAST(floor(ts / 3600) * 3600 AS BIGINT) AS window_start, count(*) AS n, list(conf ORDER BY conf) AS v, count(*) FILTER (state = 'in_game') AS live, sum(raw_score) AS delivered, sum(seq % 3) AS dropped, CAST(sum(lines % 2) AS BIGINT) AS missing FROM frames GROUP BY 1)
+    SELECT window_start, n, round(n / 3600, 4) AS rate, round(live / 3600, 4) AS live_hz, round(CASE WHEN delivered > 0 THEN dropped / delivered ELSE 0 END, 4) AS drop_rate, missing, round(v[CAST(round((len(v) - 1) * 0.5) AS BIGINT) + 1], 2) AS p50, round(v[CAST(round((len(v) - 1) * 0.95) AS BIGINT) + 1], 2) AS p95 FROM g
     """,
     FRAMES,
 )
 def a21_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.telemetry(V.frames(spark, sf_dir).select("ts", F.col("conf").alias("x")), 3600)
+    frames = V.frames(spark, sf_dir)
+    samples = frames.select("ts", F.col("conf").alias("x"), (F.col("state") == "in_game").alias("live"), F.col("raw_score").alias("delivered"), (F.col("seq") % 3).alias("dropped"), (F.col("lines") % 2).alias("missing"))
+    return A.telemetry(samples, 3600)
 
 
 @query(
@@ -606,11 +576,11 @@ def a28_overall_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "k12_retention",
-    "WITH h AS (SELECT o_orderkey AS name, sum(floor(o_totalprice)) OVER (ORDER BY o_orderdate DESC, o_orderkey DESC ROWS UNBOUNDED PRECEDING) AS held FROM orders) SELECT name, CAST(held AS BIGINT) AS held, held <= 100000000 AS keep FROM h",
+    "WITH h AS (SELECT o_orderkey AS name, sum(floor(o_totalprice)) OVER (ORDER BY o_orderdate DESC, o_orderkey DESC ROWS UNBOUNDED PRECEDING) AS held FROM orders WHERE o_orderdate >= DATE '1996-01-01') SELECT o_orderkey AS name, CAST(held AS BIGINT) AS held, coalesce(held <= 100000000, FALSE) AS keep FROM orders LEFT JOIN h ON o_orderkey = name",
 )
 def k12_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = V.read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"), F.col("o_orderdate").alias("made_at"), F.col("o_orderkey").alias("name"), F.floor("o_totalprice").alias("bytes"))
-    return J.retained(files, 100_000_000).select("name", F.col("held").cast("long").alias("held"), "keep")
+    return J.retained(files, 100_000_000, 365, F.lit("1996-12-31").cast("date")).select("name", F.col("held").cast("long").alias("held"), "keep")
 
 
 @query(
@@ -648,8 +618,7 @@ def f6_base_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     "RECURSIVE " + FRAMES.strip(),
 )
 def w25_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = V.frames(spark, sf_dir).groupBy("stream_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "conf"))), lambda s: s["conf"]).alias("v"))
-    return held.select("stream_id", F.round(A.ema(F.col("v"), 0.3), 6).alias("ema"))
+    return A.ema(V.frames(spark, sf_dir), "conf", 0.3).withColumn("ema", F.round("ema", 6))
 
 
 @query(
@@ -747,20 +716,67 @@ def session_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.run_batch(play_frames(spark, sf_dir).select("stream_id", "seq", "ts", "state", "score", "lines", "level"), L.session_fold(3, 2, 7200.0))
 
 
-@query("w27_base_latch", None)
+@query(
+    "w27_base_latch",
+    """
+    WITH b AS (SELECT stream_id, seq, CASE WHEN conf > 0.4 THEN 'dec' WHEN conf > 0.05 THEN 'hex' END AS base FROM frames),
+    r(stream_id, seq, last, n, latched) AS (
+        SELECT stream_id, seq, base, CASE WHEN base IS NULL THEN 0 ELSE 1 END, CAST(NULL AS VARCHAR) FROM b WHERE seq = 0
+        UNION ALL
+        SELECT x.stream_id, x.seq, x.base, x.k, CASE WHEN x.k >= 3 THEN x.base ELSE x.latched END
+        FROM (SELECT b.*, r.latched, CASE WHEN b.base IS NULL THEN 0 WHEN b.base = r.last THEN r.n + 1 ELSE 1 END AS k FROM r JOIN b ON b.stream_id = r.stream_id AND b.seq = r.seq + 1) x
+    )
+    SELECT stream_id, seq, latched FROM r
+    """,
+    "RECURSIVE " + FRAMES.strip(),
+)
 def w27_base_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.when(F.col("conf") > 0.05, F.when(F.col("conf") > 0.4, "dec").otherwise("hex"))
     return L.run_batch(V.frames(spark, sf_dir).select("stream_id", "seq", base.alias("base")), L.latch_fold(3))
 
 
-@query("w23_curtain", None)
+@query(
+    "w23_curtain",
+    """
+    WITH f AS (SELECT stream_id, seq, lines % 5 AS full_rows FROM frames),
+    r(stream_id, seq, held, steps) AS (
+        SELECT stream_id, seq, full_rows, CASE WHEN full_rows >= 2 THEN 1 ELSE 0 END FROM f WHERE seq = 0
+        UNION ALL
+        SELECT f.stream_id, f.seq, f.full_rows, CASE WHEN f.full_rows < r.held THEN 0 WHEN f.full_rows > r.held AND f.full_rows >= 2 THEN r.steps + 1 ELSE r.steps END FROM r JOIN f ON f.stream_id = r.stream_id AND f.seq = r.seq + 1
+    )
+    SELECT stream_id, seq, steps >= 2 AS falling FROM r
+    """,
+    "RECURSIVE " + FRAMES.strip(),
+)
 def w23_curtain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.run_batch(V.frames(spark, sf_dir).select("stream_id", "seq", (F.col("lines") % 5).alias("full_rows")), L.curtain_fold())
 
 
-@query("w22_animation", None)
+ANIMATION_SQL = """
+    WITH f AS (SELECT stream_id, seq, conf * 100 AS luma, [CAST(raw_score % 4 AS BIGINT), CAST(lines % 4 AS BIGINT), CAST((seq // 2) % 4 AS BIGINT)] AS board, state = 'paused' AS suppress FROM frames),
+    r(stream_id, seq, mean, on_, age, calm, board, flash) AS (
+        SELECT stream_id, seq, luma, FALSE, 0, 0, board, FALSE FROM f WHERE seq = 0
+        UNION ALL
+        SELECT z.stream_id, z.seq, CASE WHEN z.now THEN z.mean ELSE 0.9 * z.mean + 0.1 * z.luma END, z.now, CASE WHEN z.was THEN z.age2 WHEN z.now THEN 0 ELSE z.age END, CASE WHEN z.was THEN z.calm2 WHEN z.now THEN 0 ELSE z.calm END, z.board, z.fl
+        FROM (
+            SELECT y.*, CASE WHEN y.was THEN NOT (y.calm2 >= 2 OR y.age2 >= 20) ELSE NOT y.suppress AND (y.fl OR y.retract) END AS now
+            FROM (
+                SELECT f.stream_id, f.seq, f.luma, f.board, f.suppress, r.mean, r.on_ AS was, r.age, r.calm, r.age + 1 AS age2, CASE WHEN f.board = r.board THEN r.calm + 1 ELSE 0 END AS calm2,
+                    r.mean > 20 AND f.luma > 1.5 * r.mean AS fl,
+                    (r.board[1] = 3 AND f.board[1] <> 3) OR (r.board[2] = 3 AND f.board[2] <> 3) OR (r.board[3] = 3 AND f.board[3] <> 3) AS retract
+                FROM r JOIN f ON f.stream_id = r.stream_id AND f.seq = r.seq + 1
+            ) y
+        ) z
+    )
+    SELECT stream_id, seq, on_ AS animating, flash FROM r
+    """
+
+
+@query("w22_animation", ANIMATION_SQL, "RECURSIVE " + FRAMES.strip())
 def w22_animation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.run_batch(V.frames(spark, sf_dir).select("stream_id", "seq", (F.col("conf") * 100).alias("luma")), L.animation_fold())
+    board = F.array(F.col("raw_score") % 4, F.col("lines") % 4, F.floor(F.col("seq") / 2) % 4)
+    rows = V.frames(spark, sf_dir).select("stream_id", "seq", (F.col("conf") * 100).alias("luma"), board.alias("board"), (F.col("state") == "paused").alias("suppress"))
+    return L.run_batch(rows, L.animation_fold(2)).select("stream_id", "seq", "animating", "flash")
 
 
 @query(
@@ -785,29 +801,36 @@ def s8_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a20_trimmed_templates", None)
 def a20_trimmed_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.trimmed_templates(V.glyphs(spark, sf_dir), 0.0)
+    return J.trimmed_templates(V.glyphs(spark, sf_dir), 0.0, most_std=0.13)
 
 
 @query(
     "a15_validation",
     """
-    WITH c AS (SELECT game_id, count(*) AS frames, CAST(sum(size) AS BIGINT) AS lines, max(level) AS end_level, CAST(sum(([40, 100, 300, 1200])[size] * (level + 1)) AS BIGINT) AS points FROM clears GROUP BY 1),
-    g AS (SELECT c.*, CAST(floor(score) AS BIGINT) AS score FROM c JOIN games USING (game_id)),
-    f AS (SELECT game_id, list_filter([CASE WHEN game_id % 7 = 0 THEN 'error:partial_game' END,
-        CASE WHEN end_level <> (CASE WHEN lines < 10 * 0 + 10 THEN 0 ELSE 1 + (lines - 10) // 10 END) AND game_id % 2 = 0 THEN 'warning:level_mismatch' END,
-        CASE WHEN score < 999999 AND (score - points < -1000 OR score - points > 40 * frames + 1000) THEN 'error:score_reconcile' END,
-        CASE WHEN game_id % 10 >= 3 THEN 'error:low_confidence' END, CASE WHEN game_id % 10 BETWEEN 1 AND 2 THEN 'warning:low_confidence' END], lambda x: x IS NOT NULL) AS issues FROM g)
+    WITH c AS (SELECT game_id, count(*) AS pieces, CAST(sum(size) AS BIGINT) AS counted, max(level) AS end_level, CAST(sum(([40, 100, 300, 1200])[size] * (level + 1)) AS BIGINT) AS clear_points FROM clears GROUP BY 1),
+    g AS (SELECT c.*, CAST(floor(score) AS BIGINT) AS end_score, game_id % 7 AS k, CASE WHEN game_id % 9 > 0 THEN game_id % 4 END AS start_level, counted + game_id % 5 AS end_lines, game_id % 31 = 0 AS absent FROM c JOIN games USING (game_id)),
+    e AS (SELECT *, least(10 * start_level + 10, greatest(100, 10 * start_level - 50)) AS threshold, end_score - (CASE WHEN k = 0 THEN 5 ELSE 0 END) - clear_points - 10000 * (CASE WHEN game_id % 11 = 0 THEN 1 ELSE 0 END) AS rest FROM g),
+    f AS (SELECT game_id, list_filter([CASE WHEN game_id % 101 = 0 THEN 'error:engine_restart' END, CASE WHEN absent THEN 'error:no_gameplay' END, CASE WHEN k = 0 THEN 'error:partial_game' END,
+        CASE WHEN game_id % 5 > 1 THEN 'error:lines_clears_mismatch' END,
+        CASE WHEN end_level <> (CASE WHEN end_lines < threshold THEN start_level ELSE start_level + 1 + (end_lines - threshold) // 10 END) THEN 'warning:level_mismatch' END,
+        CASE WHEN end_score < 999999 AND (rest < -1000 OR rest > 40 * pieces + 1000) THEN 'error:score_reconcile' END,
+        CASE WHEN game_id % 13 = 0 THEN 'warning:score_unexplained' END, CASE WHEN game_id % 17 = 0 THEN 'warning:level_score_mismatch' END,
+        CASE WHEN NOT absent AND game_id % 10 >= 3 THEN 'error:low_confidence' END, CASE WHEN NOT absent AND game_id % 10 BETWEEN 1 AND 2 THEN 'warning:low_confidence' END,
+        CASE WHEN game_id % 12 >= 10 THEN 'error:signal_lost' END, CASE WHEN game_id % 12 BETWEEN 2 AND 9 THEN 'warning:signal_lost' END,
+        CASE WHEN game_id % 25 >= 20 THEN 'warning:plausibility_corrections' END, CASE WHEN game_id % 97 = 0 THEN 'error:value_range' END], lambda x: x IS NOT NULL) AS issues FROM e)
     SELECT game_id, array_to_string(issues, ',') AS issues, len(list_filter(issues, lambda x: starts_with(x, 'error'))) = 0 AS valid FROM f
     """,
     CLEARS,
     GAMES,
 )
 def a15_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = rules.clear_base_score(F.col("size"))
-    stats = V.clears(spark, sf_dir).groupBy("game_id").agg(F.count("*").alias("frames"), F.sum("size").alias("lines"), F.max("level").alias("end_level"), F.sum(base * (F.col("level") + 1)).alias("points"))
-    summary = stats.join(V.games(spark, sf_dir).select("game_id", F.floor("score").alias("score")), "game_id").select(
-        "*", F.col("lines").alias("cleared"), F.when(F.col("game_id") % 2 == 0, F.lit(0)).alias("start_level"), F.col("frames").alias("pieces"), (F.col("game_id") % 10 / 10).alias("low_share"),
-        F.lit(0.0).alias("lost_seconds"), F.lit(0).alias("corrections"), (F.col("game_id") % 7 == 0).alias("partial"),
+    base, game, one = rules.clear_base_score(F.col("size")), F.col("game_id"), lambda c: c.cast("int")
+    stats = V.clears(spark, sf_dir).groupBy("game_id").agg(F.count("*").alias("pieces"), F.sum("size").alias("counted"), F.max("level").alias("end_level"), F.sum(base * (F.col("level") + 1)).alias("clear_points"))
+    absent = game % 31 == 0
+    summary = stats.join(V.games(spark, sf_dir).select("game_id", F.floor("score").alias("end_score")), "game_id").select(
+        "*", one(game % 101 == 0).alias("restarts"), F.when(absent, 0).otherwise(10).alias("ingame_frames"), F.when(game % 7 == 0, 5).otherwise(0).alias("start_score"), F.lit(0).alias("start_lines"),
+        F.when(game % 9 > 0, game % 4).alias("start_level"), (F.col("counted") + game % 5).alias("end_lines"), (10000 * one(game % 11 == 0)).alias("cheat_points"), one(game % 13 == 0).alias("anomalies"),
+        one(game % 17 == 0).alias("level_offset_steps"), (game % 10).alias("low_frames"), (game % 12).cast("double").alias("lost_seconds"), (game % 25).alias("rejects"), F.when(game % 97 == 0, F.lit("level 300")).alias("out_of_range"),
     )
     return A.validation(summary).select("game_id", F.array_join("issues", ",").alias("issues"), "valid")
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framefold.operators.joins import as_of
+
 from framefold.functions.rules import PIECES
 
 HEAD = (("version", 3), ("game_type", 2), ("player_num", 3), ("gameid", 16), ("ctime_ms", 28))
@@ -161,5 +163,5 @@ def write_recordings(recordings: DataFrame, folder: str, key: str = "game_key",
 
 def replay_seek(records: DataFrame, times: DataFrame, key: str = "path") -> DataFrame:
     """For each (key, at_ms) the last record at or before it; the first record before all; the later among equals."""
-    found = times.join(records.select(key, "idx", "ctime_ms"), key, "left")
-    return found.groupBy(key, "at_ms").agg(F.coalesce(F.max_by("idx", F.when(F.col("ctime_ms") <= F.col("at_ms"), F.struct("ctime_ms", "idx"))), F.lit(0)).alias("idx"))
+    found = as_of(times.select(key, F.col("at_ms").cast("long").alias("at_ms")), records.select(key, F.col("ctime_ms").cast("long").alias("at_ms"), F.col("idx").cast("long").alias("idx")), key, "at_ms", "idx")
+    return found.select(key, "at_ms", F.coalesce("idx", F.lit(0)).alias("idx"))

@@ -71,8 +71,10 @@ def test_menus_alone_start_nothing():
 
 def test_lower_score_must_insist():
     rows = [{"seq": k, "ts": k / 60, "state": "in_game", "conf": 0.9, "score": s, "lines": 9, "level": 0, "piece": None} for k, s in enumerate([500] * 5 + [20] * 5 + [500] + [20] * 6)]
-    assert [r["score"] for r in L.GAME.run(iter(rows))][4::4][:3] == [500, 500, 500]
-    assert L.GAME.run(iter(rows))[-1]["score"] in (20, 500)
+    shown = [r["score"] for r in L.GAME.run(iter(rows))]
+    assert shown[:16] == [500] * 16 and L.Tracked(value=500).read(20, 0.9) is None
+    tracked = L.Tracked()
+    assert [tracked.read(r["score"], 0.9) for r in rows] == [500] * 11 + [500] * 5 + [20]
 
 
 def test_held_number_fades_away():
@@ -104,6 +106,28 @@ def test_clears_and_droughts():
     assert (last["tetrises"], last["tetris_rate"], last["pieces"], last["drought"]) == (1, 1.0, 5, 5)
 
 
+def test_lower_lines_leave_the_baseline():
+    """Lines 10, 9, 10 count no clear; a jump is told as a warning; an uncertain step too."""
+
+    def events_of(lines):
+        state, events = L.fresh_stats(), []
+        for k, n in enumerate(lines):
+            L.observe(state, {"ts": k / 60}, {"lines": n, "score": None, "level": 0}, None, events, 0.5)
+        return state["clears"], [(e["reason"], e["severity"]) for e in events]
+
+    assert events_of([10, 9, 10]) == ([0, 0, 0, 0], [])
+    assert events_of([10, 19, 11]) == ([1, 0, 0, 0], [("lines_jump_ignored", "warn"), ("single", "info")])
+    assert events_of([10, None, 12]) == ([0, 1, 0, 0], [("lines_attribution_uncertain", "warn"), ("double", "info")])
+    assert rules.attribute_clears(2, 350, 0) is None and rules.attribute_clears(2, 230, 0) == (2,) and rules.attribute_clears(2, 85, 0) == (1, 1)
+
+
+def test_cheat_totals():
+    (row,) = L.CHEAT_TOTALS.run(iter(cheat_feed((0, 0, 18, 30), (10000, 0, 18, 200))))
+    assert (row["cheats"], row["cheat_points"], row["anomalies"], row["level_offset_steps"]) == (1, 10000, 0, 0)
+    (row,) = L.CHEAT_TOTALS.run(iter(cheat_feed((0, 0, 5, 30), (8400, 4, 5, 200))))
+    assert (row["clear_points"], row["level_offset_steps"]) == (8400, 1)
+
+
 def test_session_ends():
     fold = L.session_fold(5, 3, 2.0)
     game = [("in_game", 6), ("paused", 50), ("in_game", 2), ("game_over", 3), ("title", 9)]
@@ -128,11 +152,19 @@ def test_publish_waits_and_skips_equals():
 
 def test_latch_curtain_and_animation():
     latched = L.latch_fold(3).run({"seq": k, "base": b} for k, b in enumerate(["dec"] * 3 + [None, "hex"]))
-    assert [r["latched"] for r in latched] == [None, None, "dec", None, None]
+    assert [r["latched"] for r in latched] == [None, None, "dec", "dec", "dec"]
+    reads = [(7, None), (7, None), (7, None), (None, None), (None, 0xA0), (5, 6)]
+    out = L.latched_read_fold(3).run({"seq": k, "dec": d, "hex": h, "dec_conf": 0.9, "hex_conf": 0.9} for k, (d, h) in enumerate(reads))
+    assert [(r["value"], r["latched"]) for r in out] == [(7, None), (7, None), (7, "dec"), (None, "dec"), (0xA0, "hex"), (6, "hex")]
     falling = L.curtain_fold().run({"seq": k, "full_rows": n} for k, n in enumerate([0, 2, 4, 1, 2]))
     assert [r["falling"] for r in falling] == [False, False, True, False, False]
-    on = L.animation_fold().run({"seq": k, "luma": x} for k, x in enumerate([40, 40, 90, 40, 40, 40]))
-    assert [r["animating"] for r in on] == [False, False, True, True, False, False]
+    still = lambda lumas, boards, held=(): L.animation_fold(2).run({"seq": k, "luma": x, "board": b, "suppress": k in held} for k, (x, b) in enumerate(zip(lumas, boards, strict=True)))
+    flashed = still([40, 40, 90, 40, 40, 40], [[0, 1]] * 6)
+    assert [r["animating"] for r in flashed] == [False, False, True, True, False, False]
+    cleared = still([40] * 6, [[1, 3], [1, 2], [1, 0], [0, 1], [0, 1], [0, 1]])
+    assert [r["animating"] for r in cleared] == [False, True, True, True, True, False] and cleared[-1]["expected"] == [0, 1]
+    assert not any(r["animating"] for r in still([40] * 3, [[1, 3], [1, 2], [1, 0]], held=(1,)))
+    assert L.settle_against([0, 1], [0, 1]) and not L.settle_against([0, 0], [3, 3])
     assert L.after_clear([[0, 1], [1, 1], [1, 0]]) == [[0, 0], [0, 1], [1, 0]] and L.mismatches([[0, 1]], [[1, 2]]) == 1
 
 

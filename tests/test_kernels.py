@@ -102,7 +102,10 @@ def test_two_means_and_box():
     assert K.two_means(np.array([[0, 0], [10, 10]])) is None
     image = np.zeros((20, 20), dtype=np.uint8)
     image[2:18, 3:19] = 200
-    assert K.content_box(image) == (3, 2, 16, 16) and K.content_box(np.zeros((4, 4))) is None
+    assert K.content_box(image) == (4, 4, 16, 16) and K.content_box(np.zeros((4, 4))) is None
+    assert K.content_box(np.where(np.arange(20)[:, None] < 8, image, 0)) is None and K.content_box(np.minimum(image, 40)) is None
+    points = np.array([[50.0, 0], [0, 0], [100, 0], [99, 0]])
+    assert sorted(K.two_means(points)[:, 0].tolist()) == [25.0, 99.5]
 
 
 def test_footprints_in_any_turn():
@@ -111,12 +114,6 @@ def test_footprints_in_any_turn():
     assert K.footprint_name([(0, 0), (0, 1), (0, 2)]) is None
 
 
-def test_draws_repeat():
-    a, b = K.Draws(7), K.Draws(7)
-    first = [a.below(10) for _ in range(50)]
-    assert first == [b.below(10) for _ in range(50)] and set(first) <= set(range(10))
-
-
 def test_kernel_over_a_column(spark):
     rows = [(1, bytes(range(12)), 2, 2, 3), (2, None, 2, 2, 3), (3, b"12", 2, 2, 1)]
     frames = spark.createDataFrame(rows, "id long, data binary, width int, height int, channels int")
