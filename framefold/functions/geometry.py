@@ -109,7 +109,8 @@ def aspect_score(aspect: Column) -> Column:
 
 
 def quad_centre(quad: Column) -> Column:
-    return F.array(*(F.aggregate(quad, F.lit(0.0), lambda s, p, k=k: s + at(p, k)) / 4 for k in (0, 1)))
+    mean = lambda k: F.aggregate(F.transform(quad, lambda p: at(p, k)), F.lit(0.0), lambda s, x: s + x) / 4
+    return F.array(mean(0), mean(1))
 
 
 def scaled(rect: Column, sx: Column, sy: Column) -> Column:

@@ -215,10 +215,10 @@ def label_stats(matched: DataFrame, label: str, score: str, margin: str, best: s
 
 def bench_summary(samples: DataFrame, value: str, wall: str) -> DataFrame:
     """One row: frames, mean, greatest, p50 to p99 by nearest rank, and frames a second of wall time."""
-    one = samples.withColumn("__all", F.lit(1))
-    ranks = quantiles(one, ["__all"], value, {f"p{round(100 * q)}": (q, "nearest") for q in (0.5, 0.9, 0.95, 0.99)})
-    sums = one.groupBy("__all").agg(F.count(value).alias("frames"), F.avg(value).alias("mean"), F.max(value).alias("most"), (F.count(value) / (F.max(wall) - F.min(wall))).alias("fps"))
-    return sums.join(ranks, "__all").drop("__all")
+    one = samples.withColumn("__group", F.lit(1))
+    ranks = quantiles(one, ["__group"], value, {f"p{round(100 * q)}": (q, "nearest") for q in (0.5, 0.9, 0.95, 0.99)})
+    sums = one.groupBy("__group").agg(F.count(value).alias("frames"), F.avg(value).alias("mean"), F.max(value).alias("most"), (F.count(value) / (F.max(wall) - F.min(wall))).alias("fps"))
+    return sums.join(ranks, "__group").drop("__group")
 
 
 #: The greatest level, lines and score that a game can show.

@@ -98,7 +98,7 @@ def test_warp_by_identity_and_shift():
 
 
 def test_two_means_and_box():
-    assert K.two_means(np.array([[0, 0], [1, 1], [100, 100], [101, 99]])).tolist() == [[0.5, 0.5], [100.5, 99.5]]
+    assert K.two_means(np.array([[0, 0], [1, 1], [100, 100], [101, 99]])).tolist() == [[100.5, 99.5], [0.5, 0.5]]
     assert K.two_means(np.array([[0, 0], [10, 10]])) is None
     image = np.zeros((20, 20), dtype=np.uint8)
     image[2:18, 3:19] = 200
