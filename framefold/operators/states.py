@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framefold.operators.folds import FADE, FLOOR, Fold, Row
+from framefold.operators.folds import FADE, FLOOR, Fold, Row, session_fold
 from framefold.operators.windows import KEY, ORDER, last_known, ordered, running, weighted_vote
 
 #: A lock's thresholds and streaks.
@@ -150,6 +150,50 @@ def recorder_fold(partial: bool = False, end_frames: int = END_FRAMES, least_fra
     return Fold("gameid long, start_seq long, frames long, recording binary", lambda: {"game": None, "next": 1}, step, finish)
 
 
+def session_events_fold(least_frames: int = 120, end_frames: int = 30, lost_seconds: float = 30.0) -> Fold:
+    """What a station tells of its games: start, cheat and end rows, by the rules of `session_fold`.
+
+    Rows have besides that fold's columns player (whose card is known then), cheat (how many were found with this frame) and
+    gap (seconds without capture before it). A game starts when it is announced; cheats found before are told right after.
+    The first player known during a game is its player. A long gap ends a game before its row counts.
+    """
+    inner = session_fold(least_frames, end_frames, lost_seconds)
+
+    def tell(kind: str, game: Row, seq: int, s: dict[str, Any], **more: Any) -> Row:
+        return {"kind": kind, "start_seq": game["start_seq"], "seq": seq, "player": s["player"], "end_reason": None, "count": None} | more
+
+    def advance(s: dict[str, Any], row: Row) -> list[Row]:
+        before = s["inner"]["game"]
+        out = [tell("end", r, row["seq"], s, end_reason=r["end_reason"]) for r in inner.step(s["inner"], row)]
+        if s["inner"]["game"] is not before:
+            s.update(player=None, announced=False, early=[])
+        return out
+
+    def step(s: dict[str, Any], row: Row) -> list[Row]:
+        out: list[Row] = []
+        game = s["inner"]["game"]
+        if game is not None and (row.get("gap") or 0.0) >= lost_seconds:
+            game["lost"] = row["ts"] - row["gap"]
+            out += advance(s, {"seq": row["seq"], "ts": row["ts"], "state": "no_signal"})
+        out += advance(s, row)
+        game = s["inner"]["game"]
+        if game is None:
+            return out
+        s["player"] = s["player"] or row.get("player")
+        if row.get("cheat"):
+            s["early"].append((row["seq"], row["cheat"]))
+        if game["announced"]:
+            out += [] if s["announced"] else [tell("start", game, row["seq"], s)]
+            out += [tell("cheat", game, seq, s, count=n) for seq, n in s["early"]]
+            s.update(announced=True, early=[])
+        return out
+
+    def end(s: dict[str, Any]) -> list[Row]:
+        return [tell("end", r, r["start_seq"], s, end_reason=r["end_reason"]) for r in inner.end(s["inner"])]
+
+    return Fold("kind string, start_seq long, seq long, player string, end_reason string, count long", lambda: {"inner": inner.start(), "player": None, "announced": False, "early": []}, step, end)
+
+
 # Holds that are windows
 
 
