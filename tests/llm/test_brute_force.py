@@ -378,6 +378,76 @@ def test_edited_crops_are_found(spark, sf_dir):
     assert len(got) == 240 and all(got[i] == i // 2 * 2 for i in got)
 
 
+def transformed(image, turn=0.0, factor=1.0, shift=(0.0, 0.0), size=None):
+    """The image turned by degrees and scaled around its middle, nearest or bilinear samples."""
+    h, w = image.shape
+    size = size or (round(h * factor), round(w * factor))
+    y, x = np.mgrid[0 : size[0], 0 : size[1]].astype(float)
+    z = ((x - (size[1] - 1) / 2) + 1j * (y - (size[0] - 1) / 2)) * np.exp(1j * np.deg2rad(turn)) / factor
+    sx, sy = z.real + (w - 1) / 2 + shift[0], z.imag + (h - 1) / 2 + shift[1]
+    x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
+    at = lambda v, u: np.where((v >= 0) & (v < h) & (u >= 0) & (u < w), image[np.clip(v, 0, h - 1), np.clip(u, 0, w - 1)], 0)
+    fx, fy = sx - x0, sy - y0
+    return (1 - fy) * ((1 - fx) * at(y0, x0) + fx * at(y0, x0 + 1)) + fy * ((1 - fx) * at(y0 + 1, x0) + fx * at(y0 + 1, x0 + 1))
+
+
+EDITS = {
+    "turned 15": lambda i: transformed(i, 15),
+    "turned 90": lambda i: np.rot90(i),
+    "turned 200": lambda i: transformed(i, 200),
+    "larger": lambda i: transformed(i, 0, 1.25),
+    "a little larger": lambda i: transformed(i, 0, 1.1),
+    "smaller": lambda i: transformed(i, 0, 0.8),
+    "half": lambda i: i.reshape(48, 2, 48, 2).mean(axis=(1, 3)),
+    "crop": lambda i: i[20:76, 18:78],
+    "bright": lambda i: np.clip(i * 1.2 + 10, 0, 255),
+    "noise": lambda i: np.clip(i + np.random.default_rng(1).normal(0, 6, i.shape), 0, 255),
+    "mixed": lambda i: np.clip(transformed(i, 8, 1.12)[10:90, 10:90] * 0.8 + 20, 0, 255),
+}
+
+
+#: Halves of 96 pixels, crops of 60 x 56 and several edits at once: too few patches stay whole or alike.
+LOW = ("half", "crop", "mixed")
+
+
+def test_recall_of_image_edits(spark, sf_dir):
+    """Each edit's share of copies that are found is 0.9 and more, but for those that leave few patches whole (LOW); no two of different images are linked."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").limit(40)
+    own = {r["image_id"] // 2: np.frombuffer(r["pixels"], dtype=np.uint8).reshape(96, 96).astype(float) for r in images.rendered(vectors).where("image_id % 2 = 0").collect()}
+    rows = [(1000 * n + k, f(i)) for k, i in own.items() for n, f in enumerate([lambda i: i, *EDITS.values()])]
+    frame = spark.createDataFrame([(k, i.shape[1], i.shape[0], bytearray(np.rint(i).astype(np.uint8).tobytes())) for k, i in rows], "image_id long, width int, height int, pixels binary")
+    got = {r["image_id"]: r for r in images.image_copies(frame).collect()}
+    recall = {name: sum(got[1000 * n + k]["class_id"] == k for k in own) / len(own) for n, name in enumerate(EDITS, 1)}
+    assert all(r["class_id"] % 1000 == i % 1000 for i, r in got.items())
+    print(recall)
+    assert min(share for name, share in recall.items() if name not in LOW) >= 0.9, recall
+
+
+def test_long_lists_of_descriptors_keep_groups_whole(monkeypatch):
+    """Through leaders or pair by pair, and over batches of any length, lists join the same images."""
+    rng = np.random.default_rng(3)
+    centres = rng.integers(-(1 << 62), 1 << 62, (3, 2))
+    rows = []
+    for image in range(90):
+        bits = centres[image % 3].copy()
+        for b in rng.choice(64, rng.integers(0, 4), replace=False):
+            bits[0] ^= np.int64(1) << np.int64(b)
+        rows.append((0, image // 45 * 0, image, image, int(bits[0]), int(bits[1])))
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if k < 2 else pa.int64()) for k in range(6)], images.POSTED)
+
+    def groups_of(long, step):
+        monkeypatch.setattr(images, "LONG", long)
+        root = list(range(90))
+        for b in images.match(batch.slice(k, step) for k in range(0, 90, step)):
+            for r in b.to_pylist():
+                low, high = sorted((root[r["a"]], root[r["b"]]))
+                root = [low if x == high else x for x in root]
+        return root
+
+    want = [k % 3 for k in range(90)]
+    assert all(groups_of(long, step) == want for long in (5, 1000) for step in (1, 7, 90))
+
+
 def test_top_k_is_all_pairs(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
     ids = np.array([r["vec_id"] for r in rows])
