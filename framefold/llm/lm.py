@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framefold.llm.common import blocks, dealt_key, even_keys, held_out
+from framefold.llm.common import blocks, dealt_key, even_keys, held_out, slices
 
 ADDED = 0.1
 ORDER = 2
@@ -36,6 +36,8 @@ MU = 100.0
 #: Stands for a text's end, and for what comes before its first word; holds a space, so no word equals it.
 END = b" end"
 ROOT = 0
+#: Bytes of text that are worked on at a time.
+PIECE = 1 << 21
 #: Tokens of a stretch of text that steps beside others.
 STRETCH = 512
 
@@ -44,11 +46,11 @@ class Grams:
     """The tokens of some texts and their distinct n-grams, sorted by key."""
 
     def __init__(self, texts: pa.ChunkedArray | pa.Array, order: int):
-        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts.take(pa.array(np.arange(len(texts))))  # a slice of its own
         words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
         lengths = np.diff(words.offsets.to_numpy())
         coded = words.flatten().dictionary_encode()
-        which, text_of = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(lengths)), lengths)
+        which, text_of = coded.indices.to_numpy(), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         names = [w.encode() for w in coded.dictionary.to_pylist()]
         if b"" in names:  # white space at a text's edge
             keep = which != names.index(b"")
@@ -57,9 +59,9 @@ class Grams:
         #: Where each text's tokens end in `tokens`; the end token is the last of each.
         self.ends = np.cumsum(counts + 1)
         self.starts = self.ends - counts - 1
-        self.text_of = np.repeat(np.arange(len(lengths)), counts + 1)
+        self.text_of = np.repeat(np.arange(len(lengths), dtype=np.int32), counts + 1)
         end = len(names)  # the end token
-        self.tokens = np.full(len(which) + len(lengths), end, dtype=np.int64)
+        self.tokens = np.full(len(which) + len(lengths), end, dtype=np.int32)
         is_word = np.ones(len(self.tokens), dtype=bool)
         is_word[self.ends - 1] = False
         self.tokens[is_word] = which
@@ -78,7 +80,7 @@ class Grams:
                 found = mixed(shifted * np.uint64(0x9E3779B97F4A7C15) + key + np.uint64(n))
             whole = np.arange(len(found)) - self.starts[self.text_of] >= n - 2
             keys, at = np.unique(found[whole], return_inverse=True)
-            places = np.full(len(found), -1)
+            places = np.full(len(found), -1, dtype=np.int32)
             places[whole] = at
             self.keys.append(keys)
             self.places.append(places)
@@ -89,6 +91,16 @@ class Grams:
         return [np.bincount(p[use & (p >= 0)], minlength=len(k)).astype(np.uint32) for k, p in zip(self.keys, self.places, strict=True)]
 
 
+def pieces_of(rows: pa.Table, order: int) -> list[tuple[pa.RecordBatch, Grams]]:
+    """The rows in order, about PIECE bytes of text at a time, with their n-grams: what is worked on at once stays small."""
+    return [(part, Grams(part.column("text"), order)) for batch in rows.to_batches() for part in slices(batch, "text", PIECE)]
+
+
+def all_keys(pieces: list[tuple[pa.RecordBatch, Grams]], order: int) -> list[np.ndarray]:
+    """The distinct keys of all pieces, sorted, for each order."""
+    return [np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(g.keys[n] for _, g in pieces)])) for n in range(order)]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -200,14 +212,18 @@ def score(docs: DataFrame, folds: int = 10, fold: int = 0, order: int = ORDER, m
         rows = pa.Table.from_batches(batches)
         for block in rows.column("block").unique().to_pylist():
             own = rows.filter(pc.equal(rows.column("block"), block))
-            grams = Grams(own.column("text"), order)
-            counts = grams.counts(~own.column("held_out").to_numpy())
-            cuts = [np.concatenate(([0], np.searchsorted(k, edges), [len(k)])) for k in grams.keys]
+            pieces = pieces_of(own, order)
+            every = all_keys(pieces, order)
+            counts = [np.zeros(len(k), dtype=np.uint32) for k in every]
+            for part, grams in pieces:
+                for n, c in enumerate(grams.counts(~part.column("held_out").to_numpy(zero_copy_only=False))):
+                    counts[n][np.searchsorted(every[n], grams.keys[n])] += c
+            cuts = [np.concatenate(([0], np.searchsorted(k, edges), [len(k)])) for k in every]
             for s in range(parts):
                 if not any(c[s + 1] > c[s] for c in cuts):
                     continue
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([keys[s]], pa.int32()), pa.array([block], pa.int32()), pa.array([[k[c[s] : c[s + 1]].tobytes() for k, c in zip(grams.keys, cuts, strict=True)]], pa.list_(pa.binary())), pa.array([[k[c[s] : c[s + 1]].tobytes() for k, c in zip(counts, cuts, strict=True)]], pa.list_(pa.binary()))],
+                    [pa.array([keys[s]], pa.int32()), pa.array([block], pa.int32()), pa.array([[k[c[s] : c[s + 1]].tobytes() for k, c in zip(every, cuts, strict=True)]], pa.list_(pa.binary())), pa.array([[k[c[s] : c[s + 1]].tobytes() for k, c in zip(counts, cuts, strict=True)]], pa.list_(pa.binary()))],
                     ["shard", "block", "keys", "counts"],
                 )
 
@@ -243,20 +259,20 @@ def score(docs: DataFrame, folds: int = 10, fold: int = 0, order: int = ORDER, m
         said = replies.column("totals").to_pylist()
         totals = [np.concatenate([np.frombuffer(x[n], dtype=np.uint64) for x in said]) for n in range(order)]
         tokens, distinct = replies.column("tokens")[0].as_py(), replies.column("distinct")[0].as_py()
-        grams = Grams(own.column("text"), order)
-        automaton = Automaton(grams, totals, tokens, distinct, mu)
-        of_token = totals[0][grams.places[0]]
-        add = lambda x: np.add.reduceat(x, grams.starts)
-        return pa.table(
-            {
-                id_column: own.column("id"),
-                "held_out": own.column("held_out"),
+        pieces = pieces_of(own, order)
+        every, out = all_keys(pieces, order), []
+        for part, grams in pieces:
+            known = [totals[n][np.searchsorted(every[n], k)] for n, k in enumerate(grams.keys)]
+            automaton = Automaton(grams, known, tokens, distinct, mu)
+            add = lambda x, g=grams: np.add.reduceat(x, g.starts)
+            columns = {
                 "n_tokens": pa.array(grams.ends - grams.starts),
-                "n_known": pa.array(add((of_token > 0).astype(np.int64))),
+                "n_known": pa.array(add((known[0][grams.places[0]] > 0).astype(np.int64))),
                 "train_tokens": pa.array(np.full(len(grams.ends), tokens, dtype=np.int64)),
                 "base_score": pa.array(add(automaton.base[grams.places[0]])),
                 "score": pa.array(add(automaton.walk())),
             }
-        )
+            out.append(pa.table({id_column: part.column("id"), "held_out": part.column("held_out"), **columns}))
+        return pa.concat_tables(out)
 
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(judge, f"`{id_column}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -137,6 +137,18 @@ def test_the_walk_is_the_recursion(order):
         assert machine.walk(stretch) == pytest.approx(want)
 
 
+def test_pieces_of_a_block_count_as_the_whole(monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices(["é", "bb", "ccc", "日本", "\u00a0x"], k=rng.randint(0, 30))) if k % 7 else None for k in range(60)]
+    rows = pa.table({"text": pa.array(texts), "held_out": [k % 3 == 0 for k in range(60)]})
+    whole = lm.Grams(rows.column("text"), 3)
+    monkeypatch.setattr(lm, "PIECE", 90)
+    pieces = lm.pieces_of(rows, 3)
+    assert len(pieces) > 5 and [x for part, _ in pieces for x in part.column("text").to_pylist()] == texts
+    assert all(np.array_equal(a, b) for a, b in zip(lm.all_keys(pieces, 3), whole.keys, strict=True))
+    assert sum(len(g.tokens) for _, g in pieces) == len(whole.tokens)
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_probabilities_add_to_one(order):
     rng = random.Random(2)
