@@ -36,8 +36,8 @@ MU = 100.0
 #: Stands for a text's end, and for what comes before its first word; holds a space, so no word equals it.
 END = b" end"
 ROOT = 0
-#: Bytes of text that are worked on at a time.
-PIECE = 1 << 21
+#: Bytes of text that are scored at a time.
+PIECE = 1 << 22
 #: Tokens of a stretch of text that steps beside others.
 STRETCH = 512
 
@@ -92,7 +92,7 @@ class Grams:
 
 
 def pieces_of(rows: pa.Table, order: int) -> list[tuple[pa.RecordBatch, Grams]]:
-    """The rows in order, about PIECE bytes of text at a time, with their n-grams: what is worked on at once stays small."""
+    """The rows in order, about PIECE bytes of text at a time, with their n-grams: the automaton of a piece stays small."""
     return [(part, Grams(part.column("text"), order)) for batch in rows.to_batches() for part in slices(batch, "text", PIECE)]
 
 
@@ -212,12 +212,8 @@ def score(docs: DataFrame, folds: int = 10, fold: int = 0, order: int = ORDER, m
         rows = pa.Table.from_batches(batches)
         for block in rows.column("block").unique().to_pylist():
             own = rows.filter(pc.equal(rows.column("block"), block))
-            pieces = pieces_of(own, order)
-            every = all_keys(pieces, order)
-            counts = [np.zeros(len(k), dtype=np.uint32) for k in every]
-            for part, grams in pieces:
-                for n, c in enumerate(grams.counts(~part.column("held_out").to_numpy(zero_copy_only=False))):
-                    counts[n][np.searchsorted(every[n], grams.keys[n])] += c
+            grams = Grams(own.column("text"), order)
+            every, counts = grams.keys, grams.counts(~own.column("held_out").to_numpy())
             cuts = [np.concatenate(([0], np.searchsorted(k, edges), [len(k)])) for k in every]
             for s in range(parts):
                 if not any(c[s + 1] > c[s] for c in cuts):
