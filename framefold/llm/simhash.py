@@ -279,8 +279,8 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 #: Near duplicates by content: shingle words, and the least similarity of two shingle sets.
 CONTENT_SHINGLE, SIMILAR = 5, 0.8
-#: Lists of up to so many sets give all pairs at once; shingles are counted in so many buckets of their hashes.
-SMALL_LIST, BUCKETS = 8, 1 << 16
+#: Lists of up to so many sets give all pairs at once; so many of the most frequent shingles are told apart, and a task holds about so many while it counts.
+SMALL_LIST, FREQUENT, HELD = 8, 1 << 16, 1 << 21
 #: A sketch holds so many least hashes of a set, or the share of it that is more. It rules pairs out for certain; whole sets decide on the others.
 SKETCH, SKETCH_SHARE = 128, 4
 
@@ -298,30 +298,48 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh32_intdigest(joined[a:b]) for a, b in zip(starts[:n], ends[min(CONTENT_SHINGLE, len(ends)) - 1 :], strict=True)], dtype=np.uint32))
 
 
-def bucket_counts(docs: DataFrame) -> np.ndarray:
-    """How many shingles of all rows fall in each bucket of hashes: frequent shingles stand out, and every task and the driver hold BUCKETS counts."""
+def compact(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct hashes with their counts; where these are over HELD, hashes that came once are let go."""
+    found, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    total = np.bincount(at, np.concatenate(counts)).astype(np.int64)
+    if len(found) > HELD:
+        found, total = found[total > 1], total[total > 1]
+    return [found], [total]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, dtype=np.int64)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                found = np.concatenate([shingle_set(words_of(t)) for t in part.column("text").to_pylist()])
-                counts += np.bincount(found % np.uint32(BUCKETS), minlength=BUCKETS)
-        parts = counts.reshape(64, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "counts"])
-
-    def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, dtype=np.int64) for x in rows.column("counts").to_pylist())
-        return pa.table({"part": rows.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    rows = docs.select("text").mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    return np.concatenate([np.frombuffer(r["counts"], dtype=np.int64) for r in sorted(rows, key=lambda r: r["part"])]) if rows else np.zeros(BUCKETS, dtype=np.int64)
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes, ascending, and counts of the most frequent shingles of all rows, FREQUENT at most.
 
+    Tasks tell what came twice and more in their rows. The counts put shingles in an order, and nothing else depends on them.
+    """
 
-def prefix_of(shingles: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """The first shingles in the order (their bucket's count, hash), one of which any set at SIMILAR has among its own first; and how frequent all are."""
-    level = counts[shingles % np.uint32(BUCKETS)]
-    n = len(shingles)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts, pending = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)], 0
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for t in part.column("text").to_pylist():
+                    hashes.append(shingle_set(words_of(t)))
+                    counts.append(np.ones(len(hashes[-1]), dtype=np.int64))
+                    pending += len(hashes[-1])
+                if pending > HELD:
+                    hashes, counts = compact(hashes, counts)
+                    pending = 0
+        (found,), (total,) = compact(hashes, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(found[total > 1].astype(np.int64)), pa.array(total[total > 1])], ["hash", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "hash long, n long")
+    top = counted.groupBy("hash").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hash").limit(FREQUENT).collect()
+    found = np.array(sorted((r["hash"], r["n"]) for r in top), dtype=np.int64).reshape(-1, 2)
+    return found[:, 0].astype(np.uint32), found[:, 1]
+
+
+def prefix_of(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
+    """The first shingles in the order (count, hash), one of which any set at SIMILAR has among its own first; and how frequent all are."""
+    hashes, counts = frequent
+    level, n = np.zeros(len(shingles), dtype=np.int64), len(shingles)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
+        level = np.where(hashes[at] == shingles, counts[at], 0)
     return shingles[np.argsort(level, kind="stable")[: n - (4 * n + 4) // 5 + 1]], int(1000 * np.log2(1 + level).mean())
 
 
@@ -330,10 +348,10 @@ def parity_of(shingles: np.ndarray) -> list[int]:
     return np.packbits((np.bincount(shingles & np.uint32(127), minlength=128) & 1).astype(np.uint8)).view(np.int64).tolist()
 
 
-def content(text: str | None, counts: np.ndarray) -> tuple:
+def content(text: str | None, frequent: tuple[np.ndarray, np.ndarray]) -> tuple:
     """A digest of the shingle set, its size, frequency, parities, least hash, least hashes, and prefix."""
     shingles = shingle_set(words_of(text))
-    prefix, common = prefix_of(shingles, counts)
+    prefix, common = prefix_of(shingles, frequent)
     digest = int(np.array(xxhash.xxh3_64_intdigest(shingles.tobytes()), dtype=np.uint64).view(np.int64))
     return digest, len(shingles), common, *parity_of(shingles), int(shingles[0]), shingles[: max(SKETCH, len(shingles) // SKETCH_SHARE)].tobytes(), prefix.tobytes()
 
@@ -495,13 +513,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     without an id take no part.
     """
     docs = docs.where(F.col(id_column).isNotNull())
-    counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
     longs = ("node", "size", "common", "parity0", "parity1", "mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = list(zip(*(content(t, counts.value) for t in part.column("text").to_pylist()), strict=True))
+                found = list(zip(*(content(t, frequent.value) for t in part.column("text").to_pylist()), strict=True))
                 kinds = [*(pa.int64() for _ in longs), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(found, kinds, strict=True))], [id_column, *longs, "sketch", "prefix"])
 
