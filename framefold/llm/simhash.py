@@ -357,18 +357,21 @@ def content(text: str | None, frequent: tuple[np.ndarray, np.ndarray]) -> tuple:
 
 
 def prefix_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, size, common, mark) of each shingle in the prefixes of (node, size, common, mark, prefix)."""
+    """(key, node, size, common, mark, left) of each shingle in the prefixes of (node, size, common, mark, prefix); left is how many of the set's shingles it and those after it are."""
     for batch in batches:
         if not batch.num_rows:
             continue
         prefixes = batch.column(4).to_pylist()
         times = [len(x) // 4 for x in prefixes]
         keys = pa.array(np.frombuffer(b"".join(prefixes), dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([keys, *(pa.array(np.repeat(batch.column(k).to_numpy(), times)) for k in range(4))], ["key", "node", "size", "common", "mark"])
+        columns = [np.repeat(batch.column(k).to_numpy(), times) for k in range(4)]
+        place = np.arange(len(keys)) - np.repeat(np.cumsum(times) - times, times)
+        yield pa.RecordBatch.from_arrays([keys, *(pa.array(c) for c in columns), pa.array(columns[1] - place)], ["key", "node", "size", "common", "mark", "left"])
 
 
-def similar_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
+def may_be_similar(size_a: np.ndarray, size_b: np.ndarray, left_a: np.ndarray, left_b: np.ndarray) -> np.ndarray:
+    """Whether two sets can be at SIMILAR if the list's shingle is the first that they share: they share no more than what is left of either."""
+    return 9 * np.minimum(left_a, left_b) >= 4 * (size_a + size_b)
 
 
 def first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +381,7 @@ def first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     looks at what these leave open. A list is named by its members, so equal lists are one. A list's members are held together, 28 bytes each.
     """
 
-    def close(key: np.ndarray, node: np.ndarray, size: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
+    def close(key: np.ndarray, node: np.ndarray, size: np.ndarray, common: np.ndarray, left: np.ndarray) -> pa.RecordBatch:
         new = np.concatenate(([True], key[1:] != key[:-1]))
         begins = np.flatnonzero(new)
         sizes = np.diff(np.append(begins, len(key)))
@@ -391,18 +394,18 @@ def first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = np.lexsort((-common, of))[begins]  # the most frequent member of each list
             pairs += [np.stack([best[of[long]], long]), np.stack([long[~new[long]] - 1, long[~new[long]]])]
         i, j = np.concatenate(pairs, axis=1)
-        good = similar_sizes(size[i], size[j]) & (node[i] != node[j])
+        good = may_be_similar(size[i], size[j], left[i], left[j]) & (node[i] != node[j])
         a, b = np.minimum(node[i], node[j])[good], np.maximum(node[i], node[j])[good]
         a, b = np.unique(np.stack([a, b]), axis=1) if len(a) else (a, b)
         named = np.add.reduceat(node.view(np.uint64) * (node.view(np.uint64) | np.uint64(1)), begins).view(np.int64)[of[long]]
         none = np.zeros(len(a), dtype=np.int64), np.zeros(len(long), dtype=np.int64)
         is_pair = np.arange(len(a) + len(long)) < len(a)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, node[long]])), pa.array(np.concatenate([b, none[1]]), mask=~is_pair), pa.array(np.concatenate([none[0], named]), mask=is_pair)], ["a", "b", "list"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, node[long]])), pa.array(np.concatenate([b, none[1]]), mask=~is_pair), pa.array(np.concatenate([none[0], named]), mask=is_pair), pa.array(np.concatenate([none[0], left[long]]))], ["a", "b", "list", "left"])
 
     held = None
     for batch in with_end(batches):
         if batch is not None:
-            columns = [batch.column(k).to_numpy() for k in range(4)]
+            columns = [batch.column(k).to_numpy() for k in range(5)]
             held = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
         if held is None or not len(held[0]):
             continue
@@ -413,13 +416,13 @@ def first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rest_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs (a, b) of a list that are of different classes and can be at SIMILAR by size and parity.
+    """All pairs (a, b) of a list that are of different classes and can be at SIMILAR by size, by what is left, and by parity.
 
-    Members come as (list, node, class, size, parity0, parity1), sorted by list and size, and are held list by list.
+    Members come as (list, node, class, size, left, parity0, parity1), sorted by list and size, and are held list by list.
     """
 
     def close(run: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        _, node, group, size, *parity = run
+        _, node, group, size, left, *parity = run
         if (group == group[0]).all():
             return
         bits = np.stack(parity, axis=1).view(np.uint64)
@@ -427,7 +430,7 @@ def rest_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         found, count = [], 0
         for i, end in enumerate(upto):
             differ = np.bitwise_count(bits[i + 1 : end] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            k = np.flatnonzero((group[i + 1 : end] != group[i]) & (9 * differ <= size[i + 1 : end] + size[i])) + i + 1
+            k = np.flatnonzero((group[i + 1 : end] != group[i]) & (9 * differ <= size[i + 1 : end] + size[i]) & may_be_similar(size[i + 1 : end], size[i], left[i + 1 : end], left[i])) + i + 1
             found.append(np.stack([np.full(len(k), node[i]), node[k]]))
             count += len(k)
             if count > 1 << 16 or i == len(upto) - 1:
@@ -438,7 +441,7 @@ def rest_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     held = None
     for batch in with_end(batches):
         if batch is not None:
-            columns = [batch.column(k).to_numpy() for k in range(6)]
+            columns = [batch.column(k).to_numpy() for k in range(7)]
             held = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
         if held is None or not len(held[0]):
             continue
@@ -508,8 +511,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """(id, component): classes of documents whose five-word shingle sets are at least SIMILAR alike.
 
     Documents of equal shingle sets are one node. Two sets at SIMILAR share a shingle among the first fifth of each in any
-    common order, here that of frequency; each such shingle has a list of the nodes that hold it there. Pairs in a list are
-    compared, or are of one class already, so no pair at SIMILAR is left out. Documents without words are one class; rows
+    common order, here that of frequency; each such shingle has a list of the nodes that hold it there. Pairs in a list that can
+    be at SIMILAR if that shingle is the first they share are compared, or are of one class already, so no pair at SIMILAR is left out. Documents without words are one class; rows
     without an id take no part.
     """
     docs = docs.where(F.col(id_column).isNotNull())
@@ -528,16 +531,17 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     rows = materialize(rows, "contents")
     parts = blocks(docs.sparkSession)
     nodes = materialize(rows.groupBy("node").agg(F.min(id_column).alias("least"), *(F.min(c).alias(c) for c in (*longs[1:], "sketch", "prefix"))), "nodes")
-    postings = nodes.where("size >= 4").select("node", "size", "common", "mark", "prefix").mapInArrow(prefix_postings, "key int, node long, size long, common long, mark long")
-    postings = postings.repartition(parts, "key").sortWithinPartitions("key", "mark", "node").select("key", "node", "size", "common")
-    found = materialize(postings.mapInArrow(first_pairs, "a long, b long, list long"), "first")
+    postings = nodes.where("size >= 4").select("node", "size", "common", "mark", "prefix").mapInArrow(prefix_postings, "key int, node long, size long, common long, mark long, left long")
+    postings = postings.repartition(parts, "key").sortWithinPartitions("key", "mark", "node").select("key", "node", "size", "common", "left")
+    found = materialize(postings.mapInArrow(first_pairs, "a long, b long, list long, left long"), "first")
     pairs = materialize(found.where("list IS NULL").select("a", "b").distinct(), "pairs")
     links = materialize(alike(pairs, nodes, docs, id_column), "likes")
     classes = connected_components(links).select("node", F.col("component").alias("class"))
-    lists = found.where("list IS NOT NULL").select("list", F.col("a").alias("node")).distinct()
+    # lists of equal members are one; the most that is left in any of them rules nothing out that one of them keeps
+    lists = found.where("list IS NOT NULL").groupBy("list", F.col("a").alias("node")).agg(F.max("left").alias("left"))
     if lists.limit(1).count():
         placed = lists.join(nodes.select("node", "size", "parity0", "parity1"), "node").join(classes, "node", "left")
-        placed = placed.select("list", "node", F.coalesce("class", "node").alias("class"), "size", "parity0", "parity1")
+        placed = placed.select("list", "node", F.coalesce("class", "node").alias("class"), "size", "left", "parity0", "parity1")
         rest = placed.repartition(parts, "list").sortWithinPartitions("list", "size", "node").mapInArrow(rest_of_pairs, "a long, b long").distinct()
         rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
         more = alike(rest, nodes, docs, id_column)

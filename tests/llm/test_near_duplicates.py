@@ -64,7 +64,7 @@ def test_long_lists_leave_no_pair_out():
     lists = {key: np.sort(rng.choice(np.arange(1, 400), n, replace=False)) for key, n in enumerate((1, 2, 5, 8, 9, 60, 200))}
     size = lambda node: 100 + node % 40
     rows = np.concatenate([np.stack([np.full(len(x), key), x, size(x), x % 7]) for key, x in lists.items()], axis=1)
-    batch = pa.RecordBatch.from_arrays([pa.array(rows[0].astype(np.int32)), *(pa.array(r) for r in rows[1:])], ["key", "node", "size", "common"])
+    batch = pa.RecordBatch.from_arrays([pa.array(rows[0].astype(np.int32)), *(pa.array(r) for r in rows[1:]), pa.array(rows[2])], ["key", "node", "size", "common", "left"])
     want = {(a, b) for x in lists.values() for a, b in combinations(x.tolist(), 2) if 5 * min(size(a), size(b)) >= 4 * max(size(a), size(b))}
     for step in (1, 7, 1000):
         out = [r for b in simhash.first_pairs(batch.slice(k, step) for k in range(0, batch.num_rows, step)) for r in b.to_pylist()]
@@ -72,7 +72,7 @@ def test_long_lists_leave_no_pair_out():
         long = sorted({(r["list"], size(r["a"]), r["a"]) for r in out if r["list"] is not None})
         assert first <= want and {n for _, _, n in long} == set(lists[4]) | set(lists[5]) | set(lists[6])
         group = {n: n % 3 for _, _, n in long}
-        members = pa.table({"list": [r[0] for r in long], "node": [r[2] for r in long], "class": [group[r[2]] for r in long], "size": [r[1] for r in long], "p": [0] * len(long), "q": [0] * len(long)})
+        members = pa.table({"list": [r[0] for r in long], "node": [r[2] for r in long], "class": [group[r[2]] for r in long], "size": [r[1] for r in long], "left": [r[1] for r in long], "p": [0] * len(long), "q": [0] * len(long)})
         rest = {(r["a"], r["b"]) for b in simhash.rest_of_pairs(iter(members.to_batches(max_chunksize=step))) for r in b.to_pylist()}
         assert rest <= want and all(p in first or p in rest or group[p[0]] == group[p[1]] for p in want)
 
