@@ -280,7 +280,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 #: Near duplicates by content: shingle words, and the least similarity of two shingle sets.
 CONTENT_SHINGLE, SIMILAR = 5, 0.8
 #: Lists of up to so many sets give all pairs at once; so many of the most frequent shingles are told apart, and a task holds about so many while it counts.
-SMALL_LIST, FREQUENT, HELD = 8, 1 << 16, 1 << 21
+SMALL_LIST, FREQUENT, HELD = 8, 1 << 16, 1 << 20
 #: A sketch holds so many least hashes of a set, or the share of it that is more. It rules pairs out for certain; whole sets decide on the others.
 SKETCH, SKETCH_SHARE = 128, 4
 
@@ -358,9 +358,7 @@ def content(text: str | None, frequent: tuple[np.ndarray, np.ndarray]) -> tuple:
 
 def prefix_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, node, size, common, mark, left) of each shingle in the prefixes of (node, size, common, mark, prefix); left is how many of the set's shingles it and those after it are."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
         prefixes = batch.column(4).to_pylist()
         times = [len(x) // 4 for x in prefixes]
         keys = pa.array(np.frombuffer(b"".join(prefixes), dtype=np.int32))
