@@ -10,8 +10,8 @@ their differing bits. Within a posting list only a spanning forest of the links
 without all pairs. A posting list of over `DIRECT` members is cut again, on further tasks, by the nibbles of the bytes left
 over; what remains in such a list differs in 16 bits at most and is looked up by flipped bits.
 
-Near duplicates by content don't use fingerprints: their candidates come from prefixes of the shingle sets, which leave no
-pair at `SIMILAR` out.
+`keep_one` takes the classes of these links, joined with near duplicates by content, which fingerprints miss: the candidates
+of those come from prefixes of the shingle sets, which leave no pair at `SIMILAR` out.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; repeated rows share a class;
 an empty table gives no rows; a null id has a fingerprint and is a member, and names a class only if all its ids are
@@ -550,13 +550,23 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return rows.join(of_node, "node").select(id_column, "component")
 
 
+def joint_classes(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """(id, component): the least id that links by fingerprint, as in `near_copies`, and by content, as in `near_duplicates`, reach; rows without an id take no part."""
+    docs = docs.where(F.col(id_column).isNotNull())
+    member = F.col(id_column).alias("a"), F.col("component").alias("b")
+    links = near_copies(docs, id_column).select(*member).unionByName(near_duplicates(docs, id_column).select(*member))
+    classes = connected_components(links)
+    ids = docs.select(id_column).distinct()
+    return ids.join(classes, F.col(id_column) == F.col("node"), "left").select(id_column, F.coalesce("component", id_column).alias("component"))
+
+
 def keep_one(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The rows of docs, unchanged, that lead their class of near duplicates: one row for each, that with its least id.
+    """The rows of docs, unchanged, that lead their class of near copies by fingerprint and content: one row for each, that with its least id.
 
     Of several rows with a class's least id, one stays. Rows without an id can't be told apart and all stay.
     """
     named = docs.where(F.col(id_column).isNotNull())
-    leaders = near_duplicates(named, id_column).where(F.col(id_column) == F.col("component")).select(id_column)
+    leaders = joint_classes(named, id_column).where(F.col(id_column) == F.col("component")).select(id_column)
     order = Window.partitionBy(id_column).orderBy(F.xxhash64(*docs.columns))
     first = named.join(leaders, id_column, "left_semi").withColumn("__framefold_rank", F.row_number().over(order)).where("__framefold_rank = 1")
     return docs.where(F.col(id_column).isNull()).unionByName(first.drop("__framefold_rank").select(docs.columns))

@@ -92,3 +92,20 @@ def test_texts_over_one_set_of_words(spark):
     want = plain(texts)
     assert set(want.values()) == {0}
     assert classes(spark, texts) == want
+
+
+def test_one_row_stays_of_fingerprint_and_content_classes(spark):
+    """Links by fingerprint count beside those by content, and classes join through both."""
+    rng = random.Random(15)
+    tail = lambda n: [f"tail{rng.randrange(10**9)}" for _ in range(n)]
+    phrase = [f"p{k}" for k in range(9)] * 60
+    first, second = phrase + tail(40), phrase + tail(40)
+    third = second[:-2] + tail(2)
+    texts = [" ".join(x) for x in (first, second, third, tail(200))]
+    bits = [simhash.fingerprint(t) for t in texts]
+    assert (bits[0] ^ bits[1]).bit_count() <= simhash.MOST_BITS < (bits[0] ^ bits[3]).bit_count()
+    assert plain(texts[:2]) == {0: 0, 1: 1} and classes(spark, texts)[1] == 1
+    frame = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string")
+    assert {r["doc_id"]: r["component"] for r in simhash.joint_classes(frame).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(frame).collect()]
+    assert sorted(kept, key=str) == sorted([(0, texts[0]), (3, texts[3]), (None, texts[0])], key=str)
