@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framefold.llm.common import blocks, materialize, slices
+from framefold.llm.common import blocks, discard, materialize, slices
 from framefold.llm.components import connected_components
 
 SEED = 42
@@ -547,7 +547,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     named = materialize(nodes.select("node", "least").join(classes, "node", "left").select("node", "least", F.coalesce("class", "node").alias("class")), "classes")
     least = materialize(named.groupBy("class").agg(F.min("least").alias("component")), "least")
     of_node = materialize(named.join(least, "class").select("node", "component"), "components")
-    return rows.join(of_node, "node").select(id_column, "component")
+    out = materialize(rows.join(of_node, "node").select(id_column, "component"), "near-duplicates")
+    discard(rows, nodes, found, pairs, links)  # sketches and prefixes, which nothing reads again
+    return out
 
 
 def joint_classes(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
