@@ -121,3 +121,48 @@ def test_rows_of_one_id_are_one_node(spark):
     rows = [(5, 40, 40, flat[0]), (3, 40, 40, flat[0]), (5, 40, 40, flat[1]), (9, 40, 40, flat[1]), (8, 40, 40, flat[2])]
     frame = spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")
     assert sorted(map(tuple, images.image_copies(frame).collect())) == [(3, 3), (5, 3), (8, 8), (9, 3)]
+
+
+@pytest.mark.parametrize("step", [1, 7, 10000])
+def test_longer_lists_give_every_match_between_classes(monkeypatch, step):
+    monkeypatch.setattr(images, "WHOLE", 8)
+    test_lists_give_every_match_between_classes(step)
+
+
+@pytest.mark.parametrize("whole", [20, 256])
+def test_matches_and_links_grow_with_a_group(monkeypatch, whole):
+    """Of one group of near copies, matches don't grow with the square of its images, and links are a forest that joins them all."""
+    monkeypatch.setattr(images, "WHOLE", whole)
+    rng = np.random.default_rng(23)
+    marks = [(int(y), int(x), rng.bytes(16)) for y, x in rng.integers(12, 200, (8, 2))]
+    counts = []
+    for n in (80, 160):
+        described = [(image, packed(y + image % 3, x), noisy(rng, bits, 4)) for image in range(n) for y, x, bits in marks]
+        rows = sorted(postings(described))
+        batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if k < 2 else pa.int64()) for k in range(6)], images.POSTED)
+        found = pa.Table.from_batches(images.match(iter([batch])))
+        links = images.linked([c.to_numpy() for c in found.columns]).to_pylist()
+        counts.append(found.num_rows)
+        root = list(range(n))
+        for link in links:
+            low, high = sorted((root[link["a"]], root[link["b"]]))
+            root = [low if r == high else r for r in root]
+        assert root == [0] * n and len(links) == n - 1
+    assert counts[1] <= 2.5 * counts[0]
+
+
+def test_some_matches_between_classes_are_few(monkeypatch):
+    """In a long list of a group in single classes, a descriptor leads to so many, and what they link is whole."""
+    monkeypatch.setattr(images, "WHOLE", 8)
+    rng = np.random.default_rng(24)
+    marks = [(int(y), int(x), rng.bytes(16)) for y, x in rng.integers(12, 200, (8, 2))]
+    described = [(image, packed(y, x), noisy(rng, bits, 0)) for image in range(60) for y, x, bits in marks]
+    rows = sorted((band << 32 | key, image, image, *more) for band, key, image, *more in postings(described))
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["list", "class", "image", "corner", "low", "high"])
+    every, some = ([pa.Table.from_batches(images.rest_of_matches(iter([batch]), n))] for n in (None, 5))
+    every, some = ({tuple(r.values()) for t in ts for r in t.to_pylist()} for ts in (every, some))
+    assert some < every and len(some) <= 5 * len(rows) < len(every)
+    root = list(range(60))
+    for link in images.linked([np.array(x) for x in zip(*some, strict=True)]).to_pylist():
+        root = [min(root[link["a"]], root[link["b"]]) if r in (root[link["a"]], root[link["b"]]) else r for r in root]
+    assert root == [0] * 60
