@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framefold.llm.common import blocks, discard, materialize, slices
+from framefold.llm.common import blocks, discard, materialize, shuffles_released, slices
 from framefold.llm.components import connected_components
 
 SEED = 42
@@ -472,7 +472,7 @@ def sketched(a: bytes, b: bytes, size_a: int, size_b: int) -> bool | None:
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_column: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets are at least SIMILAR: sketches rule out what they can, and whole sets decide."""
+    """The pairs (a, b) of nodes whose shingle sets are at least SIMILAR, written: sketches rule out what they can, and whole sets decide."""
     sketch_a, sketch_b = (nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("size").alias(f"size_{x}")) for x in ("a", "b"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -502,7 +502,9 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_column: str) -
     whole = materialize(texts.mapInArrow(sets, "node long, hashes binary").join(asked, "node", "left_semi").dropDuplicates(["node"]), "sets")
     of_a, of_b = (whole.select(F.col("node").alias(x), F.col("hashes").alias(f"hashes_{x}")) for x in ("a", "b"))
     exact = unsure.join(of_a, "a").join(of_b, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(compare, "a long, b long")
-    return judged.where("sure").select("a", "b").unionByName(exact)
+    links = materialize(judged.where("sure").select("a", "b").unionByName(exact), "likes")
+    discard(judged, whole)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -529,11 +531,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     rows = materialize(rows, "contents")
     parts = blocks(docs.sparkSession)
     nodes = materialize(rows.groupBy("node").agg(F.min(id_column).alias("least"), *(F.min(c).alias(c) for c in (*longs[1:], "sketch", "prefix"))), "nodes")
+    members = materialize(rows.select(id_column, "node"), "members")
+    discard(rows)  # sketches and prefixes, which nodes have
     postings = nodes.where("size >= 4").select("node", "size", "common", "mark", "prefix").mapInArrow(prefix_postings, "key int, node long, size long, common long, mark long, left long")
     postings = postings.repartition(parts, "key").sortWithinPartitions("key", "mark", "node").select("key", "node", "size", "common", "left")
     found = materialize(postings.mapInArrow(first_pairs, "a long, b long, list long, left long"), "first")
     pairs = materialize(found.where("list IS NULL").select("a", "b").distinct(), "pairs")
-    links = materialize(alike(pairs, nodes, docs, id_column), "likes")
+    links = alike(pairs, nodes, docs, id_column)
     classes = connected_components(links).select("node", F.col("component").alias("class"))
     # lists of equal members are one; the most that is left in any of them rules nothing out that one of them keeps
     lists = found.where("list IS NOT NULL").groupBy("list", F.col("a").alias("node")).agg(F.max("left").alias("left"))
@@ -547,8 +551,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     named = materialize(nodes.select("node", "least").join(classes, "node", "left").select("node", "least", F.coalesce("class", "node").alias("class")), "classes")
     least = materialize(named.groupBy("class").agg(F.min("least").alias("component")), "least")
     of_node = materialize(named.join(least, "class").select("node", "component"), "components")
-    out = materialize(rows.join(of_node, "node").select(id_column, "component"), "near-duplicates")
-    discard(rows, nodes, found, pairs, links)  # sketches and prefixes, which nothing reads again
+    out = materialize(members.join(of_node, "node").select(id_column, "component"), "near-duplicates")
+    discard(nodes, members, found, pairs, links)
     return out
 
 
@@ -556,8 +560,9 @@ def joint_classes(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """(id, component): the least id that links by fingerprint, as in `near_copies`, and by content, as in `near_duplicates`, reach; rows without an id take no part."""
     docs = docs.where(F.col(id_column).isNotNull())
     member = F.col(id_column).alias("a"), F.col("component").alias("b")
-    links = near_copies(docs, id_column).select(*member).unionByName(near_duplicates(docs, id_column).select(*member))
-    classes = connected_components(links)
+    with shuffles_released(docs.sparkSession):
+        links = near_copies(docs, id_column).select(*member).unionByName(near_duplicates(docs, id_column).select(*member))
+        classes = connected_components(links)
     ids = docs.select(id_column).distinct()
     return ids.join(classes, F.col(id_column) == F.col("node"), "left").select(id_column, F.coalesce("component", id_column).alias("component"))
 

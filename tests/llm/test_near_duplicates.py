@@ -1,13 +1,15 @@
 """Near duplicates that candidates by fingerprints left out: every pair at 0.8 counts, however the copies were made."""
 
+import os
 import random
+import time
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from framefold.llm import simhash
+from framefold.llm import common, components, simhash
 
 
 def classes(spark, texts):
@@ -109,3 +111,32 @@ def test_one_row_stays_of_fingerprint_and_content_classes(spark):
     assert {r["doc_id"]: r["component"] for r in simhash.joint_classes(frame).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
     kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(frame).collect()]
     assert sorted(kept, key=str) == sorted([(0, texts[0]), (3, texts[3]), (None, texts[0])], key=str)
+
+
+def test_tables_and_shuffle_files_go_once_they_are_read(spark, monkeypatch):
+    """Disk holds what is still to be read: a step's shuffle files go with the step, a large table with the last step that reads it."""
+    folder = common.shared_folder(spark).removeprefix("file:")
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for d in blocks.localDirs() for _, _, files in os.walk(d.getPath()) for f in files if f.endswith(".data")}
+    tables, files, steps = set(os.listdir(folder)), shuffled(), []
+
+    def step(df, label):
+        out = common.materialize(df, label)
+        steps.append((label, {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - tables}))
+        return out
+
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "materialize", step)
+    rng = random.Random(16)
+    words = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    texts = [*(edited(rng, words, 4) for _ in range(60)), " ".join(words)]
+    out = simhash.joint_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for _ in range(100):  # files are deleted beside the work
+        if not (left := shuffled() - files):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(common.SHUFFLE_CLEANUP, None) is None
+    assert {r["doc_id"]: r["component"] for r in out.collect()} == plain(texts)
+    assert [label for label, _ in steps].count("sets") == 2
+    assert all("contents" not in there for label, there in steps if label in ("first", "judged", "sets"))
+    assert all(not there & {"judged", "sets"} for label, there in steps if label == "near-duplicates")
